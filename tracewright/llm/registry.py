@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, planes
+from tracewright.llm import bpe, planes, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -21,13 +21,23 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.text_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
+    "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op10_telephony_audio": op10_telephony_audio,
 }
 
 ORACLE_SQL: dict[str, str] = {}
