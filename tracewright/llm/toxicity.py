@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression.
 
 Features are hashed word unigrams, bigrams and skip-bigrams (one or two words
-left out) of the lower-cased text, each counted as present or absent, so a
-document has at most ``2 ** bits`` of them.  The proximal update keeps one
+left out) of the lower-cased text, and unigrams of word stems (the first four
+and five letters, so that one weight serves all inflections), each counted as
+present or absent, so a document has at most ``2 ** bits`` of them.  The proximal update keeps one
 learning rate per coordinate and, through its L1 term, leaves most weights at
 zero; the weights that remain are broadcast.  Their number is bounded by
 ``2 ** bits`` whatever the size of the corpus.
@@ -36,7 +37,9 @@ from tracewright.llm.arrow import chunks, texts
 
 WORDS = re.compile(r"\w+").findall
 #: Hashes of words that a worker process keeps; emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Lengths of the word beginnings that stand for a word's stem.
+STEMS = (4, 5)
 # Odd multipliers that tell the kinds of features apart.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -45,10 +48,11 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class Settings:
     bits: int = 20
     max_rows: int = 4000
-    epochs: int = 4
-    alpha: float = 0.2
+    epochs: int = 5
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 0.3
+    #: L1 per square root of the rarer class's rows: the pull of chance on a feature grows so.
+    l1: float = 2.5
     l2: float = 0.1
     seed: int = 11
 
@@ -59,26 +63,35 @@ class Hasher:
     def __init__(self, bits: int):
         self.shift = np.uint64(64 - bits)
         self.seen: dict[str, int] = {}
+        self.hashes = np.zeros((1 << 16, 1 + len(STEMS)), np.uint64)
 
-    def words(self, text: str) -> np.ndarray:
+    def add(self, words: set[str]) -> None:
         from xxhash import xxh64_intdigest
 
-        found, seen = WORDS(text.lower()), self.seen
+        for w in words:
+            if w not in self.seen:
+                k = self.seen[w] = len(self.seen)
+                if k == len(self.hashes):
+                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+                self.hashes[k] = [xxh64_intdigest(w.encode("utf-8")), *[xxh64_intdigest(w[:n].encode("utf-8"), n) for n in STEMS]]
+
+    def words(self, text: str) -> np.ndarray:
+        """One row per word: the hashes of the word and of its stems."""
+        found = WORDS(text.lower())
         try:
-            return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
+            rows = np.fromiter(map(self.seen.__getitem__, found), np.int64, len(found))
         except KeyError:
-            pass
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        for w in set(found):
-            if w not in seen:
-                seen[w] = xxh64_intdigest(w.encode("utf-8"))
-        return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
+            if len(self.seen) > CACHE_WORDS:
+                self.seen.clear()
+            self.add(set(found))
+            rows = np.fromiter(map(self.seen.__getitem__, found), np.int64, len(found))
+        return self.hashes.take(rows, axis=0)
 
     def features(self, text: str) -> np.ndarray:
         """Numbers of all grams, with repeats."""
-        w = self.words(text)
-        grams = [w * MIX[0]]
+        hashes = self.words(text)
+        w = np.ascontiguousarray(hashes[:, 0])
+        grams = [hashes.ravel() * MIX[0]]
         for gap in (1, 2, 3):
             if len(w) > gap:
                 pair = (w[:-gap] * MIX[0]) ^ (w[gap:] * MIX[gap])
@@ -89,15 +102,20 @@ class Hasher:
 def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Numbers and weights of the features that stay, and the bias.
 
-    Each row is (distinct features, label); rows are visited in seeded order.
+    Each row is (distinct features, label); rows are visited in seeded order and
+    both classes weigh the same in sum.
     """
+    positive = sum(y for _, y in rows)
+    rare = min(positive, len(rows) - positive)
+    bar = s.l1 * math.sqrt(rare)
+    weigh = {1: max(1.0, (len(rows) - positive) / positive), 0: max(1.0, positive / (len(rows) - positive))}
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(s.seed)
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        l1 = np.where(i == size, 0.0, s.l1)  # the bias is not held back
+        l1 = np.where(i == size, 0.0, bar)  # the bias is not held back
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2))
 
     rows = [(np.append(f, size).astype(np.int64), y) for f, y in rows]
@@ -106,7 +124,7 @@ def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np
             i, y = rows[k]
             w = weights(i)
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum())))))
-            g = p - y
+            g = (p - y) * weigh[y]
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / s.alpha
             z[i] += g - sigma * w
             n[i] += g * g
