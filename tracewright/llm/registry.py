@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, planes, telephony, toxicity
+from tracewright.llm import bpe, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -25,6 +25,10 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -36,6 +40,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op10_telephony_audio": op10_telephony_audio,
 }
