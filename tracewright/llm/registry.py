@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -25,10 +25,18 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -40,9 +48,14 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
+    "op3_site_spread_lines": op3_site_spread_lines,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_water_filling_mix": op5_water_filling_mix,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op10_telephony_audio": op10_telephony_audio,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_site_spread_lines": lines.ORACLE,
+    "op5_water_filling_mix": mixing.ORACLE,
+}
