@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, licenses, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -37,6 +37,10 @@ def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_site_spread_lines": op3_site_spread_lines,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_water_filling_mix": op5_water_filling_mix,
+    "op6_fuzzy_licenses": op6_fuzzy_licenses,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op10_telephony_audio": op10_telephony_audio,
 }
