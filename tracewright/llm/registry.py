@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, licenses, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -45,6 +45,10 @@ def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.report(table(spark, sf_dir, "embeddings"))
+
+
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_features(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_water_filling_mix": op5_water_filling_mix,
     "op6_fuzzy_licenses": op6_fuzzy_licenses,
     "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op9_ivf_pq_search": op9_ivf_pq_search,
     "op10_telephony_audio": op10_telephony_audio,
 }
 
