@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, chat, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -41,6 +41,10 @@ def op6_fuzzy_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_water_filling_mix": op5_water_filling_mix,
     "op6_fuzzy_licenses": op6_fuzzy_licenses,
+    "op7_reply_tree_chat": op7_reply_tree_chat,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op9_ivf_pq_search": op9_ivf_pq_search,
     "op10_telephony_audio": op10_telephony_audio,
@@ -68,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_site_spread_lines": lines.ORACLE,
     "op5_water_filling_mix": mixing.ORACLE,
+    "op7_reply_tree_chat": chat.ORACLE,
 }
