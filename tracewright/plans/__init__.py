@@ -1,5 +1,7 @@
 """Registered queries and their oracles."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from tracewright.plans import activity, segmentation
+
+QUERIES = segmentation.QUERIES | activity.QUERIES
+ORACLE_SQL = segmentation.ORACLE_SQL | activity.ORACLE_SQL
+FLAGSHIP = "step_sentences"
