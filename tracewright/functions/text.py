@@ -102,10 +102,22 @@ def quality_of(cleaned: Column, pairs: Column) -> Column:
     )
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    A plain ``withColumn`` may be inlined into every later use, filters pushed
+    below it included, which multiplies nested rules; a one-row generator is not.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def with_quality(df: DataFrame, text: str, prefix: str = "q_") -> DataFrame:
     """Add ``clean``, ``tokens``, ``kinds`` and ``quality`` of a text column, prefixed."""
     c, t, k, q = (prefix + n for n in ("clean", "tokens", "kinds", "quality"))
-    return df.withColumn(c, clean(F.col(text))).withColumn(t, tokens(F.col(c))).withColumn(k, kinds(F.col(t))).withColumn(q, quality_of(F.col(c), F.col(k)))
+    df = computed(df, c, clean(F.col(text)))
+    df = computed(df, t, tokens(F.col(c)))
+    df = computed(df, k, kinds(F.col(t)))
+    return computed(df, q, quality_of(F.col(c), F.col(k)))
 
 
 def shorten(text: Column, most: int) -> Column:
@@ -122,15 +134,16 @@ def with_label(df: DataFrame, text: str, out: str = "label", most: int = 60, pre
     df = with_quality(df, text, prefix)
     t = F.col(prefix + "tokens")
     plain = F.transform(t, lambda x: kind(x) != "junk")
-    df = df.withColumn(prefix + "url", F.get(F.filter(F.transform(t, bare), is_address), F.lit(0))).withColumn(prefix + "good", plain)
+    df = computed(df, prefix + "url", F.get(F.filter(F.transform(t, bare), is_address), F.lit(0)))
+    df = computed(df, prefix + "good", plain)
     good = F.col(prefix + "good")
     first = F.array_position(good, F.lit(True))
     last = F.size(good) - F.array_position(F.reverse(good), F.lit(True)) + 1
     middle = F.when(first > 0, F.array_join(F.slice(t, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise("")
-    df = with_quality(df.withColumn(prefix + "middle", middle), prefix + "middle", prefix + "m_")
+    df = with_quality(computed(df, prefix + "middle", middle), prefix + "middle", prefix + "m_")
     readable = (F.col(prefix + "quality") >= 0.5) & (F.col(prefix + "m_quality") >= 0.5)
     chosen = F.when(F.col(prefix + "url").isNotNull(), F.col(prefix + "url")).when(readable, F.col(prefix + "middle")).otherwise("")
-    return df.withColumn(out, shorten(chosen, most)).select(*[c for c in own if c != out], out)
+    return computed(df, out, shorten(chosen, most)).select(*[c for c in own if c != out], out)
 
 
 def clock_like(cleaned: Column) -> Column:

@@ -145,7 +145,7 @@ def opening_frames(frames: DataFrame, n: int = 2) -> DataFrame:
 
 def _weighted(df: DataFrame) -> DataFrame:
     rated = text.with_quality(df, "label")
-    return rated.withColumn("weight", F.round(F.col("q_quality") * F.least(F.length("label"), F.lit(8)) / 8, 9))
+    return text.computed(rated, "weight", F.round(F.col("q_quality") * F.least(F.length("label"), F.lit(8)) / 8, 9))
 
 
 def entry_steps(jobs: DataFrame, blocks: DataFrame, frames: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
     rated = text.with_quality(placed, "text")
     role = text.role("text", F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1080), F.lit(1080), F.col("q_clean"), F.col("q_quality"))
-    return rated.withColumn("role", role).drop("q_clean", "q_tokens", "q_kinds", "q_quality")
+    return text.computed(rated, "role", role).drop("q_clean", "q_tokens", "q_kinds", "q_quality")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
