@@ -59,7 +59,7 @@ def stamp(ms: Column) -> Column:
 
 
 def two_places(x: Column) -> Column:
-    return F.format_number(x, "0.00")
+    return F.call_function("format_number", x, F.lit("0.00"))
 
 
 def escape_html(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Registered queries and their oracles."""
 
-from tracewright.plans import activity, segmentation, texts
+from tracewright.plans import activity, catalog, segmentation, texts
 
-QUERIES = segmentation.QUERIES | activity.QUERIES | texts.QUERIES
-ORACLE_SQL = segmentation.ORACLE_SQL | activity.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = segmentation.QUERIES | activity.QUERIES | texts.QUERIES | catalog.QUERIES
+ORACLE_SQL = segmentation.ORACLE_SQL | activity.ORACLE_SQL | texts.ORACLE_SQL | catalog.ORACLE_SQL
 FLAGSHIP = "step_sentences"

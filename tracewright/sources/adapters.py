@@ -135,6 +135,6 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def revisions(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    w = Window.partitionBy("report_id").orderBy("revision_id")
-    r = li.select(F.col("l_orderkey").alias("report_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("revision_id"), F.col("l_shipdate").alias("created_at"))
-    return r.withColumn("parent_revision_id", F.lag("revision_id").over(w))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    r = li.select(F.col("l_orderkey").alias("report_id"), (F.col("l_orderkey") * 100 + number).alias("revision_id"), F.col("l_shipdate").alias("created_at"))
+    return r.withColumn("parent_revision_id", F.lag("revision_id").over(Window.partitionBy("report_id").orderBy("revision_id")))
