@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm import scratch
+from tracewright.llm import columns, scratch
 
 #: Boilerplate lines (24 bytes each, and their place) up to which a broadcast is used.
 BROADCAST_ROWS = 400_000
@@ -80,11 +80,12 @@ def _kept_text() -> Column:
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """Documents without their boilerplate lines, with their own columns."""
-    own = docs.columns
-    got = marked(docs, **options).withColumn("text", _kept_text())
-    if "n_chars" in own:
-        got = got.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return got.select(*own)
+    used = ["doc_id", "text", "source"]
+    got = marked(columns.pack(docs, used), **options)
+    values = {"text": _kept_text()}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.coalesce(F.length(_kept_text()), F.lit(0)).cast("long")
+    return columns.unpack(got, docs.columns, used, **values)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

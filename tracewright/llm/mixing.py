@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm import scratch
+from tracewright.llm import columns, scratch
 
 WEIGHTS = (3, 1, 2)
 
@@ -89,11 +89,12 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
-    own = docs.columns
+    used = ["doc_id", "source", "text"]
     # Equal rows are one row here, with the copies of all of them.
     taken = mixed(docs, **options).groupBy(F.col("row").alias("_row")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_row"]).join(taken, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*own)
+    rows = columns.pack(docs, used).withColumn("_row", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_row"]).join(taken, "_row")
+    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return columns.unpack(copied, docs.columns, used)
 
 
 ORACLE = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm import components, scratch
+from tracewright.llm import columns, components, scratch
 from tracewright.llm.arrow import chunks, texts
 
 BITS = 64
@@ -218,11 +218,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int =
     Of rows that share this doc_id the one with the smallest text hash stays,
     and one of equal rows.  Rows of a class without any doc_id all stay.
     """
-    own = docs.columns
-    marked = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    used = ["doc_id", "text"]
+    marked = columns.pack(docs, used).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = classes(marked, shingle=shingle, radius=radius, segments=segments, also=("_text",))
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_text").alias("_text"))
     first = marked.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])
     nameless = found.where("component_id is null").select("_text").distinct()
     rest = marked.where("doc_id is null").join(nameless, "_text", "left_semi")
-    return first.select(*own).unionByName(rest.select(*own))
+    return columns.unpack(first.unionByName(rest.select(*first.columns)), docs.columns, used)

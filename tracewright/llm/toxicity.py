@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm import columns
 from tracewright.llm.arrow import chunks, texts
 
 WORDS = re.compile(r"\w+").findall
@@ -168,6 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 
     hashed = sample.mapInArrow(featurize, "_h long, _y int, f binary").repartition(1).sortWithinPartitions("_h", "_y", "f")
     got = hashed.mapInArrow(learn_all, schema).first()
+    if got is None:  # nothing to learn from
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), -50.0
     return np.frombuffer(got["i"], np.uint32), np.frombuffer(got["w"], np.float32), got["bias"]
 
 
@@ -210,5 +213,5 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with their own columns."""
     model = train(docs, labels, ~held_out(), settings)
-    own = docs.columns
-    return score(docs, model, settings, out="_toxicity").where(F.col("_toxicity") < threshold).select(*own)
+    scored_docs = score(columns.pack(docs, ["text"]), model, settings, out="_toxicity")
+    return columns.unpack(scored_docs.where(F.col("_toxicity") < threshold), docs.columns, ["text"])
