@@ -107,6 +107,8 @@ def test_bucket_links_give_exact_components():
     bucket, own = np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
     a, b = simhash.bucket_links(bucket, fps, own, 4)
     assert len(a) < 2 * len(fps)
+    wide_a, wide_b = simhash.bucket_links(bucket, fps, own, 2, 6)
+    assert (simhash.differing(wide_a, wide_b) <= 6).all()
     assert (simhash.differing(a, b) <= 4).all()
 
     def parts(pairs):

@@ -332,3 +332,24 @@ def test_telephony_over_a_table(spark):
     assert got[2]["pcm"] is None and got[2]["error"] is None
     assert got[3]["pcm"] is None and "RIFF" in got[3]["error"]
     assert got[4]["pcm"] is not None
+
+
+def test_wide_candidates_are_verified(spark):
+    rng = np.random.default_rng(11)
+    words = [f"t{i}" for i in range(5000)]
+    rows, twin = [], {}
+    for k in range(60):
+        base = list(rng.choice(words, 200))
+        t = list(base)
+        for at in rng.choice(196, 3, replace=False):  # at most 15 of 196 shingles change
+            t[int(at)] = "edit"
+        rows += [(10 * k + 1, " ".join(base), "z"), (10 * k + 2, " ".join(t), "z")]
+        twin[10 * k + 2] = 10 * k + 1
+    d = docs(spark, rows)
+    near = {r[0] for r in simhash.keep_one(d, wide=0).select("doc_id").collect()}
+    full = {r[0] for r in simhash.keep_one(d).select("doc_id").collect()}
+    assert set(twin.values()) <= full <= near
+    caught, before = sum(i not in full for i in twin), sum(i not in near for i in twin)
+    assert caught >= 42 and caught > before + 10
+    strict = simhash.classes(d.withColumn("_text", F.xxhash64("text")), shingle=5, radius=0, segments=4, also=("_text",), wide=11, similar=1.0)
+    assert strict.where("doc_id <> component_id").count() == 0

@@ -36,6 +36,8 @@ from tracewright.llm import columns, components, scratch
 from tracewright.llm.arrow import chunks, texts
 
 BITS = 64
+#: Fingerprints whose texts are fetched by a broadcast (16 bytes each), and not by a shuffle.
+BROADCAST_ROWS = 400_000
 #: Shingles whose hashes are held at once.
 SLICE = 200_000
 #: Pairs checked side by side; pairs of one bucket above which it is searched on its own.
@@ -43,25 +45,32 @@ PAIRS, DENSE = 2_000_000, 4_096
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, shingle: int, seed: int) -> int:
-    """The 64-bit fingerprint; words are what ASCII white space separates."""
+def shingle_hashes(text: str, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, repeats included, in slices; words are what ASCII white space separates."""
     from xxhash import xxh64_intdigest as xxh
 
     words = text.encode("utf-8").translate(LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh(joined, seed)
+        yield np.array([xxh(joined, seed)], "<u8")
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     first = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
     last = ends[shingle - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(first), SLICE):
-        hashes = np.array([xxh(joined[a:b], seed) for a, b in zip(first[at : at + SLICE], last[at : at + SLICE])], "<u8")
+        yield np.array([xxh(joined[a:b], seed) for a, b in zip(first[at : at + SLICE], last[at : at + SLICE])], "<u8")
+
+
+def fingerprint(text: str, shingle: int, seed: int) -> int:
+    """The 64-bit fingerprint: a bit is set if it is set in over half of the hashes."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
+        count += len(hashes)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, keys: list[str], column: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -108,35 +117,67 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def trees(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning trees of the exact components of distinct fingerprints."""
-    edges, todo = [], fps
-    while len(todo) > 1:
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest (two index arrays) and component numbers of distinct fingerprints."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    label = np.zeros(len(fps), np.int64)
+    todo, number = np.arange(len(fps)), 0
+    while len(todo):
         front, todo = [todo[0]], todo[1:]
+        label[front[0]] = number
         while front and len(todo):
             at = front.pop()
-            near = differing(todo, at) <= radius
+            near = differing(fps[todo], fps[at]) <= radius
             if near.any():
                 hit = todo[near]
-                edges.append((np.full(len(hit), at), hit))
+                label[hit] = number
+                left.append(np.full(len(hit), at))
+                right.append(hit)
                 front.extend(hit)
                 todo = todo[~near]
-    return edges
-
-
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        number += 1
+    return np.concatenate(left), np.concatenate(right), label
+
+
+def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a crowded bucket: a spanning forest, and the closest pair of any two of its trees within ``wide``."""
+    fps = np.unique(fps)
+    left, right, label = forest(fps, radius)
+    a, b = [fps[left]], [fps[right]]
+    if wide > radius and label.max(initial=0):
+        step = max(1, PAIRS // len(fps))
+        found = []
+        for at in range(0, len(fps), step):
+            d = differing(fps[at : at + step, None], fps[None, :])
+            i, j = np.nonzero((d <= wide) & (label[at : at + step, None] < label[None, :]))
+            found.append(np.stack([label[at + i], label[j], d[i, j], at + i, j]).astype(np.int64))
+        rows = np.concatenate(found, axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+        a.append(fps[rows[3, new]])
+        b.append(fps[rows[4, new]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within buckets; rows come by bucket, own rows first."""
+    wide = max(radius, wide or 0)
     start = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     size = np.diff(np.append(start, len(bucket)))
     mine = np.add.reduceat(own.astype(np.int64), start)
     busy = (mine > 0) & (size > 1)
     start, size, mine = start[busy], size[busy], mine[busy]
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def crowded(s: int, n: int) -> None:
+        a, b = dense_links(fps[s : s + n], radius, wide)
+        left.append(a)
+        right.append(b)
+
     small = size * mine <= DENSE
     for s, n in zip(start[~small], size[~small]):
-        for a, b in trees(np.unique(fps[s : s + n]), radius):
-            left.append(a)
-            right.append(b)
+        crowded(s, n)
     start, size, mine = start[small], size[small], mine[small]
     cost = np.cumsum(size * mine)
     at = 0
@@ -150,33 +191,34 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: i
         ahead = i > j
         i, j, group = i[ahead], j[ahead], group[ahead]
         differ = differing(fps[i], fps[j])
-        linked = (differ > 0) & (differ <= radius)
+        linked = (differ > 0) & (differ <= wide)
         i, j, group = i[linked], j[linked], group[linked]
         many = np.bincount(group, minlength=len(s)) > 2 * n
         for g in np.flatnonzero(many):
-            for a, b in trees(np.unique(fps[s[g] : s[g] + n[g]]), radius):
-                left.append(a)
-                right.append(b)
+            crowded(s[g], n[g])
         few = ~many[group]
         left.append(fps[i[few]])
         right.append(fps[j[few]])
         at = to
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return np.concatenate(left), np.concatenate(right)
+
 
+def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | None = None) -> DataFrame:
+    """Links (a, b, differing bits) between distinct fingerprints.
 
-def links(distinct: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Links (a < b) between distinct fingerprints that give the exact components."""
+    Those within ``radius`` give its exact components.  Those beyond, up to
+    ``wide``, are candidates that share a bucket.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def solve(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
-                a, b = bucket_links(*rows, radius)
+                a, b = bucket_links(*rows, radius, wide)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(differing(pairs[:, 0], pairs[:, 1]).astype(np.int32))], names=["a", "b", "bits"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -193,14 +235,65 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
             yield from solve(tuple(np.concatenate(c) for c in zip(*held)))
 
     dealt = probes(distinct, radius, segments).repartition("bucket").sortWithinPartitions("bucket", F.col("own").desc())
-    return dealt.mapInArrow(kernel, "a long, b long").distinct()
+    return dealt.mapInArrow(kernel, "a long, b long, bits int").distinct()
+
 
+def verified(pairs: DataFrame, samples: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts share at least ``least`` of their distinct shingles.
 
-def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: key, fp and component_id, the smallest key that links lead to."""
+    ``samples`` has one text (fp, text) for every fingerprint of ``pairs``.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, shingle, seed)])).tobytes() for t in texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("fp")), pa.array(found, pa.binary())], names=["fp", "set"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= least * (len(p) + len(q) - both):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    hashed = scratch.store(samples.select("fp", "text").mapInArrow(sets, "fp long, set binary"), "shingle-sets")
+    both = pairs.select("a", "b").join(hashed.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def texts_of(df: DataFrame, fps: DataFrame, wanted: DataFrame, column: str, hashed: str) -> DataFrame:
+    """One text (fp, text) for every wanted fingerprint, by the hash of the text."""
+    keys = scratch.store(fps.join(wanted, "fp").groupBy("fp").agg(F.min(hashed).alias(hashed)), "wanted-texts")
+    few = keys.count() <= BROADCAST_ROWS
+    rows = df.select(hashed, F.col(column).alias("text")).join(F.broadcast(keys) if few else keys, hashed)
+    return rows.groupBy("fp").agg(F.first("text").alias("text"))
+
+
+def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, seed: int = 42, also: tuple[str, ...] = (), wide: int | None = None, similar: float = 0.8) -> DataFrame:
+    """Per row: key, fp and component_id, the smallest key that links lead to.
+
+    With ``wide`` (and the text's hash as the first of ``also``), fingerprints
+    that differ in more than ``radius`` and up to ``wide`` bits are linked too,
+    if their texts' shingle sets are at least ``similar`` by Jaccard's measure.
+    """
     fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed), "fingerprints")
     groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-groups")
-    rooted = components.roots(links(groups.select("fp"), radius, segments))
+    found = scratch.store(links(groups.select("fp"), radius, segments, wide), "fingerprint-links")
+    rooted = components.roots(found.where(F.col("bits") <= radius))
+    if wide:
+        top = rooted.select(F.col("node").alias("fp"), "root")
+        far = found.where(F.col("bits") > radius)
+        for end in ("a", "b"):
+            far = far.join(top.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        # Pairs that near links join already need no check.
+        far = scratch.store(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "far-links")
+        wanted = far.select(F.col("a").alias("fp")).union(far.select("b")).distinct()
+        sure = verified(far, texts_of(df, fps, wanted, column, also[0]), shingle, seed, similar)
+        rooted = components.roots(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure))
     placed = groups.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
@@ -212,7 +305,7 @@ def digests(df: DataFrame) -> DataFrame:
     return classes(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int = 4, wide: int = 10) -> DataFrame:
     """One document of each class: that with the smallest doc_id, with its own columns.
 
     Of rows that share this doc_id the one with the smallest text hash stays,
@@ -220,7 +313,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int =
     """
     used = ["doc_id", "text"]
     marked = columns.pack(docs, used).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = classes(marked, shingle=shingle, radius=radius, segments=segments, also=("_text",))
+    found = classes(marked, shingle=shingle, radius=radius, segments=segments, also=("_text",), wide=wide)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_text").alias("_text"))
     first = marked.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])
     nameless = found.where("component_id is null").select("_text").distinct()
