@@ -100,7 +100,8 @@ def scroll_explains_anti(spark, sf):
 
 
 def click_asof_cursor(spark, sf):
-    return ev.raw_clicks(_segs(spark, sf), a.cursor(spark, sf), a.motions(spark, sf))
+    got = ev.raw_clicks(_segs(spark, sf), a.cursor(spark, sf), a.motions(spark, sf))
+    return got.withColumn("x", F.coalesce("x", F.lit(-1).cast("long"))).withColumn("y", F.coalesce("y", F.lit(-1).cast("long")))
 
 
 def click_dedupe(spark, sf):
@@ -230,7 +231,7 @@ ORACLE_SQL = {
       ), g AS (SELECT *, sum(f) OVER (PARTITION BY job_id ORDER BY t_ms, seq) AS isl FROM l)
       SELECT job_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, CASE WHEN sum(dy) < 0 THEN 'down' ELSE 'up' END AS direction, round(abs(sum(dy)), 1) AS magnitude_px, 0.92::DOUBLE AS confidence FROM g GROUP BY job_id, isl""",
     "scroll_explains_anti": f"WITH {LEFT} SELECT job_id, idx, start_ms, transition_type FROM open",
-    "click_asof_cursor": f"WITH {LEFT} SELECT * FROM clicks",
+    "click_asof_cursor": f"WITH {LEFT} SELECT * REPLACE (coalesce(x, -1) AS x, coalesce(y, -1) AS y) FROM clicks",
     "click_dedupe": f"""WITH {LIST}, f AS (SELECT job_id, """ + FOLD.format(
         rec="{'t': t_start_ms, 's': seq, 'c': confidence}", order="t_start_ms, seq",
         step="CASE WHEN x[1].t - acc[len(acc)].t >= 800 THEN list_concat(acc, x) WHEN x[1].c > acc[len(acc)].c THEN list_concat(acc[:-2], x) ELSE acc END",

@@ -36,7 +36,7 @@ def job_list(spark, sf):
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "awaiting_review").otherwise("failed")
     j = table(spark, sf, "orders").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("job_id"), status.alias("status"))
     r = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.min("l_partkey").alias("report_id"))
-    return catalog.job_list(c, j, r)
+    return catalog.job_list(c, j, r).withColumn("report_id", F.coalesce("report_id", F.lit(-1).cast("long")))
 
 
 def timeline(spark, sf):
@@ -50,7 +50,7 @@ def timeline(spark, sf):
 
 
 def revision_head(spark, sf):
-    return catalog.heads(a.revisions(spark, sf)).select("report_id", "revision_id", "parent_revision_id")
+    return catalog.heads(a.revisions(spark, sf)).select("report_id", "revision_id", F.coalesce("parent_revision_id", F.lit(0).cast("long")).alias("parent_revision_id"))
 
 
 def optimistic_lock(spark, sf):
@@ -201,11 +201,11 @@ ORACLE_SQL = {
     "repro_html": HTML,
     "github_labels": f"WITH {REPORT} SELECT job_id, 'bug,recording:' || bug_type || CASE WHEN conf < 0.6 THEN ',needs-verification' ELSE '' END AS labels FROM rep",
     "severity": f"WITH {REPORT} SELECT CASE bug_type WHEN 'crash' THEN '1 - Critical' WHEN 'functional' THEN '2 - High' ELSE '3 - Medium' END AS severity, count(*) AS n FROM rep GROUP BY 1",
-    "job_list": """SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'awaiting_review' ELSE 'failed' END AS status, c_name AS filename, r.report_id
+    "job_list": """SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'awaiting_review' ELSE 'failed' END AS status, c_name AS filename, coalesce(r.report_id, -1) AS report_id
       FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS report_id FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) r ON r.l_orderkey = o_orderkey""",
     "timeline": """SELECT o_orderkey AS job_id, coalesce(string_agg(l_linenumber || '@' || l_quantity::BIGINT, ',' ORDER BY l_linenumber, l_quantity::BIGINT), '') AS segments,
       coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) FILTER (l_returnflag = 'R'), '') AS actions FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
-    "revision_head": f"WITH {REV} SELECT report_id, revision_id, parent_revision_id FROM h",
+    "revision_head": f"WITH {REV} SELECT report_id, revision_id, coalesce(parent_revision_id, 0) AS parent_revision_id FROM h",
     "optimistic_lock": f"WITH {REV} SELECT r.report_id, r.revision_id AS parent_revision_id, r.revision_id % 2 = 0 AS even FROM r JOIN h ON h.report_id = r.report_id AND h.revision_id = r.revision_id",
     "settings_merge": """SELECT c_custkey AS org_id, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN 'moved' ELSE c_nationkey::VARCHAR END AS nation, CASE WHEN c_custkey % 2 = 0 THEN 'gold' ELSE 'base' END AS tier,
       CASE WHEN c_custkey % 4 = 0 THEN 'gold' ELSE 'default' END AS team FROM customer""",
