@@ -105,9 +105,11 @@ def test_bucket_links_give_exact_components():
         fps.add(int(rng.choice(list(fps)[:40])) ^ (1 << int(rng.integers(0, 63))))
     fps = np.array(sorted(fps))
     bucket, own = np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
-    a, b = simhash.bucket_links(bucket, fps, own, 4)
+    a, b, sure = simhash.bucket_links(bucket, fps, own, 4)
+    assert sure.all()
     assert len(a) < 2 * len(fps)
-    wide_a, wide_b = simhash.bucket_links(bucket, fps, own, 2, 6)
+    wide_a, wide_b, sure = simhash.bucket_links(bucket, fps, own, 2, 6)
+    assert (simhash.differing(wide_a, wide_b)[sure] <= 2).all()
     assert (simhash.differing(wide_a, wide_b) <= 6).all()
     assert (simhash.differing(a, b) <= 4).all()
 

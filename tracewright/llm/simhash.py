@@ -42,6 +42,8 @@ BROADCAST_ROWS = 400_000
 SLICE = 200_000
 #: Pairs checked side by side; pairs of one bucket above which it is searched on its own.
 PAIRS, DENSE = 2_000_000, 4_096
+#: Differing bits up to which a link needs no check of the texts.
+SURE = 0
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -139,11 +141,11 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(left), np.concatenate(right), label
 
 
-def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a crowded bucket: a spanning forest, and the closest pair of any two of its trees within ``wide``."""
+def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a crowded bucket: a spanning forest (sure), and the closest pair of any two of its trees within ``wide``."""
     fps = np.unique(fps)
     left, right, label = forest(fps, radius)
-    a, b = [fps[left]], [fps[right]]
+    a, b, sure = [fps[left]], [fps[right]], [np.ones(len(left), bool)]
     if wide > radius and label.max(initial=0):
         step = max(1, PAIRS // len(fps))
         found = []
@@ -157,23 +159,30 @@ def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np
         new[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
         a.append(fps[rows[3, new]])
         b.append(fps[rows[4, new]])
-    return np.concatenate(a), np.concatenate(b)
+        sure.append(np.zeros(int(new.sum()), bool))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
 
 
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets; rows come by bucket, own rows first."""
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within buckets and whether they are sure; rows come by bucket, own rows first.
+
+    Without ``wide`` every link is.  With it, links of up to ``SURE`` bits and
+    the forests of crowded buckets are; all others are candidates.
+    """
+    bar = SURE if wide else radius
     wide = max(radius, wide or 0)
     start = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     size = np.diff(np.append(start, len(bucket)))
     mine = np.add.reduceat(own.astype(np.int64), start)
     busy = (mine > 0) & (size > 1)
     start, size, mine = start[busy], size[busy], mine[busy]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
 
     def crowded(s: int, n: int) -> None:
-        a, b = dense_links(fps[s : s + n], radius, wide)
+        a, b, known = dense_links(fps[s : s + n], radius, wide)
         left.append(a)
         right.append(b)
+        sure.append(known)
 
     small = size * mine <= DENSE
     for s, n in zip(start[~small], size[~small]):
@@ -192,22 +201,24 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: i
         i, j, group = i[ahead], j[ahead], group[ahead]
         differ = differing(fps[i], fps[j])
         linked = (differ > 0) & (differ <= wide)
-        i, j, group = i[linked], j[linked], group[linked]
+        i, j, group, differ = i[linked], j[linked], group[linked], differ[linked]
         many = np.bincount(group, minlength=len(s)) > 2 * n
         for g in np.flatnonzero(many):
             crowded(s[g], n[g])
         few = ~many[group]
         left.append(fps[i[few]])
         right.append(fps[j[few]])
+        sure.append(differ[few] <= bar)
         at = to
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(sure)
 
 
 def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | None = None) -> DataFrame:
-    """Links (a, b, differing bits) between distinct fingerprints.
+    """Links (a, b, sure) between distinct fingerprints.
 
-    Those within ``radius`` give its exact components.  Those beyond, up to
-    ``wide``, are candidates that share a bucket.
+    Without ``wide`` all are sure and give the exact components of ``radius``.
+    With it, those that are not sure are candidates of up to ``wide`` bits that
+    share a bucket.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +226,10 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | N
 
         def solve(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
-                a, b = bucket_links(*rows, radius, wide)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                a, b, sure = bucket_links(*rows, radius, wide)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure], 1), axis=0)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(differing(pairs[:, 0], pairs[:, 1]).astype(np.int32))], names=["a", "b", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] != 0)], names=["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,7 +246,7 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | N
             yield from solve(tuple(np.concatenate(c) for c in zip(*held)))
 
     dealt = probes(distinct, radius, segments).repartition("bucket").sortWithinPartitions("bucket", F.col("own").desc())
-    return dealt.mapInArrow(kernel, "a long, b long, bits int").distinct()
+    return dealt.mapInArrow(kernel, "a long, b long, sure boolean").distinct()
 
 
 def verified(pairs: DataFrame, samples: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
@@ -276,20 +287,21 @@ def texts_of(df: DataFrame, fps: DataFrame, wanted: DataFrame, column: str, hash
 def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, seed: int = 42, also: tuple[str, ...] = (), wide: int | None = None, similar: float = 0.8) -> DataFrame:
     """Per row: key, fp and component_id, the smallest key that links lead to.
 
-    With ``wide`` (and the text's hash as the first of ``also``), fingerprints
-    that differ in more than ``radius`` and up to ``wide`` bits are linked too,
-    if their texts' shingle sets are at least ``similar`` by Jaccard's measure.
+    With ``wide`` (and the text's hash as the first of ``also``), links of more
+    than ``SURE`` and up to ``wide`` bits hold only if their texts' shingle sets
+    are at least ``similar`` by Jaccard's measure, except for the forests of
+    crowded buckets, where copies are many.
     """
     fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed), "fingerprints")
     groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-groups")
     found = scratch.store(links(groups.select("fp"), radius, segments, wide), "fingerprint-links")
-    rooted = components.roots(found.where(F.col("bits") <= radius))
+    rooted = components.roots(found.where("sure"))
     if wide:
         top = rooted.select(F.col("node").alias("fp"), "root")
-        far = found.where(F.col("bits") > radius)
+        far = found.where("not sure").select("a", "b")
         for end in ("a", "b"):
             far = far.join(top.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        # Pairs that near links join already need no check.
+        # Pairs that sure links join already need no check.
         far = scratch.store(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "far-links")
         wanted = far.select(F.col("a").alias("fp")).union(far.select("b")).distinct()
         sure = verified(far, texts_of(df, fps, wanted, column, also[0]), shingle, seed, similar)
@@ -308,7 +320,8 @@ def digests(df: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int = 4, wide: int = 10) -> DataFrame:
     """One document of each class: that with the smallest doc_id, with its own columns.
 
-    Of rows that share this doc_id the one with the smallest text hash stays,
+    Fingerprints of up to ``wide`` differing bits that share a bucket are
+    candidates; their texts must share 0.8 of their shingles.  Of rows that share this doc_id the one with the smallest text hash stays,
     and one of equal rows.  Rows of a class without any doc_id all stay.
     """
     used = ["doc_id", "text"]
