@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MESSAGE = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("status", T.StringType()), T.StructField("pct", T.DoubleType()), T.StructField("at", T.TimestampType())])
+# States that end a job, and the stages in their order.
 TERMINAL = ("awaiting_review", "completed", "failed")
 STAGES = ("s01_validate", "s02_normalize", "s03_segment", "s04_frames_ocr", "s05_motion", "s06_events", "s07_targets", "s09_bug", "s10_synthesis", "s11_validate_score", "s12_finalize")
 
