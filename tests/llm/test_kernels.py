@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewright.llm import bpe, ivfpq, licenses, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, ivfpq, licenses, minhash, planes, simhash, telephony, toxicity
 from tracewright.llm.registry import tokenizer
 
 BYTE, WORD = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
@@ -263,3 +263,17 @@ def test_index_recall_against_brute_force():
 def test_digest_of_ids():
     own = bpe.WordBpe(WORD)
     assert hashlib.sha256(own.encode("")).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.85, 0.9])
+def test_bands_meet_from_the_similarity_on(similar):
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(2000):
+        n = 400
+        both = round(similar * n)
+        own = (n - both) // 2
+        h = rng.integers(0, 2**64, n, np.uint64)
+        x, y = minhash.minima(h[: both + own]), minhash.minima(np.concatenate([h[:both], h[both + own :]]))
+        met += (minhash.bands(x) == minhash.bands(y)).any()
+    assert met >= 1996

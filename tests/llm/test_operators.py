@@ -353,3 +353,28 @@ def test_wide_candidates_are_verified(spark):
     assert caught >= 42 and caught > before + 10
     strict = simhash.classes(d.withColumn("_text", F.xxhash64("text")), shingle=5, radius=0, segments=4, also=("_text",), wide=11, similar=1.0)
     assert strict.where("doc_id <> component_id").count() == 0
+
+
+def edited(rng, words, similar):
+    """A text of 200 words and one that shares about ``similar`` of its five-word shingles, but no less."""
+    base = list(rng.choice(words, 200))
+    cuts = [base[i : i + 5] for i in range(196)]
+    t = list(base)
+    for at in rng.permutation(200):
+        turn = [*t[:at], "edit", *t[at + 1 :]]
+        same = sum(turn[i : i + 5] == c for i, c in enumerate(cuts))
+        if same < similar * (2 * 196 - same):
+            break
+        t = turn
+    return " ".join(base), " ".join(t)
+
+
+def test_pairs_from_the_similarity_on_are_found(spark):
+    rng = np.random.default_rng(5)
+    words = [f"t{i}" for i in range(5000)]
+    rows = []
+    for k in range(180):
+        base, t = edited(rng, words, (0.8, 0.85, 0.9)[k % 3])
+        rows += [(10 * k + 1, base, "z"), (10 * k + 2, t, "z")]
+    kept = {r[0] for r in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()}
+    assert kept == {10 * k + 1 for k in range(180)}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm import columns, components, scratch
+from tracewright.llm import columns, components, minhash, scratch
 from tracewright.llm.arrow import chunks, texts
 
 BITS = 64
@@ -68,22 +68,34 @@ def shingle_hashes(text: str, shingle: int, seed: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str, shingle: int, seed: int) -> int:
     """The 64-bit fingerprint: a bit is set if it is set in over half of the hashes."""
+    return _sketch(text, shingle, seed, False)[0]
+
+
+def _sketch(text: str, shingle: int, seed: int, banded: bool) -> tuple[int, np.ndarray | None]:
+    """The fingerprint, and the minima of ``minhash`` if asked for."""
     ones, count = np.zeros(BITS, np.int64), 0
+    least = minhash.minima(np.zeros(0, np.uint64)) if banded else None
     for hashes in shingle_hashes(text, shingle, seed):
+        if banded:
+            least = np.minimum(least, minhash.minima(hashes))
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         count += len(hashes)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0]), least
 
 
-def fingerprints(df: DataFrame, keys: list[str], column: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Keys and fingerprint (the 64 bits as a signed long) of every row."""
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, keys: list[str], column: str = "text", shingle: int = 4, seed: int = 42, banded: bool = False) -> DataFrame:
+    """Keys and fingerprint (the 64 bits as a signed long) of every row, and its bands if asked for."""
+    more = [T.StructField("bands", T.ArrayType(T.LongType()))] if banded else []
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("fp", T.LongType()), *more])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, column):
-                found = np.array([fingerprint(t, shingle, seed) for t in texts(part, column)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(k)) for k in keys], pa.array(found)], names=schema.names)
+                made = [_sketch(t, shingle, seed, banded) for t in texts(part, column)]
+                cols = [pa.array(np.array([fp for fp, _ in made], np.uint64).view(np.int64))]
+                if banded:
+                    cols.append(pa.array([minhash.bands(least) for _, least in made], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(k)) for k in keys], *cols], names=schema.names)
 
     return df.select(*keys, column).mapInArrow(kernel, schema)
 
@@ -249,11 +261,8 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | N
     return dealt.mapInArrow(kernel, "a long, b long, sure boolean").distinct()
 
 
-def verified(pairs: DataFrame, samples: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts share at least ``least`` of their distinct shingles.
-
-    ``samples`` has one text (fp, text) for every fingerprint of ``pairs``.
-    """
+def shingle_sets(samples: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(fp, set): the sorted distinct shingle hashes of texts (fp, text), as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +270,12 @@ def verified(pairs: DataFrame, samples: DataFrame, shingle: int, seed: int, leas
                 found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, shingle, seed)])).tobytes() for t in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("fp")), pa.array(found, pa.binary())], names=["fp", "set"])
 
+    return scratch.store(samples.select("fp", "text").mapInArrow(sets, "fp long, set binary"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (fp, set) share at least ``least`` of their members."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -271,8 +286,7 @@ def verified(pairs: DataFrame, samples: DataFrame, shingle: int, seed: int, leas
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    hashed = scratch.store(samples.select("fp", "text").mapInArrow(sets, "fp long, set binary"), "shingle-sets")
-    both = pairs.select("a", "b").join(hashed.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -292,20 +306,25 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: i
     are at least ``similar`` by Jaccard's measure, except for the forests of
     crowded buckets, where copies are many.
     """
-    fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed), "fingerprints")
-    groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-groups")
+    fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed, bool(wide)), "fingerprints")
+    first = [F.min_by("bands", also[0]).alias("bands")] if wide else []
+    groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least"), *first), "fingerprint-groups")
     found = scratch.store(links(groups.select("fp"), radius, segments, wide), "fingerprint-links")
-    rooted = components.roots(found.where("sure"))
     if wide:
-        top = rooted.select(F.col("node").alias("fp"), "root")
+        banded = scratch.store(minhash.members(groups), "band-places")
+        wanted = banded.select("fp").union(found.select("a")).union(found.select("b")).distinct()
+        sets = shingle_sets(texts_of(df, fps, wanted, column, also[0]), shingle, seed)
+        near = minhash.links(banded, sets, lambda pairs: verified(pairs, sets, similar), similar)
+        near = near.unionByName(found.where("sure").select("a", "b"))
+        top = components.roots(near).select(F.col("node").alias("fp"), "root")
         far = found.where("not sure").select("a", "b")
         for end in ("a", "b"):
             far = far.join(top.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        # Pairs that sure links join already need no check.
+        # Pairs that verified links join already need no check.
         far = scratch.store(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "far-links")
-        wanted = far.select(F.col("a").alias("fp")).union(far.select("b")).distinct()
-        sure = verified(far, texts_of(df, fps, wanted, column, also[0]), shingle, seed, similar)
-        rooted = components.roots(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sure))
+        rooted = components.roots(near.unionByName(verified(far, sets, similar)))
+    else:
+        rooted = components.roots(found.where("sure"))
     placed = groups.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
