@@ -277,3 +277,9 @@ def test_bands_meet_from_the_similarity_on(similar):
         x, y = minhash.minima(h[: both + own]), minhash.minima(np.concatenate([h[:both], h[both + own :]]))
         met += (minhash.bands(x) == minhash.bands(y)).any()
     assert met >= 1996
+
+
+def test_forest_of_a_crowded_bucket_is_no_proof():
+    fps = np.array([0] + [1 << b for b in range(40)] + [3 << b for b in range(40)], np.int64)
+    a, b, sure = simhash.bucket_links(np.zeros(len(fps), np.int64), fps, np.ones(len(fps), bool), 7, 10)
+    assert len(a) and (simhash.differing(a, b) > 0).all() and not sure.any()

@@ -153,11 +153,11 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(left), np.concatenate(right), label
 
 
-def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a crowded bucket: a spanning forest (sure), and the closest pair of any two of its trees within ``wide``."""
+def dense_links(fps: np.ndarray, radius: int, wide: int, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a crowded bucket, sure up to ``bar`` bits: a spanning forest, and the closest pair of any two of its trees within ``wide``."""
     fps = np.unique(fps)
     left, right, label = forest(fps, radius)
-    a, b, sure = [fps[left]], [fps[right]], [np.ones(len(left), bool)]
+    a, b, sure = [fps[left]], [fps[right]], [differing(fps[left], fps[right]) <= bar]
     if wide > radius and label.max(initial=0):
         step = max(1, PAIRS // len(fps))
         found = []
@@ -178,8 +178,8 @@ def dense_links(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np
 def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links within buckets and whether they are sure; rows come by bucket, own rows first.
 
-    Without ``wide`` every link is.  With it, links of up to ``SURE`` bits and
-    the forests of crowded buckets are; all others are candidates.
+    Without ``wide`` every link is.  With it, links of up to ``SURE`` bits are;
+    all others, the forests of crowded buckets too, are candidates.
     """
     bar = SURE if wide else radius
     wide = max(radius, wide or 0)
@@ -191,7 +191,7 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: i
     left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
 
     def crowded(s: int, n: int) -> None:
-        a, b, known = dense_links(fps[s : s + n], radius, wide)
+        a, b, known = dense_links(fps[s : s + n], radius, wide, bar)
         left.append(a)
         right.append(b)
         sure.append(known)
@@ -302,9 +302,10 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: i
     """Per row: key, fp and component_id, the smallest key that links lead to.
 
     With ``wide`` (and the text's hash as the first of ``also``), links of more
-    than ``SURE`` and up to ``wide`` bits hold only if their texts' shingle sets
-    are at least ``similar`` by Jaccard's measure, except for the forests of
-    crowded buckets, where copies are many.
+    than ``SURE`` and up to ``wide`` bits, and pairs that share a band of
+    ``minhash``, hold only if their texts' shingle sets are at least ``similar``
+    by Jaccard's measure.  Crowded buckets give only some of their links, but
+    the bands try every pair that shares one until it is joined or has failed.
     """
     fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed, bool(wide)), "fingerprints")
     first = [F.min_by("bands", also[0]).alias("bands")] if wide else []
@@ -339,8 +340,9 @@ def digests(df: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int = 4, wide: int = 10) -> DataFrame:
     """One document of each class: that with the smallest doc_id, with its own columns.
 
-    Fingerprints of up to ``wide`` differing bits that share a bucket are
-    candidates; their texts must share 0.8 of their shingles.  Of rows that share this doc_id the one with the smallest text hash stays,
+    Fingerprints of up to ``wide`` differing bits that share a bucket, or a band
+    of ``minhash``, are candidates; their texts must share 0.8 of their shingles.
+    Of rows that share this doc_id the one with the smallest text hash stays,
     and one of equal rows.  Rows of a class without any doc_id all stay.
     """
     used = ["doc_id", "text"]
