@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, components, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, chat, components, ivfpq, licenses, lines, minhash, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.registry import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, removed int, size int, score string, target string, media string, ids int"
@@ -378,3 +378,18 @@ def test_pairs_from_the_similarity_on_are_found(spark):
         rows += [(10 * k + 1, base, "z"), (10 * k + 2, t, "z")]
     kept = {r[0] for r in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()}
     assert kept == {10 * k + 1 for k in range(180)}
+
+
+def test_a_pair_of_two_trees_is_tried_after_another_failed(spark):
+    """Members of one bucket, of which only the last two are similar, are all tried."""
+    rows = [(1, [1, 2, 3, 4]), (2, [11, 12, 13, 14]), (3, [21, 22, 23, 24]), (4, [31, 32, 33, 34]), *[(i, [k * 100 + i for k in range(4)]) for i in range(5, 30)], (30, [31, 32, 33, 34])]
+    sets = spark.createDataFrame([(i, bytearray(np.array(s, "<u8").tobytes())) for i, s in rows], "fp long, set binary")
+    placed = minhash.members(spark.createDataFrame([(i, [7]) for i, _ in rows], "fp long, bands array<long>"))
+    tried = []
+
+    def check(pairs):
+        tried.extend(map(tuple, pairs.collect()))
+        return simhash.verified(pairs, sets, 0.8)
+
+    assert [tuple(r) for r in minhash.links(placed, sets, check, 0.8).collect()] == [(4, 30)]
+    assert sorted(tried) == [(i, j) for i in range(1, 31) for j in range(i + 1, 31)]
