@@ -22,3 +22,8 @@ def pack(df: DataFrame, used: list[str]) -> DataFrame:
 def unpack(df: DataFrame, names: list[str], used: list[str], **values: Column) -> DataFrame:
     """The columns ``names`` again, in order, with some values replaced."""
     return df.select(*[values.get(c, F.col(c) if c in used else F.col(OTHERS)[c]).alias(c) for c in names])
+
+
+def identity(*values: Column | str) -> Column:
+    """128 bits of hash that name a row by its values."""
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))

@@ -37,6 +37,7 @@ def roots(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) for every node with a smaller member in its component.
 
     ``links`` has long columns ``a`` and ``b``; loops and repeats are harmless.
+    Raises if ``most_rounds`` do not suffice: an unfinished state is no result.
     """
     stars = scratch.store(links.select("a", "b").where("a <> b").distinct(), "links")
     state = _state(stars)
@@ -48,4 +49,6 @@ def roots(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         stars, before, state = turned, state, _state(turned)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,7 +3,7 @@
 Intermediate tables cut the lineage: an executor that is lost later costs a
 re-read and not a re-computation.  They live below ``spark.checkpoint.dir``,
 which driver and executors share on a cluster.  Only where that setting is
-absent (local tests) is a folder of this machine used.
+absent and the master is local (tests) is a folder of this machine used.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def folder(spark: SparkSession, label: str) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir() + "/tracewright"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
