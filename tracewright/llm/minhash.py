@@ -5,17 +5,20 @@ under another linear map.  Two texts of similarity s share a band, and with it a
 bucket, with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, more above.
 
 Every pair of a bucket ends up in one component or fails the exact check.  A
-bucket does not give all its pairs at once: in every round some members are
-compared with those after them that no verified link joins to them yet, first
-one member, then eight times as many each round; a bucket is done when it is one
-component or all its members had their turn.  A large group of copies so costs
-one star, and only a bucket of many dissimilar members costs their pairs.
+bucket does not give all its pairs at once: members have a seeded random order,
+and in every round some are compared with all behind them that no verified link
+joins to them yet: first one member, then eight, then eight times as many each
+round.  A bucket is done when it is one component or all its members had their
+turn.  A large group of copies so costs one star, and only a bucket of many
+dissimilar members costs their pairs.  Counts and the first member come from
+aggregates with partial sums, and who is next from the random number and the
+count, so no bucket is sorted or held as a whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import components, scratch
@@ -50,40 +53,45 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def members(banded: DataFrame) -> DataFrame:
-    """(bucket, fp, place) of buckets with two members or more; ``banded`` has distinct fp, and bands."""
-    by = Window.partitionBy("bucket")
-    rows = banded.select(F.explode("bands").alias("bucket"), "fp")
-    placed = rows.select("bucket", "fp", F.count(F.lit(1)).over(by).alias("n"), (F.row_number().over(by.orderBy("fp")) - 1).alias("place"))
-    return placed.where("n > 1").select("bucket", "fp", "place")
+    """(bucket, node, r, n) of buckets with ``n`` > 1 members; ``banded`` has distinct nodes, and bands."""
+    # r: a random number in [0, 1) that orders the members.
+    r = F.shiftrightunsigned(F.xxhash64(F.lit(17), "node"), 11) / F.lit(2.0**53)
+    rows = scratch.store(banded.select("node", F.explode("bands").alias("bucket")), "band-rows")
+    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return scratch.store(rows.join(many, "bucket").select("bucket", "node", r.alias("r"), "n"), "band-members")
 
 
-def links(placed: DataFrame, sets: DataFrame, check, similar: float) -> DataFrame:
+def links(placed: DataFrame, sets: DataFrame, first: DataFrame, check, similar: float) -> DataFrame:
     """(a, b) of verified links that join all pairs of buckets that ``check`` accepts.
 
-    ``placed`` is what ``members`` gives, ``sets`` has a shingle set (fp, set) of
-    every member, and ``check`` takes pairs (a, b), each once.
+    ``placed`` is what ``members`` gives, ``sets`` has a shingle set (node, set)
+    of every member, ``first`` are further pairs to try, and ``check`` takes
+    pairs (a, b), each once.
     """
-    sizes = sets.select("fp", F.length("set").alias("size"))
-    placed = scratch.store(placed.join(sizes, "fp"), "band-members")
-    spark = placed.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "fp long, root long")
-    tried, at, turns = None, 0, 1
+    sizes = sets.select("node", F.length("set").alias("size"))
+    placed = scratch.store(placed.join(sizes, "node"), "band-sizes")
+    order = F.struct("r", "node", "size")
+    hubs = placed.groupBy("bucket", "n").agg(F.min(order).alias("h")).select("bucket", "n", "h.*")
+    roots, tried, found, turns, before = None, first, scratch.store(check(first), "band-links"), 0, 0
+    open_ = placed
     while True:
-        now = placed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        left = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).where((F.col("low") != F.col("high")) & (F.col("last") > at))
-        now = scratch.store(now.join(left.select("bucket"), "bucket", "left_semi"), "band-open")
-        if now.isEmpty():
-            return found
-        hub = now.where(F.col("place").between(at, at + turns - 1)).select("bucket", F.col("fp").alias("a"), F.col("place").alias("p"), F.col("root").alias("r"), F.col("size").alias("s"))
+        if turns:
+            upto = F.lit(float(turns)) / F.col("n")
+            hubs = open_.where((F.col("r") < upto) & (F.col("r") >= F.lit(float(before)) / F.col("n")))
+        hub = hubs.select("bucket", F.struct("r", "node").alias("at"), F.col("node").alias("a"), F.col("size").alias("s"), *([F.col("root").alias("own")] if turns else []))
         # Sets whose sizes differ by more cannot be similar.
         sized = F.least("s", "size") >= similar * F.greatest("s", "size")
-        pairs = now.join(hub, "bucket").where((F.col("place") > F.col("p")) & (F.col("root") != F.col("r")) & sized)
-        pairs = pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        apart = F.col("root") != F.col("own") if turns else F.lit(True)
+        pairs = open_.join(hub, "bucket").where((F.struct("r", "node") > F.col("at")) & sized & apart)
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.store(pairs, "band-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = tried.unionByName(pairs)
         found = found.unionByName(scratch.store(check(pairs), "band-links"))
-        roots = components.roots(found).select(F.col("node").alias("fp"), "root")
-        at, turns = at + turns, 8 * turns
+        roots = components.roots(found).withColumnRenamed("node", "x")
+        now = open_.drop("root").join(roots, F.col("node") == F.col("x"), "left").withColumn("root", F.coalesce("root", "node")).drop("x")
+        # Buckets whose members are not all joined, and have not all had their turn.
+        left = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > turns))
+        open_ = scratch.store(now.join(left.select("bucket"), "bucket", "left_semi"), "band-open")
+        if open_.isEmpty():
+            return found
+        before, turns = turns, 8 * turns or 8

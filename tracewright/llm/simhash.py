@@ -5,14 +5,21 @@ A fingerprint is cut into segments.  If two fingerprints differ in at most
 at least one segment differs in at most its ``r_i`` bits.  Every fingerprint
 enters the table of each segment under its own value, and asks it for all
 values of the Hamming ball of that segment's radius; whatever shares a value is
-verified on all 64 bits.  Default: segments of 22, 21 and 21 bits with radii 0,
-1, 1, so 45 rows per distinct fingerprint.
+verified on all 64 bits.  The number of segments follows the number of
+fingerprints (``segments_for``): fewer and wider segments have larger balls, but
+buckets that stay small.
 
 Equal fingerprints are collapsed before, so exact copies cost one row however
 many they are.  A bucket never gives all its pairs: where links are dense, a
 search from unvisited member to unvisited member finds the bucket's exact
-components and emits their spanning trees only.  Components of the whole table
-follow by star contraction.
+components and emits their spanning trees only.  A bucket with more than
+``BLOCK`` entries is dealt out in blocks of entries against blocks of rows, so
+no task holds it whole.  Components of the whole table follow by star
+contraction.
+
+``keep_one`` removes near-duplicates by shingle sets: fingerprints near each
+other, and texts that share a band of ``minhash``, are candidates, and every
+link is verified on the sets of both texts, whatever else is in its bucket.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero
 and links like any other; texts with fewer words than a shingle are one shingle;
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +44,14 @@ from tracewright.llm import columns, components, minhash, scratch
 from tracewright.llm.arrow import chunks, texts
 
 BITS = 64
-#: Fingerprints whose texts are fetched by a broadcast (16 bytes each), and not by a shuffle.
-BROADCAST_ROWS = 400_000
 #: Shingles whose hashes are held at once.
 SLICE = 200_000
 #: Pairs checked side by side; pairs of one bucket above which it is searched on its own.
-PAIRS, DENSE = 2_000_000, 4_096
-#: Differing bits up to which a link needs no check of the texts.
-SURE = 0
+PAIRS, DENSE = 2_000_000, 262_144
+#: Entries of a bucket above which it is dealt out in blocks.
+BLOCK = 16_384
+#: A fingerprint or text with more than this share of all rows is named by a broadcast: there are at most 1,000 of them.
+HOT_SHARE = 0.001
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -115,6 +123,21 @@ def plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def segments_for(count: int, radius: int) -> int:
+    """The number of segments with the least work for so many fingerprints.
+
+    Work of one fingerprint: a row for every value of its balls, and a comparison
+    (200 of which cost as much as a row) with everything evenly filled buckets
+    hold.  Radius 4: four segments up to 17 million, three up to 5 billion, then two.
+    """
+
+    def work(segments: int) -> float:
+        balls = [(sum(comb(width, r) for r in range(ball + 1)), width) for _, width, ball in plan(radius, segments)]
+        return sum(rows + count * rows / 2**width / 200 for rows, width in balls)
+
+    return min(range(1, max(2, radius + 1)), key=work)
+
+
 def probes(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
     """(bucket, fp, own): table rows (own) and ball rows of every fingerprint."""
     rows = []
@@ -126,75 +149,61 @@ def probes(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
     return distinct.select("fp", each).select((F.expr("shiftleft(e.n, 58)").bitwiseXOR(value)).alias("bucket"), "fp", (F.col("e.f") == 0).alias("own"))
 
 
+def blocked(rows: DataFrame, tables: DataFrame, block: int) -> DataFrame:
+    """``probes`` with a number ``cell``: buckets of over ``block`` entries (of ``tables``) are a grid of cells.
+
+    Entries are dealt by a hash to ``k`` blocks, all rows to ``k`` others, and
+    every pair of blocks is a cell; other buckets are one cell.
+    """
+    # At most one bucket in ``block`` table rows; the stored size decides whether the join broadcasts.
+    hot = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    hot = scratch.store(hot.select("bucket", F.ceil(F.col("m") / block).cast("int").alias("k")), "crowded-buckets")
+    if hot.isEmpty():
+        return rows.withColumn("cell", F.lit(0))
+    spread = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((spread * F.col("k") + i).alias("cell"), F.col("own").alias("own")))
+    across = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((i * F.col("k") + spread).alias("cell"), F.lit(False).alias("own")))
+    # An entry is a row as well: it asks all blocks of entries.
+    cells = F.when(F.col("k").isNull(), F.array(F.struct(F.lit(0).alias("cell"), F.col("own").alias("own")))).when(F.col("own"), F.concat(each, across)).otherwise(across)
+    return rows.join(hot, "bucket", "left").select("bucket", "fp", F.explode(cells).alias("c")).select("bucket", "fp", "c.own", "c.cell")
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of signed longs (counted unsigned: numpy counts those of the absolute value)."""
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning forest (two index arrays) and component numbers of distinct fingerprints."""
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (two arrays) of distinct fingerprints."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    label = np.zeros(len(fps), np.int64)
-    todo, number = np.arange(len(fps)), 0
+    todo = np.arange(len(fps))
     while len(todo):
         front, todo = [todo[0]], todo[1:]
-        label[front[0]] = number
         while front and len(todo):
             at = front.pop()
             near = differing(fps[todo], fps[at]) <= radius
             if near.any():
                 hit = todo[near]
-                label[hit] = number
                 left.append(np.full(len(hit), at))
                 right.append(hit)
                 front.extend(hit)
                 todo = todo[~near]
-        number += 1
-    return np.concatenate(left), np.concatenate(right), label
-
-
-def dense_links(fps: np.ndarray, radius: int, wide: int, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a crowded bucket, sure up to ``bar`` bits: a spanning forest, and the closest pair of any two of its trees within ``wide``."""
-    fps = np.unique(fps)
-    left, right, label = forest(fps, radius)
-    a, b, sure = [fps[left]], [fps[right]], [differing(fps[left], fps[right]) <= bar]
-    if wide > radius and label.max(initial=0):
-        step = max(1, PAIRS // len(fps))
-        found = []
-        for at in range(0, len(fps), step):
-            d = differing(fps[at : at + step, None], fps[None, :])
-            i, j = np.nonzero((d <= wide) & (label[at : at + step, None] < label[None, :]))
-            found.append(np.stack([label[at + i], label[j], d[i, j], at + i, j]).astype(np.int64))
-        rows = np.concatenate(found, axis=1)
-        rows = rows[:, np.lexsort(rows[::-1])]
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
-        a.append(fps[rows[3, new]])
-        b.append(fps[rows[4, new]])
-        sure.append(np.zeros(int(new.sum()), bool))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-
-
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within buckets and whether they are sure; rows come by bucket, own rows first.
-
-    Without ``wide`` every link is.  With it, links of up to ``SURE`` bits are;
-    all others, the forests of crowded buckets too, are candidates.
-    """
-    bar = SURE if wide else radius
-    wide = max(radius, wide or 0)
+    return fps[np.concatenate(left)], fps[np.concatenate(right)]
+
+
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets that give their exact components; rows come by bucket, own rows first."""
     start = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     size = np.diff(np.append(start, len(bucket)))
     mine = np.add.reduceat(own.astype(np.int64), start)
     busy = (mine > 0) & (size > 1)
     start, size, mine = start[busy], size[busy], mine[busy]
-    left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def crowded(s: int, n: int) -> None:
-        a, b, known = dense_links(fps[s : s + n], radius, wide, bar)
+        a, b = forest(np.unique(fps[s : s + n]), radius)
         left.append(a)
         right.append(b)
-        sure.append(known)
 
     small = size * mine <= DENSE
     for s, n in zip(start[~small], size[~small]):
@@ -212,42 +221,40 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: i
         ahead = i > j
         i, j, group = i[ahead], j[ahead], group[ahead]
         differ = differing(fps[i], fps[j])
-        linked = (differ > 0) & (differ <= wide)
-        i, j, group, differ = i[linked], j[linked], group[linked], differ[linked]
+        linked = (differ > 0) & (differ <= radius)
+        i, j, group = i[linked], j[linked], group[linked]
         many = np.bincount(group, minlength=len(s)) > 2 * n
         for g in np.flatnonzero(many):
             crowded(s[g], n[g])
         few = ~many[group]
         left.append(fps[i[few]])
         right.append(fps[j[few]])
-        sure.append(differ[few] <= bar)
         at = to
-    return np.concatenate(left), np.concatenate(right), np.concatenate(sure)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | None = None) -> DataFrame:
-    """Links (a, b, sure) between distinct fingerprints.
-
-    Without ``wide`` all are sure and give the exact components of ``radius``.
-    With it, those that are not sure are candidates of up to ``wide`` bits that
-    share a bucket.
-    """
+def links(distinct: DataFrame, count: int, radius: int = 4, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that give the exact components of ``radius`` over ``count`` distinct fingerprints."""
+    segments = segments or segments_for(count, radius)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def solve(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
-                a, b, sure = bucket_links(*rows, radius, wide)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure], 1), axis=0)
+                a, b = bucket_links(*rows, radius)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] != 0)], names=["a", "b", "sure"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            bucket, cell, *rest = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            # One number for bucket and cell: only whether neighbours differ counts.
+            rows = (bucket * np.int64(1_000_003) + cell, *rest)
+            last = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut == 0 and held and held[-1][0][-1] == rows[0][0]:
                 held.append(rows)  # the bucket goes on
                 continue
@@ -257,24 +264,53 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3, wide: int | N
         if held:
             yield from solve(tuple(np.concatenate(c) for c in zip(*held)))
 
-    dealt = probes(distinct, radius, segments).repartition("bucket").sortWithinPartitions("bucket", F.col("own").desc())
-    return dealt.mapInArrow(kernel, "a long, b long, sure boolean").distinct()
+    rows = probes(distinct, radius, segments)
+    tables = probes(distinct, segments - 1, segments).where("own")  # without balls
+    dealt = blocked(rows, tables, block).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", F.col("own").desc())
+    return dealt.select("bucket", "cell", "fp", "own").mapInArrow(kernel, "a long, b long").distinct()
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` beside the entry of ``names`` for ``key`` (unique there, with ``n``, its number of rows), whatever the share of one value."""
+    hot = names.where(F.col("n") > HOT_SHARE * total).drop("n")
+    many = rows.join(F.broadcast(hot), key)
+    return rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names.where(F.col("n") <= HOT_SHARE * total).drop("n"), key).unionByName(many)
+
+
+def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 4, radius: int = 4, segments: int | None = None, seed: int = 42) -> DataFrame:
+    """Per row: key, fp and component_id, the smallest key that links of up to ``radius`` bits lead to."""
+    fps = scratch.store(fingerprints(df, [key], column, shingle, seed), "fingerprints")
+    groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-groups")
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rooted = components.roots(links(groups.select("fp"), count, radius, segments))
+    placed = groups.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = scratch.store(placed.join(ids, "root").select("fp", "n", "component_id"), "fingerprint-classes")
+    return named(fps, by_fp, "fp", total).select(key, "fp", "component_id")
+
+
+def digests(df: DataFrame) -> DataFrame:
+    """Per document: doc_id, fingerprint as 16 hex digits, component_id."""
+    return classes(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates by shingle sets ----------------------------------------
 
 
 def shingle_sets(samples: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(fp, set): the sorted distinct shingle hashes of texts (fp, text), as bytes."""
+    """(node, set): the sorted distinct shingle hashes of texts (node, text), as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, shingle, seed)])).tobytes() for t in texts(part)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("fp")), pa.array(found, pa.binary())], names=["fp", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array(found, pa.binary())], names=["node", "set"])
 
-    return scratch.store(samples.select("fp", "text").mapInArrow(sets, "fp long, set binary"), "shingle-sets")
+    return scratch.store(samples.select("node", "text").mapInArrow(sets, "node long, set binary"), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (fp, set) share at least ``least`` of their members."""
+    """The pairs (a, b) whose shingle sets (node, set) share at least ``least`` of their members."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,70 +322,59 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def texts_of(df: DataFrame, fps: DataFrame, wanted: DataFrame, column: str, hashed: str) -> DataFrame:
-    """One text (fp, text) for every wanted fingerprint, by the hash of the text."""
-    keys = scratch.store(fps.join(wanted, "fp").groupBy("fp").agg(F.min(hashed).alias(hashed)), "wanted-texts")
-    few = keys.count() <= BROADCAST_ROWS
-    rows = df.select(hashed, F.col(column).alias("text")).join(F.broadcast(keys) if few else keys, hashed)
-    return rows.groupBy("fp").agg(F.first("text").alias("text"))
-
+def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, similar: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts and the verified links between them.
 
-def classes(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, seed: int = 42, also: tuple[str, ...] = (), wide: int | None = None, similar: float = 0.8) -> DataFrame:
-    """Per row: key, fp and component_id, the smallest key that links lead to.
-
-    With ``wide`` (and the text's hash as the first of ``also``), links of more
-    than ``SURE`` and up to ``wide`` bits, and pairs that share a band of
-    ``minhash``, hold only if their texts' shingle sets are at least ``similar``
-    by Jaccard's measure.  Crowded buckets give only some of their links, but
-    the bands try every pair that shares one until it is joined or has failed.
+    ``rows`` has ``_text`` (a digest that names the text), ``_best`` (what is
+    smallest in the row to keep) and the text.  Texts come back as (node, _text,
+    fp, best); links as (a, b) of nodes.
     """
-    fps = scratch.store(fingerprints(df, [key, *also], column, shingle, seed, bool(wide)), "fingerprints")
-    first = [F.min_by("bands", also[0]).alias("bands")] if wide else []
-    groups = scratch.store(fps.groupBy("fp").agg(F.min(key).alias("least"), *first), "fingerprint-groups")
-    found = scratch.store(links(groups.select("fp"), radius, segments, wide), "fingerprint-links")
-    if wide:
-        banded = scratch.store(minhash.members(groups), "band-places")
-        wanted = banded.select("fp").union(found.select("a")).union(found.select("b")).distinct()
-        sets = shingle_sets(texts_of(df, fps, wanted, column, also[0]), shingle, seed)
-        near = minhash.links(banded, sets, lambda pairs: verified(pairs, sets, similar), similar)
-        near = near.unionByName(found.where("sure").select("a", "b"))
-        top = components.roots(near).select(F.col("node").alias("fp"), "root")
-        far = found.where("not sure").select("a", "b")
-        for end in ("a", "b"):
-            far = far.join(top.select(F.col("fp").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        # Pairs that verified links join already need no check.
-        far = scratch.store(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "far-links")
-        rooted = components.roots(near.unionByName(verified(far, sets, similar)))
-    else:
-        rooted = components.roots(found.where("sure"))
-    placed = groups.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(key, *also, "fp", "component_id")
-
-
-def digests(df: DataFrame) -> DataFrame:
-    """Per document: doc_id, fingerprint as 16 hex digits, component_id."""
-    return classes(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, segments: int = 4, wide: int = 10) -> DataFrame:
+    sketched = scratch.store(fingerprints(rows, ["_text", "_best"], column, shingle, seed, True), "fingerprints")
+    distinct = sketched.groupBy("_text").agg(F.min("_best").alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # The stored numbers name the texts from here on.
+    nodes = scratch.store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    banded = minhash.members(nodes)
+    fps = scratch.store(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")), "fingerprint-hubs")
+    count = fps.count()
+    near = links(fps.select("fp"), count, radius)
+    ends = [fps.select(F.col("fp").alias(fp), F.col("hub").alias(end)) for fp, end in (("p", "a"), ("q", "b"))]
+    near = near.select(F.col("a").alias("p"), F.col("b").alias("q")).join(ends[0], "p").join(ends[1], "q").select("a", "b")
+    # Texts of one fingerprint ask its smallest node.
+    same = nodes.join(fps.where("n > 1"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = scratch.store(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-pairs")
+    wanted = banded.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    wanted = scratch.store(nodes.select("node", "_text").join(wanted, "node"), "wanted-texts")
+    samples = rows.select("_text", F.col(column).alias("text")).join(wanted, "_text").groupBy("node").agg(F.first("text").alias("text"))
+    sets = shingle_sets(samples, shingle, seed)
+    return nodes, minhash.links(banded, sets, first, lambda pairs: verified(pairs, sets, similar), similar)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = 0.8, seed: int = 42) -> DataFrame:
     """One document of each class: that with the smallest doc_id, with its own columns.
 
-    Fingerprints of up to ``wide`` differing bits that share a bucket, or a band
-    of ``minhash``, are candidates; their texts must share 0.8 of their shingles.
-    Of rows that share this doc_id the one with the smallest text hash stays,
-    and one of equal rows.  Rows of a class without any doc_id all stay.
+    Two texts are linked if their sets of ``shingle``-word shingles are at least
+    ``similar`` by Jaccard's measure; classes are the components of these links.
+    Candidates are fingerprints of up to ``radius`` differing bits and texts that
+    share a band of ``minhash`` (0.9999 of the pairs at 0.8, more above); each
+    link is verified on the whole sets, but for equal texts.
+
+    Edge cases: null, empty and blank texts are one class; a null doc_id comes
+    last; of rows that share the smallest doc_id the one with the smallest digest
+    stays, and one of rows that are equal in all columns; an empty table stays
+    empty.
     """
     used = ["doc_id", "text"]
-    marked = columns.pack(docs, used).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = classes(marked, shingle=shingle, radius=radius, segments=segments, also=("_text",), wide=wide)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_text").alias("_text"))
-    first = marked.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])
-    nameless = found.where("component_id is null").select("_text").distinct()
-    rest = marked.where("doc_id is null").join(nameless, "_text", "left_semi")
-    return columns.unpack(first.unionByName(rest.select(*first.columns)), docs.columns, used)
+    packed = columns.pack(docs, used)
+    text = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    best = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", columns.OTHERS).alias("row"))
+    marked = packed.withColumn("_text", text).withColumn("_best", best)
+    nodes, linked = similar_nodes(marked, "text", shingle, radius, similar, seed)
+    rooted = components.roots(linked)
+    placed = nodes.select("node", "_text", "best").join(rooted, "node", "left")
+    kept = placed.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("best.nameless", "best.id", "_text", "best.row")).alias("k"))
+    first = marked.withColumn("_row", F.col("_best.row")).join(kept.select(F.col("k._text").alias("_text"), F.col("k.row").alias("_row")), ["_text", "_row"])
+    return columns.unpack(first.dropDuplicates(["_text", "_row"]), docs.columns, used)
