@@ -6,12 +6,11 @@ sketches.  Lines whose estimate is far above the threshold are boilerplate,
 those far below are not, and those near it get exact distinct counts (sites of a
 line are made distinct before they are counted, so no line is one group).
 
-The occurrence with the smallest (doc_id, position) stays, others are removed.
-A document of which lines to remove make up more than ``most_share`` is a copy
-of another document, not a page with boilerplate: it is left whole for
-near-duplicate removal, which keeps one of its kind and no torn remains.
+The occurrence with the smallest (doc_id, position) stays, others are removed,
+whatever share of their document they are: of pages copied across sites the first
+stays whole.
 
-Edge cases: a line is compared without blanks, tabs and carriage returns at its
+Edge cases: a line is known by 96 bits of two hashes and its length; it is compared without blanks, tabs and carriage returns at its
 ends, and only if ``min_chars`` remain; null texts have no lines and stay null;
 a null site is a site of its own; rows with a null doc_id come first in order;
 equal rows (same doc_id and text) lose the same lines; long texts are whole;
@@ -36,7 +35,7 @@ def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
     """One row per line that counts: row key, position, length, hash, site."""
     key = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("n")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.btrim("line", F.lit(" \t\r"))
-    return key.select("doc_id", "row", "pos", "site", F.length(line).alias("len"), F.xxhash64(line).alias("hash")).where(F.col("len") >= min_chars)
+    return key.select("doc_id", "row", "pos", "site", F.length(line).alias("len"), F.struct(F.xxhash64(line).alias("h"), F.hash(line).alias("g")).alias("hash")).where(F.col("len") >= min_chars)
 
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
@@ -59,17 +58,16 @@ def _occurrences(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "len", "salt"])
 
 
-def marked(docs: DataFrame, site: str = "source", min_sites: int = 3, min_chars: int = 15, most_share: float = 0.5) -> DataFrame:
+def marked(docs: DataFrame, site: str = "source", min_sites: int = 3, min_chars: int = 15) -> DataFrame:
     """``docs`` with ``removed``, the positions of lines to remove (null: none)."""
     lines = scratch.store(_lines(docs, site, min_chars), "lines")
     found = scratch.store(boilerplate(lines, min_sites), "boilerplate")
     again = _occurrences(lines, found).where(~(F.struct("doc_id", "pos", "row").eqNullSafe(F.col("first"))))
-    by_row = again.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("removed"), F.sum("len").alias("_out"))
+    by_row = again.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("removed"))
     left = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     right = by_row.withColumnRenamed("doc_id", "_doc")
     joined = left.join(right, (left["_row"] == right["row"]) & left["doc_id"].eqNullSafe(right["_doc"]), "left")
-    takes = F.col("_out") <= most_share * F.length("text")
-    return joined.withColumn("removed", F.when(takes, F.col("removed"))).drop("_row", "row", "_doc", "_out")
+    return joined.drop("_row", "row", "_doc")
 
 
 def _kept_text() -> Column:
@@ -110,10 +108,10 @@ WITH l AS (
   SELECT key, min({'d': doc_id, 'p': pos}) AS first FROM k
   WHERE length(key) >= 15 GROUP BY key HAVING count(DISTINCT site) >= 3
 ), r AS (
-  SELECT doc_id, list(pos) AS removed, sum(length(k.key)) AS out FROM k JOIN b ON k.key = b.key
+  SELECT doc_id, list(pos) AS removed FROM k JOIN b ON k.key = b.key
   WHERE doc_id <> first.d OR pos <> first.p GROUP BY doc_id
 ), m AS (
-  SELECT d.doc_id, d.text, CASE WHEN r.out <= 0.5 * length(d.text) THEN r.removed END AS removed
+  SELECT d.doc_id, d.text, r.removed
   FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
 )
 SELECT doc_id,
