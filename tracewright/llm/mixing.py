@@ -12,17 +12,21 @@ a seeded hash), every document moves a counter by the fraction and is taken once
 more when the counter passes a whole number.  Neighbours in that order are of
 like size, so a source misses its target by no more than its largest document,
 and reruns agree.  The order's running numbers come from counts per (source,
-size, first hash byte), so neither a hot source nor a size that a third of all
-rows share is ever one group.
+size, beginning of the hash), so neither a hot source nor a size that a third of
+all rows share is ever one group; the hash is of key and text, and equal rows are
+counted as one row, so neither null nor repeated keys are one group.
 
 Edge cases: size is the number of runs of characters other than ASCII white
 space; null texts have size 0; sources go by code point, null last; a source or
-a table without words has target 0 and takes nothing; equal rows are numbered
-one after the other; other columns stay.
+a table without words has target 0 and takes nothing; rows equal in all columns
+are numbered one after the other, rows that differ in any stay apart (128 bits of
+hash name a row); other columns stay (of any type but maps).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,54 +57,69 @@ def fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 5) -> DataFrame:
-    """Per row: doc_id, source, row hash, size, source_size, target, copies."""
-    named = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"), size_of().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary")).alias("draw"))
-    named = named.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
-    rows = scratch.store(named, "mix-rows")
+    """Per distinct row: doc_id, source, row (its identity), n (equal rows), size, source_size, target, whole, part, j.
+
+    Of the ``n`` equal rows number i takes ``whole`` copies and one more if the
+    counter passes a whole number between j + i and j + i + 1 times ``part``.
+    """
+    packed = columns.pack(docs, ["doc_id", "source", "text"])
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+    row = columns.identity("doc_id", "source", "text", columns.OTHERS)
+    named = packed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("known"), row.alias("row"), size_of().alias("size"), draw.alias("draw"))
+    # Equal rows are one from here on, however many they are.
+    rows = scratch.store(named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n")), "mix-rows")
     place = (F.row_number().over(Window.orderBy(F.col("known").desc(), "source")) - 1) % len(weights)
-    sources = rows.groupBy("known", "source").agg(F.sum("size").alias("source_size"))
+    sources = rows.groupBy("known", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
     # One row per source: numbering them is a sort of the source names alone.
     sources = scratch.store(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int"))), "mix-sources")
-    total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
-    targets = fill(sources, total, max_epochs)
-
-    rows = rows.withColumn("lot", F.substring("draw", 1, 2))
-    lots = rows.groupBy("known", "source", "size", "lot").agg(F.count(F.lit(1)).alias("n"))
-    sizes = lots.groupBy("known", "source", "size").agg(F.sum("n").alias("m"))
+    words, count = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    targets = fill(sources, share * words, max_epochs)
+
+    # Lots of one source and size: about 100,000 rows each where all rows share both.
+    digits = max(2, math.ceil(math.log(max(count, 1) / 100_000, 16)))
+    rows = rows.withColumn("lot", F.substring("draw", 1, digits))
+    lots = rows.groupBy("known", "source", "size", "lot").agg(F.sum("n").alias("m"))
+    sizes = lots.groupBy("known", "source", "size").agg(F.sum("m").alias("m"))
     by_size = Window.partitionBy("known", "source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     by_lot = Window.partitionBy("known", "source", "size").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(by_size), F.lit(0))).drop("m")
-    lots = lots.withColumn("within", F.coalesce(F.sum("n").over(by_lot), F.lit(0))).drop("n")
+    lots = lots.withColumn("within", F.coalesce(F.sum("m").over(by_lot), F.lit(0))).drop("m")
     starts = lots.join(sizes, ["known", "source", "size"]).select("known", "source", "size", "lot", (F.col("before") + F.col("within")).alias("first"))
-    in_lot = Window.partitionBy("known", "source", "size", "lot").orderBy("draw", "doc_id", "row")
-    placed = rows.withColumn("number", F.row_number().over(in_lot) - 1).join(starts, ["known", "source", "size", "lot"]).withColumn("j", F.col("number") + F.col("first"))
+    in_lot = Window.partitionBy("known", "source", "size", "lot").orderBy("draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("number", F.coalesce(F.sum("n").over(in_lot), F.lit(0))).join(starts, ["known", "source", "size", "lot"])
     # The source table is as small as the list of source names; let its size decide on a broadcast.
     joined = placed.join(targets.select("known", "source", "source_size", "target"), ["known", "source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    more = F.floor((F.col("j") + 1) * F.col("part") + 0.5) - F.floor(F.col("j") * F.col("part") + 0.5)
-    return joined.select("doc_id", F.when(F.col("known"), F.col("source")).alias("source"), "row", "size", "source_size", "target", (F.col("whole") + more).cast("int").alias("copies"))
+    return joined.select("doc_id", F.when(F.col("known"), F.col("source")).alias("source"), "row", "n", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), (F.col("number") + F.col("first")).alias("j"))
+
+
+def _passed(upto: Column, start: Column) -> Column:
+    """Whole numbers that the counter passes between two positions."""
+    return F.floor(upto * F.col("part") + 0.5) - F.floor(start * F.col("part") + 0.5)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken words."""
-    return mixed(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    each = mixed(docs, **options).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    copies = F.col("whole") + _passed(F.col("j") + F.col("i") + 1, F.col("j") + F.col("i"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
     used = ["doc_id", "source", "text"]
-    # Equal rows are one row here, with the copies of all of them.
-    taken = mixed(docs, **options).groupBy(F.col("row").alias("_row")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = columns.pack(docs, used).withColumn("_row", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_row"]).join(taken, "_row")
-    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copies = F.col("n") * F.col("whole") + _passed(F.col("j") + F.col("n"), F.col("j"))
+    taken = mixed(docs, **options).select(F.col("row").alias("_row"), copies.cast("long").alias("_copies")).where("_copies > 0")
+    # Rows equal in all columns are one row here, with the copies of all of them.
+    rows = columns.pack(docs, used).withColumn("_row", columns.identity("doc_id", "source", "text", columns.OTHERS)).dropDuplicates(["_row"]).join(taken, "_row")
+    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return columns.unpack(copied, docs.columns, used)
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('5:' || doc_id) AS draw
+         md5('5:' || doc_id || ':' || coalesce(text, '')) AS draw
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
