@@ -13,9 +13,10 @@ characters above ASCII; A-Z lower-cased) joined by one blank, so line breaks
 and punctuation inside a notice do not count as errors.
 
 Edge cases: a null or empty text has no words, no labels and score 0; equal
-rows and ties give equal results; long texts are searched whole; overlapping
-places of one notice are merged into the one with the fewest errors; other
-columns pass through; an empty table stays empty.
+rows and ties give equal results; long texts are searched whole; of overlapping
+places of one notice the one with the fewest errors stays, the first on ties;
+other columns pass through, but a column of the name of an added one is replaced;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,9 +33,6 @@ from pyspark.sql import types as T
 
 from tracewright.llm.arrow import chunks, texts
 
-#: Errors that a notice may have at most: the search costs grow steeply with them.
-MOST_ERRORS = 4
-
 #: Phrases that label a text by themselves.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -83,7 +81,7 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (notice, _) in enumerate(notices):
-            k = min(MOST_ERRORS, max(1, int(len(notice) * share)))
+            k = max(1, int(len(notice) * share))
             self.errors.append(k)
             self.patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
@@ -105,43 +103,47 @@ class Scanner:
                 at = joined.find(phrase, at + 1)
         return found
 
-    def verify(self, n: int, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        """(start, end, errors) of notice ``n`` within ``text[a:b]``; unchanged ones need no search."""
-        notice, least = self.notices[n][0], len(self.notices[n][0]) - self.errors[n]
-        while b - a >= least:
-            same = text.find(notice, a, b)
-            end = b if same < 0 else same
-            while end - a >= least and (hit := self.patterns[n].search(text, a, end)) is not None:
-                yield *hit.span(), sum(hit.fuzzy_counts)
-                a = hit.end()
-            if same < 0:
-                return
-            yield same, same + len(notice), 0
-            a = same + len(notice)
+    def verify(self, n: int, text: str, starts: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of notice ``n`` near the places where a seed lets it start.
+
+        Every seed's own window is searched: it is too short for two places side
+        by side.  Overlapping places are then settled: fewest errors, then first.
+        """
+        notice, k = self.notices[n][0], self.errors[n]
+        found: dict[tuple[int, int], int] = {}
+        at = text.find(notice)
+        while at >= 0:
+            found[at, at + len(notice)] = 0
+            at = text.find(notice, at + 1)
+        same = sorted(a for a, _ in found)
+        for start in dict.fromkeys(starts):
+            near = bisect.bisect_left(same, start - k)
+            if near < len(same) and same[near] <= start + k:
+                continue  # an unchanged place, known already
+            hit = self.patterns[n].search(text, max(0, start - k), min(len(text), start + len(notice) + 2 * k))
+            if hit is not None:
+                found[hit.span()] = sum(hit.fuzzy_counts)
+        kept: list[tuple[int, int]] = []
+        for span in sorted(found, key=lambda s: (found[s], s)):
+            i = bisect.bisect_left(kept, span)
+            if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or span[1] <= kept[i][0]):
+                kept.insert(i, span)
+        return [(a, b, found[a, b]) for a, b in kept]
 
     def fuzzy(self, joined: str) -> list[Place]:
         """Best places of the notices, in order."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, list[int]] = {}
         for end, (size, uses) in self.automaton.iter(joined):
             for n, offset in uses:
-                k = self.errors[n]
-                a = max(0, end + 1 - size - offset - k)
-                b = min(len(joined), a + len(self.notices[n][0]) + 2 * k)
-                spans = windows.setdefault(n, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                    spans[-1][2] += 1
-                else:
-                    spans.append([a, b, 1])
+                starts.setdefault(n, []).append(end + 1 - size - offset)
         places: list[Place] = []
-        if not windows:
+        if not starts:
             return places
         blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32).tolist()
-        for n, spans in windows.items():
-            for a, b, _ in spans:
-                for start, end, errors in self.verify(n, joined, a, b):
-                    first = bisect.bisect_right(blanks, start)
-                    places.append(Place(self.notices[n][1], n, first, max(first, bisect.bisect_left(blanks, end)), errors))
+        for n, seeds in starts.items():
+            for start, end, errors in self.verify(n, joined, seeds):
+                first = bisect.bisect_right(blanks, start)
+                places.append(Place(self.notices[n][1], n, first, max(first, bisect.bisect_left(blanks, end)), errors))
         return sorted(places, key=lambda p: (p.first_word, p.notice))
 
 
@@ -178,7 +180,7 @@ def scan_text(text: str, tool: Scanner) -> tuple:
 def scan(df: DataFrame, column: str = "text", phrases: dict[str, str] | None = None, notices: tuple[tuple[str, str], ...] = NOTICES, share: float = 0.1) -> DataFrame:
     """Add labels, spans (in words, from 0) and scores.
 
-    ``share``: errors that a notice may have, as a share of its characters (``MOST_ERRORS`` at most).
+    ``share``: errors that a notice may have, as a share of its characters (one at least).
     """
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in ADDED}]
     schema = T.StructType([*kept, *ADDED])
