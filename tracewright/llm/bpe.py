@@ -4,7 +4,8 @@ A word is an array of part boundaries beside an array of the ranks of adjacent
 part pairs.  The smallest rank is found by a scan, its right boundary deleted
 and the two neighbouring ranks refreshed, until no pair has a rank.  Words are
 short, so the scan beats a heap, and the ids of frequent words are kept in a
-bounded table per worker process.
+bounded table per worker process.  Only a word of over ``LONG_WORD`` parts, for
+which the scans would add up to a square, takes a heap, with the same ids.
 
 The vocabulary file (model "BPE" of the tokenizers JSON format, byte level,
 end-of-word suffix) is a parameter.  Its normaliser (NFC, white space to one
@@ -13,7 +14,8 @@ tokens in a text become their ids, as in the library.
 
 Edge cases: a null or empty text has no ids and decodes to ''.  Very long texts
 are encoded whole.  Further columns, ties and repeated rows pass through
-untouched; an empty table gives an empty table.
+untouched, but a column of the name of an added one is replaced; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ from tracewright.llm.arrow import chunks, texts
 #: Words whose ids a worker process keeps; the table is emptied when full.
 CACHE_WORDS = 400_000
 NO_RANK = sys.maxsize
+#: Parts of a word above which a heap replaces the scan.
+LONG_WORD = 256
 #: Below this code point the letter, digit and case tables of every library agree.
 PLAIN_BELOW = "ɐ"
 
@@ -77,6 +82,32 @@ def merge_word(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]
     return [parts[b] for b in bounds[:-1]]
 
 
+def merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """As ``merge_word``, for words too long for a scan per merge: a heap of ranks over linked parts."""
+    parts, n = list(parts), len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank_of = ranks.get
+    heap = [(rank, i, parts[i], parts[i + 1]) for i in range(n - 1) if (rank := rank_of((parts[i], parts[i + 1]))) is not None]
+    heapify(heap)
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j < n and (rank := rank_of((parts[i], parts[j]))) is not None:
+            heappush(heap, (rank, i, parts[i], parts[j]))
+
+    while heap:
+        _, i, left, right = heappop(heap)
+        j = after[i]
+        if j >= n or parts[i] != left or parts[j] != right:
+            continue  # one of the two has been merged meanwhile
+        parts[i], parts[j] = left + right, ""
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(before[i], i)
+        offer(i, after[i])
+    return [p for p in parts if p]
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -110,7 +141,8 @@ class WordBpe:
         shown = [self.alphabet[b] for b in word.encode("utf-8")]
         shown[-1] += self.suffix
         vocab = self.vocab
-        return array("I", [vocab[p] for p in merge_word(shown, self.ranks)]).tobytes()
+        merge = merge_word if len(shown) <= LONG_WORD else merge_long
+        return array("I", [vocab[p] for p in merge(shown, self.ranks)]).tobytes()
 
     def split(self, text: str) -> list[str]:
         if self.odd(text) is None:
@@ -128,7 +160,9 @@ class WordBpe:
             seen.clear()
         for w in self.split(text):
             if (got := seen.get(w)) is None:
-                got = seen[w] = self.word(w)
+                got = self.word(w)
+                if len(w) < 64:
+                    seen[w] = got
             out.append(got)
         return b"".join(out)
 
