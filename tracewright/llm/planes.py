@@ -20,19 +20,21 @@ File, all numbers little-endian::
 
 A dataset is one file ("shard") per range of keys, in ascending order; the
 manifest that the writer returns holds the number of ids of each shard, from
-which global starts follow by one sum over shards.  Shards are written under a
-name of their own and then moved, so a task that is run again, or twice at
-once, leaves one whole file.
+which global starts follow by one sum over shards.  Every attempt of a task writes
+a file of its own name, and only the manifest of the attempt that counted names
+it: a task that is run again, or twice at once, leaves files that nothing reads.
 
 Edge cases: a null or empty text is a document with the end id alone; a null
-key sorts first; rows that share a key are ordered by text (null first), equal
-rows stay side by side; a very long text is cut before blanks, where no token
+key sorts first; rows that share a key are ordered by a hash of their text and
+then by the text (so that their number is no limit of a shard), equal rows stay
+side by side; a very long text is cut before blanks, where no token
 crosses; an empty table gives no shards and no rows; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -234,7 +236,8 @@ class RunEncoder:
     can be cut before any blank that a non-space character follows.  A run of
     plain Latin characters is split here, by the same pattern, and only words
     that are new go through the library's model; any other run goes through the
-    library as a whole.
+    library as a whole.  So do whole texts where the file names another split,
+    a normaliser, or special tokens that do not begin with ``<|``.
     """
 
     def __init__(self, path: str):
@@ -242,6 +245,10 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        self.known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and spec.get("normalizer") is None and all(t["content"].startswith("<|") and not t.get("lstrip") and not t.get("rstrip") for t in spec.get("added_tokens", []))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -276,6 +283,8 @@ class RunEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "\x00" in text or self.loose(text) is not None:
             runs = self.cut(text)
         else:
@@ -325,14 +334,13 @@ def write(df: DataFrame, tokenizer: str, uri: str, key: str = "doc_id", column:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = loaded(tokenizer), TaskContext.get().partitionId()
         end, writer, sink = np.array([end_id], "<u4").tobytes(), None, None
-        name = f"shard-{shard:08d}.planes"
+        name = f"shard-{shard:08d}-{uuid.uuid4().hex}.planes"
         store, root = filesystem(uri)
-        own = f"{root}/.{name}.{uuid.uuid4().hex}"
         for batch in batches:
             for part in chunks(batch, column):
                 if writer is None:
                     store.create_dir(root, recursive=True)
-                    sink = store.open_output_stream(own)
+                    sink = store.open_output_stream(f"{root}/{name}")
                     writer = ShardWriter(sink, kind, block, level)
                 keys = part.column(part.schema.get_field_index(key)).to_pylist()
                 for k, t in zip(keys, texts(part, column)):
@@ -340,11 +348,11 @@ def write(df: DataFrame, tokenizer: str, uri: str, key: str = "doc_id", column:
         if writer is not None:
             size = writer.close()
             sink.close()
-            store.move(own, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(writer.keys)]), pa.array([writer.n_ids]), pa.array([size])], names=MANIFEST.names)
 
     rows = df.select(F.col(key).cast("long").alias(key), column)
-    return rows.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(column).asc_nulls_first()).mapInArrow(kernel, MANIFEST)
+    order = [F.col(key).asc_nulls_first(), F.xxhash64(F.coalesce(column, F.lit(""))).asc(), F.col(column).asc_nulls_first()]
+    return rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(kernel, MANIFEST)
 
 
 def read(spark: SparkSession, manifest: DataFrame, uri: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
