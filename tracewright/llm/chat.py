@@ -1,11 +1,12 @@
 r"""Chat formatting of reply trees, with DataFrame functions only.
 
 A reply tree is a table of messages with their parents.  Iterative self-joins
-double the reach of every message's ancestor pointer; going back from the
-farthest to the nearest pointer, every leaf then collects all its ancestors, so
-a path of n messages takes about log2(n) joins twice.  Branches of a tree are
-ranked by the mean score of their messages and the best are formatted, each
-root-to-leaf path as one conversation.
+double the reach of every message's ancestor pointer, and sum the scores on the
+way.  Going back from the farthest to the nearest pointer, every leaf first adds
+up its path in one row; branches of a tree are ranked by the mean score of their
+messages, and only the best then collect their messages by the same pointers.  A
+path of n messages takes about log2(n) joins for each of the three.  Each chosen
+root-to-leaf path is formatted as one conversation.
 
 Template of a turn: ``<|im_start|>role<|im_sep|>text<|im_end|>``.  Inside roles
 and texts a backslash is doubled, and one is set after the first character of
@@ -15,7 +16,8 @@ undoes both.  The loss mask lists (start, length) in code points of the escaped
 texts of assistant turns.
 
 Edge cases: null roles and texts are empty; a message whose parent is missing is
-a root; messages on or below a cycle are on no path and left out; ties of branch
+a root; messages on or below a cycle are on no path and left out; a path longer
+than 2 ** 40 messages raises; ties of branch
 scores go to the longer path, then to the smaller leaf; null scores count 0; one
 conversation is one row, however long; an empty table gives no rows; columns
 beyond those named are ignored.
@@ -41,27 +43,52 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(leaf, node, back): every message on the path of every leaf, ``back`` steps above it."""
-    nodes = messages.select("node", "parent")
+def pointers(messages: DataFrame, most_rounds: int = 40) -> tuple[list[DataFrame], DataFrame]:
+    """(node, up, total) of all ancestors 1, 2, 4 ... steps above, and the leaves that end a path.
+
+    ``total`` is the sum of scores from the node to just below ``up``.
+    """
+    nodes = messages.select("node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("node").alias("parent"))
-    jump = scratch.store(nodes.where(F.col("parent").isNotNull()).join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), "chat-jump")
+    jump = scratch.store(nodes.where(F.col("parent").isNotNull()).join(known, "parent", "left_semi").select("node", F.col("parent").alias("up"), F.col("score").alias("total")), "chat-jump")
     jumps, count, tangled = [], jump.count(), None
     while count:
+        if len(jumps) == most_rounds:
+            raise RuntimeError(f"paths of over 2 ** {most_rounds} messages")
         jumps.append(jump)
-        farther = jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("farther")), "up").select("node", F.col("farther").alias("up"))
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("farther"), F.col("total").alias("more"))
+        farther = jump.join(above, "up").select("node", F.col("farther").alias("up"), (F.col("total") + F.col("more")).alias("total"))
         jump, before = scratch.store(farther, "chat-jump"), count
         count = jump.count()
-        if count == before or len(jumps) >= most_rounds:
+        if count == before:
             tangled = jump  # only cycles keep their number
             break
     parents = nodes.select(F.col("parent").alias("node")).where(F.col("node").isNotNull())
     leaves = nodes.select("node").join(parents, "node", "left_anti")
     if tangled is not None:
         leaves = leaves.join(tangled.select("node"), "node", "left_anti")
-    found = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    return jumps, leaves.select(F.col("node").alias("leaf"))
+
+
+def ranked(messages: DataFrame, jumps: list[DataFrame], leaves: DataFrame, branches: int) -> DataFrame:
+    """(leaf, tree, branch) of the best branches of every tree."""
+    at = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("depth"))
     for k in reversed(range(len(jumps))):
-        joined = found.join(jumps[k], "node", "left")
+        far = F.col("up").isNotNull()
+        steps = F.when(far, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        at = at.join(jumps[k], "node", "left").select("leaf", F.coalesce("up", "node").alias("node"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), (F.col("depth") + steps).alias("depth"))
+    ended = at.join(messages.select("node", F.coalesce("score", F.lit(0.0)).alias("last")), "node")
+    scored = ended.select("leaf", "depth", ((F.col("sum") + F.col("last")) / F.col("depth")).alias("score"))
+    placed = scored.join(messages.select(F.col("node").alias("leaf"), "tree"), "leaf")
+    best = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "leaf")
+    return placed.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select("leaf", "tree", "branch")
+
+
+def paths(jumps: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(leaf, node, back): every message on the path of the leaves, ``back`` steps above it."""
+    found = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        joined = found.join(jumps[k].select("node", "up"), "node", "left")
         here = F.struct("node", "back")
         there = F.struct(F.col("up").alias("node"), (F.col("back") + F.lit(1 << k)).alias("back"))
         both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))
@@ -69,23 +96,14 @@ def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     return found
 
 
-def ranked(messages: DataFrame, found: DataFrame, branches: int) -> DataFrame:
-    """(leaf, tree, branch) of the best branches of every tree."""
-    scored = found.join(messages.select("node", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
-    leaves = scored.groupBy("leaf").agg(F.avg("score").alias("score"), F.max("back").alias("depth"))
-    placed = leaves.join(messages.select(F.col("node").alias("leaf"), "tree"), "leaf")
-    best = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "leaf")
-    return placed.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select("leaf", "tree", "branch")
-
-
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """Format the best branches: tree, leaf, branch, formatted, loss.
 
     ``messages`` has tree, node (unique), parent, role, text, score.
     """
-    found = scratch.store(paths(messages), "chat-paths")
-    chosen = ranked(messages, found, branches)
-    turns = found.join(chosen, "leaf").join(messages.select("node", "role", "text"), "node")
+    jumps, leaves = pointers(messages)
+    chosen = scratch.store(ranked(messages, jumps, scratch.store(leaves, "chat-leaves"), branches), "chat-branches")
+    turns = paths(jumps, chosen).join(chosen, "leaf").join(messages.select("node", "role", "text"), "node")
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
     text = escape(F.col("text"))
     turns = turns.select("tree", "leaf", "branch", (-F.col("back")).alias("place"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"), head.alias("head"), text.alias("said"))
