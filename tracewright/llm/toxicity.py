@@ -9,15 +9,17 @@ zero; the weights that remain are broadcast.  Their number is bounded by
 ``2 ** bits`` whatever the size of the corpus.
 
 Training takes at most ``max_rows`` labelled rows per class, those with the
-smallest seeded hash of their key (all rows where there are fewer).  One Spark
+smallest seeded hash of their key (all rows where there are fewer), and of these
+no more than have ``max_bytes`` of features per class in sum.  One Spark
 task runs the passes over them, so that neither driver nor any other task holds
 the sample.  Rows beyond the bound are not needed: held-out accuracy is tested.
 
 Edge cases: null and empty texts score as the bias alone; null labels and keys
 are never learnt from; with one class (or no labels) the score is the constant
 0.0 (only clean rows, or none) or 1.0; a key with several labels counts once
-for each; long texts are scored whole; equal texts get equal scores; repeated
-rows and further columns pass through; an empty table stays empty.
+for each, and rows that share key and text once; long texts are scored whole;
+equal texts get equal scores; repeated rows and further columns pass through, but
+a column of the name of the score is replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class Settings:
     bits: int = 20
     max_rows: int = 4000
+    #: Bytes of features (four each, 2 ** bits features a text at most) that each class may give.
+    max_bytes: int = 64 << 20
     epochs: int = 5
     alpha: float = 0.5
     beta: float = 1.0
@@ -139,12 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     """Weights learnt from labelled rows for which ``learn`` (on the key) holds."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).select(key, F.col(label).cast("int").alias("_y"))
     marked = marked.withColumn("_h", F.xxhash64(F.lit(settings.seed), key))
-    # Two distributed top-k: at most 2 * max_rows rows, so the join may broadcast them.
+    # Two distributed top-k: at most 2 * max_rows keys, so the join may broadcast them.
     picked = None
     for y in (0, 1):
-        some = marked.where(F.col("_y") == y).orderBy("_h", key).limit(settings.max_rows)
+        some = marked.where(F.col("_y") == y).distinct().orderBy("_h", key).limit(settings.max_rows)
         picked = some if picked is None else picked.unionByName(some)
-    sample = docs.select(key, column).join(F.broadcast(picked), key).select("_h", "_y", column)
+    sample = docs.select(key, F.coalesce(column, F.lit("")).alias(column)).join(F.broadcast(picked), key).select("_h", "_y", column)
     schema = T.StructType([T.StructField("i", T.BinaryType()), T.StructField("w", T.BinaryType()), T.StructField("bias", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +159,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["_h", "_y", "f"])
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, left, bytes_left = [], {0: settings.max_rows, 1: settings.max_rows}, {0: settings.max_bytes, 1: settings.max_bytes}
+        before = None
         for batch in batches:
-            for _, y, f in zip(*[c.to_pylist() for c in batch.columns]):
-                rows.append((np.frombuffer(f, np.uint32), y))
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                _, y, f = row
+                if row == before or not left[y]:
+                    continue  # the same key and text once more, or enough
+                before, left[y], bytes_left[y] = row, left[y] - 1, bytes_left[y] - len(f)
+                if bytes_left[y] >= 0:
+                    rows.append((np.frombuffer(f, np.uint32), y))
+                else:
+                    left[y] = 0
         ys = {y for _, y in rows}
         if len(ys) < 2:
-            bias = 50.0 if ys == {1} else -50.0
+            bias = math.inf if ys == {1} else -math.inf
             i, w = np.zeros(0, np.uint32), np.zeros(0, np.float32)
         else:
             i, w, bias = fit(rows, settings)
@@ -170,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     hashed = sample.mapInArrow(featurize, "_h long, _y int, f binary").repartition(1).sortWithinPartitions("_h", "_y", "f")
     got = hashed.mapInArrow(learn_all, schema).first()
     if got is None:  # nothing to learn from
-        return np.zeros(0, np.uint32), np.zeros(0, np.float32), -50.0
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), -math.inf
     return np.frombuffer(got["i"], np.uint32), np.frombuffer(got["w"], np.float32), got["bias"]
 
 
@@ -192,7 +204,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings
                     f = hasher.features(t)
                     hits = np.unique(f[dense[f] != 0])
                     margin = bias + float(dense[hits].astype(np.float64).sum())
-                    found.append(1 / (1 + math.exp(-max(-35.0, min(35.0, margin)))))
+                    found.append(float(bias > 0) if math.isinf(bias) else 1 / (1 + math.exp(-max(-35.0, min(35.0, margin)))))
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(f.name)) for f in kept], pa.array(found, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(kernel, schema)
