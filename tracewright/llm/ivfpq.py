@@ -7,15 +7,20 @@ per byte (asymmetric distances: the query itself stays exact) and reranks the
 best candidates of every block by the original vectors in double precision.
 
 The quantisers are fitted on at most ``sample`` vectors, those with the smallest
-seeded hash of their id; every vector is then indexed.  Lists are dealt out in
-blocks of about ``block`` vectors and queries in lots of about ``lot``, so a list
-that holds a third of all vectors, or very many queries, are never one group.
-
-Edge cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; ties go to the smaller id; a query
-never finds its own id; of rows that share a query id the smallest vector asks;
-with fewer than k candidates all are returned; an empty table gives no rows;
-other columns are ignored.
+seeded hash of their id; every vector is then indexed.  The number of lists grows
+with the square root of the vectors, the sample with the lists.  How many lists a
+query visits is measured: as many as hold ``reach`` of the true neighbours among
+the sample's own vectors.  Lists are dealt out in blocks of about ``block``
+vectors, and queries stream past a block in batches, so neither a list that
+holds a third of all vectors nor very many queries are ever held at once, and no
+vector is stored in more than one place.
+
+Edge cases: rows without id and vectors that are null, zero, of another length
+than most, or hold null or non-finite components take no part; components beyond
+1e18 are clamped in the index only; ties go to the smaller id; a query never
+finds its own id; rows that share an id are candidates each, and of those that
+share a query id the smallest vector asks; with fewer than k candidates all are
+returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +39,16 @@ from tracewright.llm import scratch
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 8_192
+    #: Vectors that the quantisers are fitted on: eight a list, between these bounds.
+    least_sample: int = 8_192
+    sample: int = 65_536
     #: Dimensions of a piece; 256 values each.
     piece: int = 4
-    #: Share of the lists that a query visits.
-    visit: float = 0.9
+    #: Share of true neighbours, measured on the sample, that the visited lists hold.
+    reach: float = 0.98
     #: Candidates of a block that are reranked.
     rerank: int = 256
     block: int = 4_096
-    lot: int = 4_096
     rounds: int = 6
     seed: int = 3
 
@@ -105,6 +111,22 @@ def fit(sample: np.ndarray, lists: int, s: Settings) -> Index:
     return Index(centroids, books)
 
 
+def visits_for(index: Index, sample: np.ndarray, k: int, reach: float, most: int = 512) -> int:
+    """Lists that queries must visit to meet ``reach`` of their k true neighbours, by the sample."""
+    queries = sample[:most]
+    place, order = nearest(sample, index.centroids), np.argsort(-(queries @ index.centroids.T), axis=1)
+    turn = np.empty_like(order)
+    np.put_along_axis(turn, order, np.arange(order.shape[1])[None, :], 1)
+    score = queries @ sample.T
+    score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    few = min(k, len(sample) - 1)
+    if few < 1:
+        return len(index.centroids)
+    best = np.argpartition(-score, few - 1, axis=1)[:, :few]
+    met = np.sort(np.take_along_axis(turn, place[best], 1).ravel())
+    return int(met[min(len(met) - 1, math.ceil(reach * len(met)))]) + 1
+
+
 def search_block(index: Index, place: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the best of one block; ``ids`` ascend."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -112,7 +134,8 @@ def search_block(index: Index, place: int, ids: np.ndarray, vectors: np.ndarray,
     step = max(1, 4_000_000 // max(1, len(ids)))
     columns = [np.ascontiguousarray(codes[:, m]) for m in range(codes.shape[1])]
     for a in range(0, len(queries), step):
-        part = queries[a : a + step]
+        asked = queries[a : a + step].astype(np.float64)
+        part = clamped(asked)
         tables = index.tables(part)
         score = np.repeat((part @ index.centroids[place])[:, None], len(ids), 1)
         for m, column in enumerate(columns):
@@ -127,7 +150,8 @@ def search_block(index: Index, place: int, ids: np.ndarray, vectors: np.ndarray,
             sure = np.flatnonzero(row > bar)
             ties = np.flatnonzero(row == bar)[: few - len(sure)]
             best = np.concatenate([sure, ties])
-            got = (exact[best] * part[q].astype(np.float64)).sum(1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                got = (exact[best] * asked[q]).sum(1)
             order = np.lexsort((ids[best], -got))[:k]
             out.append((np.full(len(order), query_ids[a + q]), ids[best[order]], got[order]))
     if not out:
@@ -135,15 +159,18 @@ def search_block(index: Index, place: int, ids: np.ndarray, vectors: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+def clamped(x: np.ndarray) -> np.ndarray:
+    """As the index sees vectors: single precision, within what it can square and sum."""
+    return np.clip(x, -1e18, 1e18).astype(np.float32)
 
 
 def usable(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows that take part: key and vector."""
+    """Rows that take part: key and vector (single precision if stored so, else double)."""
     x = F.col(column)
-    inside = F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.select(F.col(key).cast("long").alias("id"), x.cast("array<float>").alias("v")).where(F.col("id").isNotNull() & x.isNotNull() & inside & F.exists(x, lambda v: v != 0))
+    kind = "float" if df.schema[column].dataType.simpleString() == "array<float>" else "double"
+    inside = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    wide = df.select(F.col(key).cast("long").alias("id"), x.cast(f"array<{kind}>").alias(column))
+    rows = wide.where(F.col("id").isNotNull() & x.isNotNull() & inside & F.exists(x, lambda v: v != 0)).select("id", F.col(column).alias("v"))
     size = rows.agg(F.mode(F.size("v"), True)).first()[0]
     return rows.where(F.size("v") == (size or 0))
 
@@ -152,55 +179,80 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: st
     """query_id, rank, vec_id, score of the ``k`` nearest found for each row where ``is_query``."""
     s, spark = settings, df.sparkSession
     rows = usable(df, key, column)
-    n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query(F.col("id")), 1))).first()
+    n = rows.count()
     out = "query_id long, id long, score double"
     if not n:
         return spark.createDataFrame([], out).select("query_id", F.lit(0).alias("rank"), F.col("id").alias("vec_id"), "score")
-    # A bounded sample: 2 MB at 64 dimensions.
-    sample = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.sample).select("v").toArrow()["v"].combine_chunks()
-    points = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(sample), -1)
-    lists = max(1, min(1024, round(math.sqrt(n) / 4)))
-    index = spark.sparkContext.broadcast(fit(points, lists, s))
-    visits = max(1, math.ceil(lists * s.visit))
+    lists = max(1, min(s.sample // 8, round(math.sqrt(n) / 4)))
+    # A bounded sample: 16 MB at 64 dimensions in single precision.
+    size = min(s.sample, max(s.least_sample, 8 * lists))
+    sample = rows.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(size).select("v").toArrow()["v"].combine_chunks()
+    wide = sample.flatten().to_numpy(zero_copy_only=False)
+    kind = wide.dtype
+    points = clamped(wide.reshape(len(sample), -1))
+    fitted = fit(points, lists, s)
+    visits = visits_for(fitted, points, k, s.reach)
+    index = spark.sparkContext.broadcast(fitted)
+
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
+        v = batch.column(1)
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = batch.column(1)
-                x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-                place, codes = index.value.assign(x)
+                x = vectors(batch)
+                place, codes = index.value.assign(clamped(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "list", "x", "code"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = batch.column(1)
-                x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-                to = index.value.visits(x, visits)
+                x = vectors(batch)
+                to = index.value.visits(clamped(x), visits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), to.shape[1])), pa.array(to.ravel()), pa.array([r.tobytes() for r, t in zip(x, to) for _ in t], pa.binary())], names=["id", "list", "x"])
 
     entries = scratch.store(rows.mapInArrow(enter, "id long, list int, x binary, code binary"), "ivf-entries")
     # One row per list: how many blocks it is dealt out in.
     blocks = entries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
-    lots = max(1, math.ceil(asked * s.visit / s.lot))
-    dealt = entries.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))) if lots > 1 else dealt.withColumn("lot", F.lit(0))
+    dealt = entries.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("int"))
     queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "id long, list int, x binary")
-    queries = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int"))
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        left = left.sort_by("id")
-        ids = left["id"].to_numpy()
-        codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        got = search_block(index.value, left["list"][0].as_py(), ids, _matrix(left["x"]), codes, right["id"].to_numpy(), _matrix(right["x"]), k, s.rerank)
-        return pa.table([pa.array(c) for c in got], names=names)
-
-    keys = ["list", "block", "lot"]
-    found = dealt.select(*keys, "id", "x", "code").groupBy(*keys).cogroup(queries.select(*keys, "id", "x").groupBy(*keys)).applyInArrow(solve, out)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    queries = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("code", F.lit(None).cast("binary"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of a block come first and are held; its queries stream past them."""
+        at, held, block = None, [], None
+
+        def matrix(column: pa.Array, dtype) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)], 1)
+            cuts = [0, *(np.flatnonzero((np.diff(where, axis=0) != 0).any(1)) + 1).tolist(), len(where)]
+            for a, b in zip(cuts, cuts[1:]):
+                if (key := tuple(where[a, :2])) != at:
+                    at, held, block = key, [], None
+                part = batch.slice(a, b - a)
+                if not where[a, 2]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = pa.Table.from_batches(held).combine_chunks().sort_by("id")
+                    ids = block["id"].to_numpy()
+                    own = matrix(block["x"], kind)
+                    codes = matrix(block["code"], np.uint8)
+                got = search_block(index.value, int(at[0]), ids, own, codes, part.column(3).to_numpy(), matrix(part.column(4), kind), k, s.rerank)
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "id", "score"])
+
+    both = dealt.select("list", "block", F.lit(False).alias("asks"), "id", "x", "code").unionByName(queries.select("list", "block", F.lit(True).alias("asks"), "id", "x", "code"))
+    found = both.repartition("list", "block").sortWithinPartitions("list", "block", "asks").mapInArrow(solve, out)
+    # Sums that overflow both ways are no number and come last.
+    best = Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
