@@ -6,13 +6,18 @@ batch side by side, one nibble position at a time.  PCM is resampled by a
 windowed-sinc polyphase filter and stored as WAV in a binary column.
 
 Media are WAV files in one channel: format tag 7 (mu-law) and 6 (A-law) with
-8-bit samples, 17 (IMA ADPCM) with 64-byte blocks, 1 (PCM) with 16-bit samples.
+8-bit samples, 17 (IMA ADPCM) with blocks of the size that the header names, 1
+(PCM) with 8-bit unsigned or 16-bit signed samples.  This library writes ADPCM in
+64-byte blocks.
 
 Edge cases: null media give null results; media that is no WAV file of a known
-codec gives null PCM and the reason in ``error``; empty audio decodes to no
-samples; an ADPCM block cut short at the end is dropped (its size is in the
-header).  Repeated rows, ties, further columns and empty tables pass through;
-long media are decoded in slices of blocks.  Equal bytes give equal results.
+codec and sample width gives null PCM and features and, from ``to_pcm``, the
+reason in ``error``; empty audio decodes to no samples; an ADPCM block cut short
+at the end is dropped.  Repeated rows, ties, further columns and empty tables
+pass through, but a column of the name of an added one is replaced; long media
+are decoded, measured and resampled in slices of ``SLICE`` samples, so that a
+task holds a medium, its samples and no wider copy of them.  Equal bytes give
+equal results.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +41,11 @@ from tracewright.llm.arrow import chunks
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 CODECS = {"mulaw": MULAW, "alaw": ALAW, "adpcm": ADPCM}
 BLOCK_BYTES = 64
-#: ADPCM blocks decoded side by side; bounds memory.
+#: Bits of a sample that each codec may have.
+WIDTHS = {PCM: (8, 16), ALAW: (8,), MULAW: (8,), ADPCM: (4,)}
+#: ADPCM blocks decoded side by side, and samples measured or resampled at once; both bound memory.
 BLOCKS_AT_ONCE = 16_384
+SLICE = 1 << 20
 
 # Fixed values of the IMA ADPCM format.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
@@ -84,26 +93,49 @@ def wav(data: bytes, tag: int, rate: int = 8000) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(media: bytes) -> tuple[int, int, memoryview]:
-    """Format tag, rate and data of a WAV file."""
+@dataclass(frozen=True)
+class Sound:
+    """What the header says, and the data."""
+
+    tag: int
+    rate: int
+    #: Bytes of a block (of a sample, if the codec has no blocks) and bits of a sample.
+    align: int
+    bits: int
+    data: memoryview
+
+
+def unwav(media: bytes) -> Sound:
+    """Parse a WAV file."""
     view = memoryview(media)
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE header")
-    at, tag, rate = 12, None, 0
+    at, form = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, channels, rate = struct.unpack_from("<HHI", media, at + 8)
-            if tag not in (PCM, ALAW, MULAW, ADPCM) or channels != 1:
-                raise ValueError(f"unknown codec {tag} in {channels} channels")
+            tag, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            if bits not in WIDTHS.get(tag, ()) or channels != 1:
+                raise ValueError(f"unknown codec {tag} with {bits} bits in {channels} channels")
+            if tag == ADPCM and align < 5:
+                raise ValueError(f"blocks of {align} bytes")
+            form = tag, rate, align, bits
         if name == b"data":
-            if tag is None:
+            if form is None:
                 raise ValueError("data before format")
-            return tag, rate, view[at + 8 : at + 8 + size]
+            return Sound(*form, view[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
+def readable(media: bytes | None) -> Sound | None:
+    """Parsed, or null where there is no WAV file of a known codec."""
+    try:
+        return None if media is None else unwav(media)
+    except (ValueError, struct.error):
+        return None
+
+
 # --- decoding ---------------------------------------------------------------
 
 
@@ -117,10 +149,10 @@ def adpcm_tables() -> tuple[np.ndarray, np.ndarray]:
     return diff.ravel(), (after * 16).ravel()
 
 
-def decode_adpcm(data: np.ndarray) -> np.ndarray:
-    """Samples of whole 64-byte blocks: (blocks, 121) int16, one row per block."""
-    blocks = data[: len(data) // BLOCK_BYTES * BLOCK_BYTES].reshape(-1, BLOCK_BYTES)
-    out = np.empty(((BLOCK_BYTES - 4) * 2 + 1, len(blocks)), np.int16)
+def decode_adpcm(data: np.ndarray, align: int = BLOCK_BYTES) -> np.ndarray:
+    """Samples of whole blocks: int16, one row per block (121 columns for 64 bytes)."""
+    blocks = data[: len(data) // align * align].reshape(-1, align)
+    out = np.empty(((align - 4) * 2 + 1, len(blocks)), np.int16)
     diff, after = adpcm_tables()
     for start in range(0, len(blocks), BLOCKS_AT_ONCE):
         part = blocks[start : start + BLOCKS_AT_ONCE]
@@ -158,7 +190,7 @@ def encode_adpcm(samples: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def decode(data: memoryview | bytes, tag: int) -> np.ndarray:
+def decode(data: memoryview | bytes, tag: int, align: int = BLOCK_BYTES, bits: int = 16) -> np.ndarray:
     """Linear 16-bit samples."""
     raw = np.frombuffer(data, np.uint8)
     if tag == MULAW:
@@ -166,7 +198,9 @@ def decode(data: memoryview | bytes, tag: int) -> np.ndarray:
     if tag == ALAW:
         return A.take(raw)
     if tag == ADPCM:
-        return decode_adpcm(raw).ravel()
+        return decode_adpcm(raw, align).ravel()
+    if bits == 8:
+        return (raw.astype(np.int16) - 128) << 8
     return raw[: len(raw) // 2 * 2].view("<i2")
 
 
@@ -190,25 +224,34 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     up, down = target // common, rate // common
     bank = phases(up, down)
     span = bank.shape[1]
-    n = -(-len(samples) * up // down)
-    padded = np.zeros(len(samples) + 2 * span, np.float32)
     before = (span - 1) // 2
-    padded[before : before + len(samples)] = samples
-    if down == 1:
-        # All branches of a whole factor: one row of outputs per input sample.
-        out = np.zeros((up, len(samples)), np.float32)
-        for k in range(span):
-            part = padded[k : k + len(samples)]
-            for p in range(up):
-                out[p] += bank[p, k] * part
-        flat = out.T.ravel()
-    else:
-        place = np.arange(n, dtype=np.int64) * down
-        first, phase = place // up, place % up
-        flat = np.zeros(n, np.float32)
-        for k in range(span):
-            flat += bank[phase, k] * padded[first + k]
-    return np.clip(np.rint(flat), -32768, 32767).astype(np.int16)
+    n = -(-len(samples) * up // down)
+    out = np.empty(n, np.int16)
+    step = max(1, SLICE // up) * up
+    for at in range(0, n, step):
+        to = min(at + step, n)
+        # Inputs that the outputs at ... to - 1 look at, zeros beyond both ends.
+        low, high = at * down // up - before, (to - 1) * down // up - before + span
+        near = np.zeros(high - low, np.float32)
+        a, b = max(0, low), min(len(samples), high)
+        near[a - low : b - low] = samples[a:b]
+        if down == 1:
+            # All branches of a whole factor: one row of outputs per input sample.
+            count = -(-(to - at) // up)
+            rows = np.zeros((up, count), np.float32)
+            for k in range(span):
+                part = near[k : k + count]
+                for p in range(up):
+                    rows[p] += bank[p, k] * part
+            flat = rows.T.ravel()[: to - at]
+        else:
+            place = np.arange(at, to, dtype=np.int64) * down
+            first, phase = place // up - before - low, place % up
+            flat = np.zeros(to - at, np.float32)
+            for k in range(span):
+                flat += bank[phase, k] * near[first + k]
+        out[at:to] = np.clip(np.rint(flat), -32768, 32767)
+    return out
 
 
 # --- columns ----------------------------------------------------------------
@@ -227,8 +270,8 @@ def to_pcm(df: DataFrame, column: str = "media", rate: int = 16_000, out: str =
                     got, said = None, None
                     if media is not None:
                         try:
-                            tag, own, data = unwav(media)
-                            got = wav(resample(decode(data, tag), own or 8000, rate).astype("<i2").tobytes(), PCM, rate)
+                            sound = unwav(media)
+                            got = wav(resample(decode(sound.data, sound.tag, sound.align, sound.bits), sound.rate or 8000, rate).astype("<i2").tobytes(), PCM, rate)
                         except (ValueError, struct.error) as e:
                             said = str(e)
                     pcm.append(got)
@@ -264,36 +307,50 @@ FEATURES = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()),
 
 
 def _levels(samples: np.ndarray) -> str:
-    wide = samples.astype(np.int64)
-    return f"{int(np.abs(wide).max(initial=0))}/{int((wide * wide).sum() // max(1, len(wide)))}/{int(np.count_nonzero(np.diff(np.signbit(samples))))}"
+    """Peak, mean square and sign changes, summed over slices."""
+    peak = power = turns = 0
+    for at in range(0, len(samples), SLICE):
+        wide = samples[at : at + SLICE].astype(np.int64)
+        peak = max(peak, int(np.abs(wide).max()))
+        power += int((wide * wide).sum())
+        turns += int(np.count_nonzero(np.diff(np.signbit(samples[max(0, at - 1) : at + SLICE]))))
+    return f"{peak}/{power // max(1, len(samples))}/{turns}"
 
 
-def features(df: DataFrame, column: str = "media", rate: int = 16_000) -> DataFrame:
-    """Replace stored media by digests of what is read back and by audio features.
+def feature(sound: Sound, rate: int, blocks: np.ndarray | None = None) -> str:
+    """Levels of the data expanded as mu-law, as A-law and as 64-byte ADPCM blocks, then length and crc32 of the stored codec's samples at ``rate``.
 
-    ``feature`` has peak, mean square and sign changes of the payload expanded
-    as mu-law, as A-law and as ADPCM blocks, then length and crc32 of the stored
-    codec's samples resampled to ``rate``.
+    ``blocks``: the samples of the ADPCM blocks, where they are decoded already.
     """
-    kept = [f for f in df.schema.fields if f.name != column]
+    said = []
+    for name, tag in CODECS.items():
+        said.append(f"{name}:{_levels(blocks if tag == ADPCM and blocks is not None else decode(sound.data, tag))}")
+    pcm = resample(decode(sound.data, sound.tag, sound.align, sound.bits), sound.rate or 8000, rate).astype("<i2", copy=False)
+    return " ".join([*said, f"pcm{rate}:{len(pcm)}/{zlib.crc32(pcm.data):08x}"])
+
+
+def features(df: DataFrame, column: str = "media", rate: int = 16_000) -> DataFrame:
+    """Replace stored media by digests of what is read back and by audio features, null where there is no readable WAV file."""
+    names = [n for n, _ in FEATURES]
+    kept = [f for f in df.schema.fields if f.name != column and f.name not in names]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in FEATURES]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, column):
                 media = part.column(part.schema.get_field_index(column)).to_pylist()
-                read = [unwav(m) for m in media]
-                # Payloads are whole blocks: those of all rows are decoded side by side.
-                blocks = decode_adpcm(np.frombuffer(b"".join(x[2] for x in read), np.uint8))
+                sounds = [readable(m) for m in media]
+                counts = [len(s.data) // BLOCK_BYTES if s else 0 for s in sounds]
+                # The blocks of all rows are decoded side by side.
+                blocks = decode_adpcm(np.frombuffer(b"".join(s.data[: n * BLOCK_BYTES] for s, n in zip(sounds, counts) if s), np.uint8))
                 rows, at = [], 0
-                for m, (tag, own, data) in zip(media, read):
-                    count = len(data) // BLOCK_BYTES
-                    adpcm = blocks[at : at + count].ravel()
-                    at += count
-                    mu, a = decode(data, MULAW), decode(data, ALAW)
-                    stored = {MULAW: mu, ALAW: a, ADPCM: adpcm}[tag]
-                    pcm = resample(stored, own, rate).astype("<i2").tobytes()
-                    said = f"mu:{_levels(mu)} a:{_levels(a)} adpcm:{_levels(adpcm)} pcm{rate}:{len(pcm) // 2}/{zlib.crc32(pcm):08x}"
+                for m, sound, n in zip(media, sounds, counts):
+                    if sound is None:
+                        rows.append((None,) * len(FEATURES))
+                        continue
+                    data = sound.data
+                    said = feature(sound, rate, blocks[at : at + n].reshape(-1))
+                    at += n
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), said))
                 cols = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 made = [pa.array(c, pa.int64() if isinstance(t, T.LongType) else pa.string()) for c, (_, t) in zip(zip(*rows), FEATURES)]
