@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_no_query_meets_all_pairs_or_leaves_the_jvm(spark):
     for name, query in plans.QUERIES.items():
-        if name == "progress_stream":
-            continue
+        if name in ("progress_stream", "report_headers", "report_scores", "report_validated_steps", "assembled_markdown"):
+            continue  # streams; and what report_export and report_steps hold already
         plan = query(spark, SF)._jdf.queryExecution().toString()
         physical = plan[plan.index("== Physical Plan ==") :]
         assert not re.search(r"NestedLoopJoin|CartesianProduct", physical), name
@@ -29,3 +29,12 @@ def test_scans_read_what_they_need(spark):
     assert "event_type" not in read and "value" in read
     plan = plans.QUERIES["media_kind"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(s_acctbal), GreaterThan(s_acctbal,0.0)" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("segments", 1, 2), ("ambient_profile", 1, 2), ("step_sentences", 1, 2), ("merge_repeated", 1, 2), ("click_asof_cursor", 3, 6)])
+def test_recordings_are_partitioned_once(spark, name, scans, exchanges):
+    """One scan, one exchange by user that makes the series, and one by job on which everything else stays."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Scan parquet|FileScan", plan)) <= scans
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= exchanges

@@ -108,7 +108,7 @@ def test_vector_deltas(spark):
 def test_progress_stream_keeps_the_newest_state(spark, tmp_path):
     rows = [("a", "s01_validate", "running", 0.0, "2024-01-01 00:00:01"), ("a", "s12_finalize", "awaiting_review", 0.9, "2024-01-01 00:00:09"), ("b", "s02_normalize", "running", 0.1, "2024-01-01 00:00:05")]
     spark.createDataFrame(rows, "job_id string, stage string, status string, pct double, at string").write.json(str(tmp_path / "in"))
-    out = progress.run_to_end(progress.state(progress.messages(spark, str(tmp_path / "in"))), "progress_test", str(tmp_path / "ck"))
+    out = progress.run_to_end(progress.messages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert {r["job_id"]: (r["status"], r["ended"]) for r in out.collect()} == {"a": ("awaiting_review", True), "b": ("running", False)}
     s = spark.range(1).select(progress.next_stage(F.lit("s07_targets")), progress.next_stage(F.lit("s12_finalize")), progress.stage_percent(F.lit("s03_segment"))).first()
     assert tuple(s) == ("s09_bug", None, round(2 / 11, 4))

@@ -62,6 +62,14 @@ def two_places(x: Column) -> Column:
     return F.call_function("format_number", x, F.lit("0.00"))
 
 
+def no_place(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0"))
+
+
+def one_place(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
 def escape_html(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
@@ -71,3 +79,21 @@ def escape_html(text: Column) -> Column:
 def upper_first(text: Column) -> Column:
     """First letter upper-case, the others lower-case."""
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
+
+
+def url_quoted(text: Column) -> Column:
+    """Percent-encoding of a path segment: a slash and unreserved characters stay."""
+    out = F.url_encode(text)
+    for encoded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(encoded), F.lit(plain))
+    return out
+
+
+def timeline_percent(t_ms: Column, duration_ms: Column) -> Column:
+    """Place on a timeline in percent of its length, null without a length."""
+    return F.round(F.try_divide(100.0 * t_ms, duration_ms), 4)
+
+
+def confidence_class(confidence: Column) -> Column:
+    """ok, warn or bad."""
+    return F.when(confidence >= 0.8, "ok").when(confidence >= 0.6, "warn").otherwise("bad")

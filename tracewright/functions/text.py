@@ -7,11 +7,13 @@ computed once per row however often it is used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns, word lists and character sets of the text rules.
-ARTIFACTS = r"[«»©®™•¤§|`~^*_=<>{}\[\]\\‘’“”\"\x00-\x1f]"
+ARTIFACTS = r"[«»©®™•¤§|`~^*_=<>{}\[\]\\‘’“”\x00-\x1f]"
 SPACES = r"[\s\p{Z}]+"
 ENDS = " .,;:-"
 TOKEN_ENDS = ".,;:!?()\"'"
@@ -20,6 +22,8 @@ TIME_INSIDE = r"(^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([^\p{L}\p{N}_]
 DOMAIN = r"^[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}(/[^\s]*)?$"
 EMAIL = r"^[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[A-Za-z]{2,}$"
 NUMBER = r"^[+-]?[0-9][0-9,.]*%?$"
+#: What most tokens are: a word of three letters or more with a vowel (one look saves all other patterns).
+PLAIN = r"^(?=[A-Za-z]*[AEIOUYaeiouy])[A-Za-z]{3,}$"
 WORD = r"^[A-Za-z][A-Za-z'&.-]*$"
 WORD_DIGITS = r"^[A-Za-z]+[0-9]{1,6}$"
 SHORT_WORDS = "ok on in to of at go no up or if my we he it is as an am do be by".split()
@@ -42,12 +46,21 @@ def bare(token: Column) -> Column:
 
 
 def is_address(token: Column) -> Column:
-    return token.rlike(DOMAIN) | token.rlike(EMAIL)
+    # The first test is cheap and settles most tokens.
+    return (token.contains(".") | token.contains("@")) & (token.rlike(DOMAIN) | token.rlike(EMAIL))
+
+
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule(value)`` with the value computed once, however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
 
 
 def kind(token: Column) -> Column:
     """time, domain, number, word or junk."""
-    b = bare(token)
+    return bound(bare(token), lambda b: F.when(b.rlike(PLAIN) & ~F.lower(b).isin(GLYPH_WORDS), "word").otherwise(_kind(b)))
+
+
+def _kind(b: Column) -> Column:
     low, size = F.lower(b), F.length(b)
     vowel = low.rlike("[aeiouy]")
     letters = F.regexp_replace(low, "[0-9]", "")
@@ -72,8 +85,8 @@ def kinds(parts: Column) -> Column:
         low = F.lower(token)
         # get() is null outside of the list
         stutter = (F.length(token) <= 3) & (F.coalesce(F.lower(F.get(parts, i - 1)) == low, F.lit(False)) | F.coalesce(F.lower(F.get(parts, i + 1)) == low, F.lit(False)))
-        k = kind(token)
-        return F.struct(F.when((k == "word") & stutter, "junk").otherwise(k).alias("kind"), F.length(token).alias("n"))
+        settled = bound(kind(token), lambda k: F.when((k == "word") & stutter, "junk").otherwise(k))
+        return F.struct(settled.alias("kind"), F.length(token).alias("n"))
 
     return F.transform(parts, one)
 

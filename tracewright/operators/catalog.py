@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Accepted media types and the size limit of uploads.
@@ -62,3 +62,115 @@ def renumbered(steps: DataFrame, dropped: DataFrame) -> DataFrame:
     """Steps that an edit left, numbered anew."""
     w = Window.partitionBy("job_id").orderBy("idx")
     return steps.join(dropped, ["job_id", "idx"], "left_anti").withColumn("new_idx", F.row_number().over(w).cast("long"))
+
+
+def edited(steps: DataFrame, merges: DataFrame) -> DataFrame:
+    """Steps after merges with the next one, numbered anew.
+
+    ``merges`` names (job_id, idx) of steps to merge with their next; a merge of
+    the last step, or of one that the step before it has taken up, does nothing.
+    """
+    w = Window.partitionBy("job_id").orderBy("idx")
+    asked = steps.join(merges.select("job_id", "idx", F.lit(True).alias("_asked")), ["job_id", "idx"], "left")
+    nxt = asked.withColumn("_next", F.lead(F.struct("text", "evidence", "confidence")).over(w))
+    wish = F.coalesce("_asked", F.lit(False)) & F.col("_next").isNotNull()
+    # In a run of wishes every other one is granted: a step that was taken up is gone.
+    runs = nxt.withColumn("_wish", wish).withColumn("_run", F.sum(F.when(F.col("_wish"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("job_id", "_run", "_wish").orderBy("idx"))
+    granted = runs.withColumn("_takes", F.col("_wish") & (place % 2 == 1))
+    kept = granted.withColumn("_taken", F.coalesce(F.lag("_takes").over(w), F.lit(False))).where("NOT _taken")
+    takes, n = F.col("_takes"), F.col("_next")
+    text = F.concat(F.regexp_replace("text", r"\.$", ""), F.lit(", then "), F.lower(F.left(n["text"], F.lit(1))), F.substr(n["text"], F.lit(2)))
+    values = {"text": F.when(takes, text).otherwise(F.col("text")), "evidence": F.when(takes, F.concat("evidence", n["evidence"])).otherwise(F.col("evidence")), "confidence": F.when(takes, F.least("confidence", n["confidence"])).otherwise(F.col("confidence"))}
+    return kept.select(*[values.get(c, F.col(c)).alias(c) for c in steps.columns], F.row_number().over(w).cast("long").alias("new_idx"))
+
+
+def completed(uploads: DataFrame, objects: DataFrame) -> DataFrame:
+    """Uploads whose object has arrived become ``uploaded`` with its size; others are answered 409."""
+    there = objects.select("storage_key", F.col("length").alias("_size"))
+    out = uploads.join(there, "storage_key", "left")
+    arrived = F.col("_size").isNotNull()
+    return out.withColumn("code", F.when(arrived, 200).otherwise(409)).withColumn("status", F.when(arrived, "uploaded").otherwise(F.col("status"))).withColumn("byte_size", F.coalesce("_size", "byte_size")).drop("_size")
+
+
+# Videos that a job may be made of, jobs that no stage runs for, roles in their order.
+READY = ("uploaded", "processed", "failed")
+OVER = ("failed", "canceled")
+ROLES = ("viewer", "reviewer", "editor", "admin", "owner")
+
+
+def created_jobs(requests: DataFrame, videos: DataFrame) -> DataFrame:
+    """Requests (request_id, video_id) with their answer: 202 and a queued job, 404 or 409."""
+    out = requests.join(videos.select("video_id", F.col("status").alias("_video")), "video_id", "left")
+    code = F.when(F.col("_video").isNull(), 404).when(F.col("_video").isin(*READY), 202).otherwise(409)
+    return out.withColumn("code", code).withColumn("status", F.when(F.col("code") == 202, "queued")).drop("_video")
+
+
+def runnable(jobs: DataFrame) -> DataFrame:
+    """Jobs whose next stage may run."""
+    return jobs.where(~F.col("status").isin(*OVER))
+
+
+def rank_of(role: Column) -> Column:
+    """Place of a role, null for none."""
+    place = F.array_position(F.array(*map(F.lit, ROLES)), role)
+    return F.when(place > 0, place - 1)
+
+
+def allowed(requests: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Requests (org_id, user_id, minimum) with 200, 403 (role too low) or 404 (no member, so nothing is told)."""
+    out = requests.join(memberships.select("org_id", "user_id", "role"), ["org_id", "user_id"], "left")
+    return out.withColumn("code", F.when(F.col("role").isNull(), 404).when(rank_of(F.col("role")) < rank_of(F.col("minimum")), 403).otherwise(200))
+
+
+def with_stage(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """Jobs with one more entry in ``stages``, an array of (stage, status, ms); a failed stage fails the job."""
+    entry = F.struct("stage", F.col("stage_status").alias("status"), "ms")
+    new = done.select("job_id", entry.alias("_entry"))
+    out = jobs.join(new, "job_id", "left")
+    failed = F.coalesce(F.col("_entry.status") == "failed", F.lit(False))
+    none = F.array().cast("array<struct<stage:string,status:string,ms:bigint>>")
+    stages = F.coalesce("stages", none)
+    return out.withColumn("stages", F.when(F.col("_entry").isNull(), stages).otherwise(F.array_append(stages, F.col("_entry")))).withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).drop("_entry")
+
+
+def saved(edits: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New revisions of accepted edits, and the reports with their heads moved and in review.
+
+    ``edits`` has report_id, revision_id (new), parent_revision_id, created_at,
+    change_note; of edits on one head the first counts.
+    """
+    heads_ = reports.select("report_id", F.col("head_revision_id").alias("_head"))
+    w = Window.partitionBy("report_id").orderBy("created_at", "revision_id")
+    taken = edits.join(heads_, "report_id").where(F.col("parent_revision_id") == F.col("_head")).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_head")
+    new = taken.select("report_id", F.col("revision_id").alias("_new"))
+    moved = reports.join(new, "report_id", "left").withColumn("status", F.when(F.col("_new").isNotNull(), "in_review").otherwise(F.col("status"))).withColumn("head_revision_id", F.coalesce("_new", "head_revision_id")).drop("_new")
+    return taken.withColumn("author_type", F.lit("human")), moved
+
+
+def approved(reports: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Reports with those that were approved marked so."""
+    marks = approvals.select("report_id", F.lit(True).alias("_ok")).distinct()
+    return reports.join(marks, "report_id", "left").withColumn("status", F.when(F.col("_ok"), "approved").otherwise(F.col("status"))).drop("_ok")
+
+
+FORMATS = ("json", "markdown", "text", "github", "ado")
+
+
+def exports(requests: DataFrame, reports: DataFrame) -> DataFrame:
+    """Requests (report_id, format) with 201, 400 (format), 404 or 409 (no revision), and the status the report then has."""
+    out = requests.join(reports.select("report_id", "status", "head_revision_id", F.lit(True).alias("_known")), "report_id", "left")
+    code = F.when(F.col("_known").isNull(), 404).when(F.col("head_revision_id").isNull(), 409).when(~F.col("format").isin(*FORMATS), 400).otherwise(201)
+    out = out.withColumn("code", code)
+    return out.withColumn("status", F.when((F.col("code") == 201) & (F.col("status") == "approved"), "exported").otherwise(F.col("status"))).drop("_known", "head_revision_id")
+
+
+def history(revisions: DataFrame) -> DataFrame:
+    """Each report's revisions, newest first, as one array."""
+    new = lambda x, y: F.when(x["created_at"] > y["created_at"], -1).when(x["created_at"] < y["created_at"], 1).when(x["revision_id"] > y["revision_id"], -1).when(x["revision_id"] < y["revision_id"], 1).otherwise(0)
+    return revisions.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "revision_id")), new).alias("revisions"))
+
+
+def comments(rows: DataFrame) -> DataFrame:
+    """Each report's comments, oldest first, as one array."""
+    return rows.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "comment_id", "step_key", "t_ms", "body", "resolved"))).alias("comments"))

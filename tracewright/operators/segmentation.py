@@ -2,55 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.sequence import fold, spaced, upper_median
+from tracewright.operators.sequence import spaced, upper_median
 from tracewright.operators.settings import Settings
 
 DEFAULT = Settings()
 
 
+def _threshold(s: Settings) -> Column:
+    return F.round(F.greatest(F.lit(s.score_floor), F.avg("score") + s.score_sigmas * F.stddev_pop("score")), 6)
+
+
 def thresholds(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(job_id, threshold): mean and population deviation of the scores, with a floor."""
-    return samples.groupBy("job_id").agg(F.round(F.greatest(F.lit(s.score_floor), F.avg("score") + s.score_sigmas * F.stddev_pop("score")), 6).alias("threshold"))
+    return samples.groupBy("job_id").agg(_threshold(s).alias("threshold"))
+
+
+def _jobs(samples: DataFrame, s: Settings) -> DataFrame:
+    """One row per job: its boundaries in order beside its samples, span and end.
+
+    Everything below works on this one exchange by job_id; a recording has some
+    thousands of samples.
+    """
+    row = F.struct("i", "t_ms", "score", "change_frac")
+    jobs = samples.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(row)).alias("rows"),
+        _threshold(s).alias("threshold"),
+        (F.max("t_ms") - F.min("t_ms")).alias("span"),
+        (F.max("t_ms") + s.sample_ms).alias("end"),
+    )
+    over = F.filter(F.slice("rows", F.lit(2), F.size("rows")), lambda r: r["score"] >= F.col("threshold"))
+    return jobs.withColumn("marks", F.aggregate(over, F.slice("rows", 1, 1), spaced("t_ms", s.least_segment_ms)))
 
 
 def boundaries(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """First sample of each job, then every sample over the threshold that is far enough from the last one taken."""
-    first = F.row_number().over(Window.partitionBy("job_id").orderBy("i")) == 1
-    marked = samples.withColumn("_first", first).join(thresholds(samples, s), "job_id")
-    candidates = marked.where(F.col("_first") | (F.col("score") >= F.col("threshold")))
-    return fold(candidates, ["job_id"], ["i"], ["t_ms", "score", "change_frac"], spaced("t_ms", s.least_segment_ms))
-
+    return _jobs(samples, s).select("job_id", F.explode("marks").alias("b")).select("job_id", "b.*")
 
-def ambient(samples: DataFrame, marks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Per boundary: how many samples of the job score like it, how often and how far spread.
 
-    Boundaries of one job meet samples of the same job only.
-    """
-    span = samples.groupBy("job_id").agg((F.max("t_ms") - F.min("t_ms")).alias("_span"))
-    b = marks.select("job_id", F.col("i").alias("b_i"), F.col("score").alias("b_score"))
-    like = b.join(samples.select("job_id", "t_ms", "score"), "job_id").where((F.col("score") >= s.ambient_low * F.col("b_score")) & (F.col("score") <= s.ambient_high * F.col("b_score")) & (F.col("b_score") > 0))
-    counted = like.groupBy("job_id", "b_i").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("_lo"), F.max("t_ms").alias("_hi"))
-    out = b.join(counted, ["job_id", "b_i"], "left").join(span, "job_id")
-    n = F.coalesce("n", F.lit(0))
-    return out.select(
+def _profiled(samples: DataFrame, s: Settings) -> DataFrame:
+    """(job_id, b, end, n, rate_per_min, spread) of each boundary b."""
+    marks = _jobs(samples, s).select("job_id", "span", "end", "rows", F.explode("marks").alias("b"))
+    met = marks.select("job_id", "span", "end", "b", F.explode("rows").alias("r"))
+    like = (F.col("r.score") >= s.ambient_low * F.col("b.score")) & (F.col("r.score") <= s.ambient_high * F.col("b.score")) & (F.col("b.score") > 0)
+    at = F.when(like, F.col("r.t_ms"))
+    counted = met.groupBy("job_id", "b", "span", "end").agg(F.count(at).alias("n"), (F.max(at) - F.min(at)).alias("width"))
+    return counted.select(
         "job_id",
-        F.col("b_i").alias("i"),
-        n.cast("long").alias("n"),
-        F.round(n / F.greatest(F.col("_span") / 60000.0, F.lit(1.0 / 60)), 4).alias("rate_per_min"),
-        F.round(F.when(F.col("_span") > 0, F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0)) / F.col("_span")).otherwise(0.0), 4).alias("spread"),
+        "b",
+        "end",
+        "n",
+        F.round(F.col("n") / F.greatest(F.col("span") / 60000.0, F.lit(1.0 / 60)), 4).alias("rate_per_min"),
+        F.round(F.when(F.col("span") > 0, F.coalesce("width", F.lit(0)) / F.col("span")).otherwise(0.0), 4).alias("spread"),
     )
 
 
+def ambient(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Per boundary: how many samples of the job score like it, how often and how far spread."""
+    return _profiled(samples, s).select("job_id", "b.i", "n", "rate_per_min", "spread")
+
+
 def segments(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(job_id, idx, start_ms, end_ms, transition_type) covering every job's timeline."""
-    marks = boundaries(samples, s)
-    ends = samples.groupBy("job_id").agg((F.max("t_ms") + s.sample_ms).alias("_end"))
+    placed = _profiled(samples, s).select("*", "b.i", "b.t_ms", "b.change_frac")
     w = Window.partitionBy("job_id").orderBy("i")
-    placed = marks.join(ends, "job_id").join(ambient(samples, marks, s), ["job_id", "i"])
-    idx = F.row_number().over(w) - 1
     steady = (F.col("n") >= s.ambient_samples) & (F.col("spread") >= s.ambient_spread)
     busy = lambda rate: steady & (F.col("rate_per_min") > rate)
     kind = (
@@ -59,7 +76,7 @@ def segments(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         .when(F.col("change_frac") >= s.dialog_change, F.when(busy(s.dialog_rate), "minor").otherwise("dialog"))
         .otherwise("minor")
     )
-    out = placed.withColumn("idx", idx).withColumn("end_ms", F.coalesce(F.lead("t_ms").over(w), F.col("_end")))
+    out = placed.withColumn("idx", F.row_number().over(w) - 1).withColumn("end_ms", F.coalesce(F.lead("t_ms").over(w), F.col("end")))
     return out.select("job_id", F.col("idx").cast("long").alias("idx"), F.col("t_ms").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), kind.alias("transition_type"))
 
 

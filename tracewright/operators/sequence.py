@@ -69,18 +69,27 @@ def upper_median(values: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
-def best(label: str, score: Column, order: Column) -> Column:
-    """Aggregate: the label with the highest positive score, the earliest on ties."""
-    return F.max_by(label, F.when(score > 0, F.struct(score, -order)))
+def in_bins(df: DataFrame, low: Column, high: Column, width: int, out: str = "_bin") -> DataFrame:
+    """One row per time bin that [low, high] touches: two at most, if it is no wider than ``width``.
+
+    Joins of an interval with instants are equal on the bin, so one long
+    recording is many small groups.
+    """
+    return df.withColumn(out, F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: str, take: str, out: str) -> DataFrame:
-    """Add the value of ``right`` that is nearest in time, the earliest on ties.
+    """Add the value of ``right`` that is nearest in time, the earliest on ties; null where the key has none.
 
-    Equal keys only, so that one recording meets one recording.
+    Both sides are sorted by time once, and each left row looks at the last
+    right row before it and the first after it: no pairs are made.
     """
-    r = right.select(key, F.col(right_t).alias("_rt"), F.col(order).alias("_ro"), F.col(take).alias("_rv"))
     ids = left.columns
-    joined = left.join(r, key, "left")
-    picked = F.min_by("_rv", F.struct(F.abs(F.col("_rt") - F.col(left_t)), F.col("_ro"))).alias(out)
-    return joined.groupBy(*ids).agg(picked)
+    r = right.groupBy(key, F.col(right_t).alias("_t")).agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(take).alias("v")), order).alias("_r"))
+    rows = r.select(key, "_t", "_r").unionByName(left.select(key, F.col(left_t).alias("_t"), F.struct(*ids).alias("_l")), allowMissingColumns=True)
+    seen = F.when(F.col("_r").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_r.o").alias("o"), F.col("_r.v").alias("v")))
+    asks = F.col("_l").isNotNull()
+    upto = lambda *o: Window.partitionBy(key).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("_a", F.last(seen, True).over(upto(F.col("_t"), asks))).withColumn("_b", F.last(seen, True).over(upto(F.col("_t").desc(), asks)))
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t"] - F.col("_t")).alias("d"), F.col(c)["o"].alias("o"), F.col(c)["v"].alias("v")))
+    return both.where(asks).select("_l.*", F.least(far("_a"), far("_b"))["v"].alias(out))

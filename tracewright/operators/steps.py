@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry, text
-from tracewright.operators.sequence import islands
+from tracewright.operators.sequence import islands, nearest
 from tracewright.operators.settings import Settings
 
 DEFAULT = Settings()
@@ -22,26 +22,36 @@ def post_bug_cut(events: DataFrame, bugs: DataFrame, s: Settings = DEFAULT) -> t
     return joined.where(~late).drop("bug_ms"), spans
 
 
-def _effects(events: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, Column]:
-    acts = events.where(F.col("type").isin(*ACTIVATIONS)).select(F.col("job_id").alias("a_job"), F.col("t_start_ms").alias("a_start"), F.col("t_end_ms").alias("a_end"))
-    results = events.where(F.col("type").isin("navigate", "dialog_open"))
-    gap = F.col("t_start_ms") - F.col("a_end")
-    same = (F.col("type") == "navigate") & ((F.abs(F.col("t_start_ms") - F.col("a_start")) <= s.boundary_ms) | (F.abs(gap) <= s.boundary_ms))
-    effect = (F.col("job_id") == F.col("a_job")) & (gap.between(0, s.effect_ms) | same)
-    return results, acts, effect
+def _judged(events: DataFrame, s: Settings) -> DataFrame:
+    """Events with ``_effect``: a navigation or dialog that an activation of the same recording brought about.
+
+    One recording's events are judged side by side, so there is one exchange.
+    """
+    names = [c for c in events.columns if c != "job_id"]
+    jobs = events.groupBy("job_id").agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    acts = F.transform(F.filter("_rows", lambda r: r["type"].isin(*ACTIVATIONS)), lambda r: F.struct(r["t_start_ms"].alias("start"), r["t_end_ms"].alias("end")))
+    jobs = jobs.withColumn("_acts", acts)
+
+    def effect(r: Column) -> Column:
+        def by(a: Column) -> Column:
+            gap = r["t_start_ms"] - a["end"]
+            same = (r["type"] == "navigate") & ((F.abs(r["t_start_ms"] - a["start"]) <= s.boundary_ms) | (F.abs(gap) <= s.boundary_ms))
+            return gap.between(0, s.effect_ms) | same
+
+        return F.when(r["type"].isin("navigate", "dialog_open"), F.exists("_acts", by)).otherwise(False)
+
+    flagged = F.transform("_rows", lambda r: F.struct(r.alias("r"), effect(r).alias("_effect")))
+    return jobs.select("job_id", F.explode(flagged).alias("f")).select("job_id", "f.r.*", "f._effect").select(*events.columns, "_effect")
 
 
 def suppressed(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Navigations and dialogs that an activation brought about (interval semi join)."""
-    results, acts, effect = _effects(events, s)
-    return results.join(acts, effect, "left_semi")
+    """Navigations and dialogs that an activation brought about."""
+    return _judged(events, s).where("_effect").drop("_effect")
 
 
 def unsuppressed(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """All other events (interval anti join)."""
-    results, acts, effect = _effects(events, s)
-    others = events.where(~F.col("type").isin("navigate", "dialog_open"))
-    return others.unionByName(results.join(acts, effect, "left_anti"))
+    """All other events."""
+    return _judged(events, s).where("NOT _effect").drop("_effect")
 
 
 def merged_scrolls(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -94,6 +104,9 @@ def _merge(runs: DataFrame, magnitude: bool = False, count: str | None = None, l
     return renamed.groupBy("job_id", "_island").agg(*aggs).drop("_island")
 
 
+# Fixed values in sentence() and note(): the wording of steps, by kind of action and by what could be read.
+
+
 def sentence(width: Column, height: Column) -> Column:
     """Plain text of a step from type, target, repeat_count, merged_count, x, y, final_text, direction."""
     verb = F.when(F.col("type") == "tap", "Tap").otherwise("Click")
@@ -129,13 +142,43 @@ def note() -> Column:
     )
 
 
+def numbered(steps: DataFrame) -> DataFrame:
+    """Steps with ``idx`` from 1 in order of (t_start_ms, seq)."""
+    w = Window.partitionBy("job_id").orderBy("t_start_ms", "seq")
+    return steps.withColumn("idx", F.row_number().over(w).cast("long"))
+
+
 def synthesized(events: DataFrame, width: int, height: int, s: Settings = DEFAULT) -> DataFrame:
-    """The whole chain: suppress effects, merge, phrase, number."""
+    """The chain from events: suppress effects, merge, phrase, number."""
     kept = merged_scrolls(unsuppressed(events, s), s)
     kept = merged_repeated(merged_unlabeled(kept, s), s)
-    w = Window.partitionBy("job_id").orderBy("t_start_ms", "seq")
     said = kept.withColumn("text", sentence(F.lit(width), F.lit(height))).withColumn("uncertainty_note", note())
-    return said.withColumn("grounding", F.when(F.col("confidence") >= 0.8, "observed").otherwise("inferred")).withColumn("idx", F.row_number().over(w).cast("long"))
+    return numbered(said.withColumn("grounding", F.when(F.col("confidence") >= 0.8, "observed").otherwise("inferred")))
+
+
+def with_evidence(steps: DataFrame, frames: DataFrame) -> DataFrame:
+    """Steps with the nearest keyframe: ``evidence`` (frame_id, '' where the recording has none, t_start_ms, t_end_ms)."""
+    near = nearest(steps, frames, "job_id", "t_start_ms", "t_ms", "seq", "frame_id", "_frame")
+    link = F.struct(F.coalesce("_frame", F.lit("")).alias("frame_id"), F.col("t_start_ms").alias("t_start_ms"), F.col("t_end_ms").alias("t_end_ms"))
+    return near.withColumn("evidence", F.array(link)).drop("_frame")
+
+
+STEP = ("job_id", "idx", "text", "action_type", "grounding", "confidence", "uncertainty_note", "evidence")
+
+
+def reproduction(events: DataFrame, frames: DataFrame, bugs: DataFrame, width: int, height: int, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Steps of every recording up to its bug with their evidence, and the spans left out."""
+    usable, spans = post_bug_cut(events, bugs, s)
+    made = with_evidence(synthesized(usable, width, height, s), frames).withColumn("action_type", F.col("type"))
+    reason = F.concat(F.col("n").cast("string"), F.lit(" action(s) after the bug manifestation are not needed to reproduce"))
+    return made.select(*STEP), spans.select("job_id", "t_start_ms", "t_end_ms", reason.alias("reason"))
+
+
+def with_entry(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entry steps first, all numbered anew from 1, with ``key``."""
+    both = entries.withColumn("idx", F.lit(0).cast("long")).select(*STEP).unionByName(steps.select(*STEP))
+    w = Window.partitionBy("job_id").orderBy("idx")
+    return both.withColumn("idx", F.row_number().over(w).cast("long")).withColumn("key", F.concat(F.lit("s"), F.col("idx").cast("string")))
 
 
 def opening_frames(frames: DataFrame, n: int = 2) -> DataFrame:
@@ -156,7 +199,8 @@ def entry_steps(jobs: DataFrame, blocks: DataFrame, frames: DataFrame) -> DataFr
     address = F.split("label", "/")[0].rlike(text.DOMAIN)
     rank = lambda cond: F.max_by("label", F.when(cond & (F.col("weight") > 0), F.struct("weight", -F.col("block_no"))))
     picked = rated.groupBy("job_id").agg(rank(address).alias("domain"), rank(~address & (F.col("role") == "title_bar")).alias("title"))
-    out = jobs.join(picked, "job_id", "left")
+    opens = frames.groupBy("job_id").agg(F.min_by(F.struct("frame_id", "t_ms"), F.struct("t_ms", "seq")).alias("f"))
+    out = jobs.join(picked, "job_id", "left").join(opens, "job_id", "left")
     kind = F.when(F.col("device_class") == "mobile", "app").otherwise("application")
     return out.select(
         "job_id",
@@ -166,6 +210,9 @@ def entry_steps(jobs: DataFrame, blocks: DataFrame, frames: DataFrame) -> DataFr
         .alias("text"),
         F.when(F.col("domain").isNotNull() | F.col("title").isNotNull(), "observed").otherwise("assumed").alias("grounding"),
         F.when(F.col("domain").isNotNull(), 0.85).when(F.col("title").isNotNull(), 0.7).otherwise(0.5).alias("confidence"),
+        F.when(F.col("domain").isNotNull() | F.col("title").isNotNull(), "").otherwise("the app name and URL were not readable on the first screen").alias("uncertainty_note"),
+        F.lit("navigate").alias("action_type"),
+        F.array(F.struct(F.coalesce("f.frame_id", F.lit("")).alias("frame_id"), F.lit(0).cast("long").alias("t_start_ms"), F.coalesce("f.t_ms", F.lit(0)).cast("long").alias("t_end_ms"))).alias("evidence"),
     )
 
 

@@ -41,7 +41,7 @@ LEFT = (
   FROM raw WHERE hit IS NOT NULL OR transition_type = 'nav'
 )"""
 )
-LIST = (
+EVENTS = (
     BASE
     + """, ev AS (
   SELECT job_id, i AS seq, event_id, t_ms AS t_start_ms, t_ms + 100 AS t_end_ms, value, k,
@@ -56,7 +56,11 @@ LIST = (
          CASE WHEN type = 'scroll' THEN abs(k - 50)::DOUBLE END AS magnitude_px,
          CASE WHEN type IN ('click', 'form_submit') AND k % 2 = 1 THEN 0.75 ELSE 0.55 END::DOUBLE AS confidence
   FROM ev
-), act AS (SELECT * FROM el WHERE type IN ('click', 'tap', 'form_submit')
+)"""
+)
+LIST = (
+    EVENTS
+    + """, act AS (SELECT * FROM el WHERE type IN ('click', 'tap', 'form_submit')
 ), effect AS (
   SELECT e.job_id, e.seq FROM el e WHERE e.type IN ('navigate', 'dialog_open') AND EXISTS (
     SELECT 1 FROM act a WHERE a.job_id = e.job_id AND (e.t_start_ms - a.t_end_ms BETWEEN 0 AND 2000
@@ -81,10 +85,16 @@ def islands_sql(source: str, same: str, out: str) -> str:
 )"""
 
 
-KEPT = LIST + ", kept AS (SELECT el.*, 1 AS merged, 1 AS repeated FROM el WHERE NOT EXISTS (SELECT 1 FROM effect f WHERE f.job_id = el.job_id AND f.seq = el.seq))"
-SCROLLS = KEPT + islands_sql("kept", "type = 'scroll' AND p_type = 'scroll' AND direction = p_direction AND t_start_ms - p_end < 2500", "ms")
-BLIND = SCROLLS + ", m1 AS (SELECT * EXCLUDE (isl, n), c_first AS confidence FROM ms)" + islands_sql("m1", "type IN ('click', 'tap') AND x IS NULL AND target = '' AND p_type IN ('click', 'tap') AND p_x IS NULL AND p_target = '' AND t_start_ms - p_end <= 3000", "mu")
-AGAIN = BLIND + ", m2 AS (SELECT * EXCLUDE (isl, n), c_min AS confidence, n AS merged FROM mu)" + islands_sql("m2", "type = p_type AND type IN ('click', 'tap', 'form_submit') AND target <> '' AND target = p_target AND t_start_ms - p_end <= 3000", "mr")
+KEPT_ONLY = ", kept AS (SELECT el.*, 1 AS merged, 1 AS repeated FROM el WHERE NOT EXISTS (SELECT 1 FROM effect f WHERE f.job_id = el.job_id AND f.seq = el.seq))"
+KEPT = LIST + KEPT_ONLY
+MERGED_SCROLLS = islands_sql("kept", "type = 'scroll' AND p_type = 'scroll' AND direction = p_direction AND t_start_ms - p_end < 2500", "ms")
+SCROLLS = KEPT + MERGED_SCROLLS
+MERGED_BLIND = ", m1 AS (SELECT * EXCLUDE (isl, n), c_first AS confidence FROM ms)" + islands_sql("m1", "type IN ('click', 'tap') AND x IS NULL AND target = '' AND p_type IN ('click', 'tap') AND p_x IS NULL AND p_target = '' AND t_start_ms - p_end <= 3000", "mu")
+BLIND = SCROLLS + MERGED_BLIND
+MERGED_AGAIN = ", m2 AS (SELECT * EXCLUDE (isl, n), c_min AS confidence, n AS merged FROM mu)" + islands_sql("m2", "type = p_type AND type IN ('click', 'tap', 'form_submit') AND target <> '' AND target = p_target AND t_start_ms - p_end <= 3000", "mr")
+AGAIN = BLIND + MERGED_AGAIN
+#: From usable events (el) to merged ones (mr, with the counts of mu).
+CHAIN = LIST[len(EVENTS) :] + KEPT_ONLY + MERGED_SCROLLS + MERGED_BLIND + MERGED_AGAIN
 
 
 def _segs(spark, sf):
@@ -92,7 +102,7 @@ def _segs(spark, sf):
 
 
 def scroll_islands(spark, sf):
-    return ev.scrolls(a.motions(spark, sf)).drop("island")
+    return ev.scrolls(a.motions(spark, sf)).drop("island").withColumn("signals", F.array_join("signals", ","))
 
 
 def scroll_explains_anti(spark, sf):
@@ -101,7 +111,7 @@ def scroll_explains_anti(spark, sf):
 
 def click_asof_cursor(spark, sf):
     got = ev.raw_clicks(_segs(spark, sf), a.cursor(spark, sf), a.motions(spark, sf))
-    return got.withColumn("x", F.coalesce("x", F.lit(-1).cast("long"))).withColumn("y", F.coalesce("y", F.lit(-1).cast("long")))
+    return got.withColumn("signals", F.array_join("signals", ",")).withColumn("x", F.coalesce("x", F.lit(-1).cast("long"))).withColumn("y", F.coalesce("y", F.lit(-1).cast("long")))
 
 
 def click_dedupe(spark, sf):
@@ -158,9 +168,7 @@ def merge_repeated(spark, sf):
 def step_sentences(spark, sf):
     """The flagship: every recording's steps, phrased, numbered and scored."""
     made = steps.synthesized(a.event_list(spark, sf), 1080, 720)
-    raw = made.select("job_id", "idx", "text", "uncertainty_note", "grounding", scoring.step_confidence(F.col("confidence"), F.lit(0.8), F.lit(0.9)).alias("confidence"))
-    scored = scoring.propagated(raw.select("job_id", "idx", "confidence"))
-    return raw.drop("confidence").join(scored, ["job_id", "idx"])
+    return scoring.propagated(made.select("job_id", "idx", "text", "uncertainty_note", "grounding", scoring.step_confidence(F.col("confidence"), F.lit(0.8), F.lit(0.9)).alias("confidence")))
 
 
 def propagate(spark, sf):
@@ -229,9 +237,9 @@ ORACLE_SQL = {
     "scroll_islands": f"""WITH {BASE} {MOVES}, s AS (SELECT * FROM motions WHERE abs(dy) >= 3), l AS (
         SELECT *, CASE WHEN t_ms - lag(t_ms) OVER w > 600 OR (dy > 0) <> (lag(dy) OVER w > 0) OR lag(t_ms) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM s WINDOW w AS (PARTITION BY job_id ORDER BY t_ms, seq)
       ), g AS (SELECT *, sum(f) OVER (PARTITION BY job_id ORDER BY t_ms, seq) AS isl FROM l)
-      SELECT job_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, CASE WHEN sum(dy) < 0 THEN 'down' ELSE 'up' END AS direction, round(abs(sum(dy)), 1) AS magnitude_px, 0.92::DOUBLE AS confidence FROM g GROUP BY job_id, isl""",
+      SELECT job_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, CASE WHEN sum(dy) < 0 THEN 'down' ELSE 'up' END AS direction, round(abs(sum(dy)), 1) AS magnitude_px, 0.92::DOUBLE AS confidence, 'scroll' AS type, 'global_motion' AS signals FROM g GROUP BY job_id, isl""",
     "scroll_explains_anti": f"WITH {LEFT} SELECT job_id, idx, start_ms, transition_type FROM open",
-    "click_asof_cursor": f"WITH {LEFT} SELECT * REPLACE (coalesce(x, -1) AS x, coalesce(y, -1) AS y) FROM clicks",
+    "click_asof_cursor": f"WITH {LEFT} SELECT * REPLACE (coalesce(x, -1) AS x, coalesce(y, -1) AS y), CASE WHEN x IS NULL THEN 'transition_only' ELSE 'cursor_dwell,transition' END AS signals FROM clicks",
     "click_dedupe": f"""WITH {LIST}, f AS (SELECT job_id, """ + FOLD.format(
         rec="{'t': t_start_ms, 's': seq, 'c': confidence}", order="t_start_ms, seq",
         step="CASE WHEN x[1].t - acc[len(acc)].t >= 800 THEN list_concat(acc, x) WHEN x[1].c > acc[len(acc)].c THEN list_concat(acc[:-2], x) ELSE acc END",

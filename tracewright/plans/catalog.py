@@ -122,17 +122,20 @@ def media_frames(spark, sf):
 
 
 def progress_stream(spark, sf):
-    """Latest state of each job from a stream of messages."""
+    """Latest state of each job from a stream of messages, one a day."""
     from uuid import uuid4
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tracewright"
-    folder = f"{root}/progress-{uuid4().hex}"
+    from tracewright.sources.tables import shared_folder
+
+    folder = f"{shared_folder(spark)}/progress-{uuid4().hex}"
     li = table(spark, sf, "lineitem")
     names = F.array(*map(F.lit, progress.STAGES))
-    msg = li.select(F.col("l_orderkey").cast("string").alias("job_id"), F.element_at(names, F.col("l_linenumber")).alias("stage"), F.when(F.col("l_linenumber") == 7, "awaiting_review").otherwise("running").alias("status"), F.lit(0.5).alias("pct"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("_t0"), "l_linenumber")
-    msg.select("job_id", "stage", "status", "pct", (F.col("_t0") + F.make_dt_interval(secs=F.col("l_linenumber"))).alias("at")).write.json(folder + "/in")
-    got = progress.run_to_end(progress.state(progress.messages(spark, folder + "/in")), "progress_" + uuid4().hex, folder + "/state")
-    return got.groupBy("stage", "status", "ended").agg(F.count(F.lit(1)).alias("n"))
+    at = F.timestampadd("HOUR", F.col("l_linenumber") * 20, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    msg = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    msg = msg.select(F.col("l_orderkey").cast("string").alias("job_id"), F.element_at(names, F.col("l_linenumber")).alias("stage"), F.when(F.col("l_linenumber") == 7, "awaiting_review").otherwise("running").alias("status"), (F.col("q") / 100).alias("pct"), at.alias("at"))
+    progress.publish(msg, folder + "/in")
+    got = progress.run_to_end(progress.messages(spark, folder + "/in"), folder + "/out", folder + "/state")
+    return got.groupBy("stage", "status", "ended").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pct"), 4).alias("pct"))
 
 
 QUERIES = {

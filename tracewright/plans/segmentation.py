@@ -86,8 +86,7 @@ def segments(spark, sf):
 
 
 def ambient_profile(spark, sf):
-    s = a.samples(spark, sf)
-    return seg.ambient(s, seg.boundaries(s))
+    return seg.ambient(a.samples(spark, sf))
 
 
 def transition_mix(spark, sf):

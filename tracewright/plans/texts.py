@@ -12,7 +12,7 @@ from tracewright.sources import adapters as a
 from tracewright.sources.tables import table
 
 UI = """ui AS (
-  SELECT 'doc:' || doc_id AS key, left(string_split(text, chr(10))[1], 80) AS text FROM documents
+  SELECT 'doc:' || doc_id || ':' || pos AS key, string_split(text, chr(10))[pos + 1] AS text FROM documents, unnest(range(0, len(string_split(text, chr(10))))) AS u(pos)
   UNION ALL SELECT 'url:' || page_id, 'fm) 6 ' || regexp_replace(url, '^https?://', '') || ' 3' FROM pages
   UNION ALL SELECT 'part:' || p_partkey, '«|' || p_name || '® wll' FROM part
   UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer
@@ -20,19 +20,33 @@ UI = """ui AS (
 )"""
 
 
+# The SQL writes the rules out on its own, so that a slip in the operators' constants shows.
+SPACES = r"[\s\p{Z}]+"
+ENDS = """.,;:!?()"''"""
+TIME_TOKEN = r"^[^\p{L}\p{N}_]*[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?[^\p{L}\p{N}_]*$"
+TIME_INSIDE = r"(^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([^\p{L}\p{N}_]|$)"
+DOMAIN = r"^[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}(/[^\s]*)?$"
+EMAIL = r"^[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[A-Za-z]{2,}$"
+NUMBER = r"^[+-]?[0-9][0-9,.]*%?$"
+WORD_PATTERN = r"^[A-Za-z][A-Za-z''&.-]*$"
+WORD_DIGITS = r"^[A-Za-z]+[0-9]{1,6}$"
+GLYPHS = "'ull', 'ul', 'ules', 'ies', 'wll', 'atl', 'lte', 'volte', '5g', '4g', '3g'"
+SHORTS = "'ok', 'on', 'in', 'to', 'of', 'at', 'go', 'no', 'up', 'or', 'if', 'my', 'we', 'he', 'it', 'is', 'as', 'an', 'am', 'do', 'be', 'by'"
+ERROR_WORDS = "error|failed|failure|exception|crash|undefined|null|nan|oops|something went wrong|not found|cannot|unable to|invalid"
+
+
 def _clean(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{text.ARTIFACTS}', ' ', 'g'), '{text.SPACES}', ' ', 'g'), '{text.ENDS}')"
+    artifacts = r"[«»©®™•¤§|`~^*_=<>{}\[\]\\‘’“”\x00-\x1f]"
+    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{artifacts}', ' ', 'g'), '{SPACES}', ' ', 'g'), ' .,;:-')"
 
 
-ENDS = text.TOKEN_ENDS.replace("'", "''")
-WORD_PATTERN = text.WORD.replace("'", "''")
-KIND = f"""CASE WHEN b = '' THEN 'junk' WHEN regexp_matches(b, '{text.TIME_TOKEN}') THEN 'time'
-    WHEN regexp_matches(b, '{text.DOMAIN}') OR regexp_matches(b, '{text.EMAIL}') THEN 'domain'
-    WHEN regexp_matches(b, '{text.NUMBER}') THEN 'number'
-    WHEN regexp_matches(b, '{text.WORD_DIGITS}') THEN CASE WHEN length(regexp_replace(b, '[0-9]', '', 'g')) >= 3 AND regexp_matches(lower(b), '[aeiouy]') THEN 'word' ELSE 'junk' END
-    WHEN NOT regexp_matches(b, '{WORD_PATTERN}') OR lower(b) IN ({", ".join(f"'{w}'" for w in text.GLYPH_WORDS)}) THEN 'junk'
+KIND = f"""CASE WHEN b = '' THEN 'junk' WHEN regexp_matches(b, '{TIME_TOKEN}') THEN 'time'
+    WHEN regexp_matches(b, '{DOMAIN}') OR regexp_matches(b, '{EMAIL}') THEN 'domain'
+    WHEN regexp_matches(b, '{NUMBER}') THEN 'number'
+    WHEN regexp_matches(b, '{WORD_DIGITS}') THEN CASE WHEN length(regexp_replace(b, '[0-9]', '', 'g')) >= 3 AND regexp_matches(lower(b), '[aeiouy]') THEN 'word' ELSE 'junk' END
+    WHEN NOT regexp_matches(b, '{WORD_PATTERN}') OR lower(b) IN ({GLYPHS}) THEN 'junk'
     WHEN length(b) >= 3 THEN CASE WHEN regexp_matches(lower(b), '[aeiouy]') OR (b = upper(b) AND length(b) <= 5) THEN 'word' ELSE 'junk' END
-    WHEN lower(b) IN ({", ".join(f"'{w}'" for w in text.SHORT_WORDS)}) OR (length(b) = 2 AND b = upper(b)) THEN 'word' ELSE 'junk' END"""
+    WHEN lower(b) IN ({SHORTS}) OR (length(b) = 2 AND b = upper(b)) THEN 'word' ELSE 'junk' END"""
 
 
 def quality_sql(source: str, p: str, column: str = "text") -> str:
@@ -55,7 +69,7 @@ def label_sql(source: str, p: str, most: int = 60) -> str:
     """CTE {p} (key, label, quality of the label's source) of a relation with key and text."""
     return (
         quality_sql(source, p + "q")
-        + f""", {p}_m AS (SELECT key, arg_min(b, pos) FILTER (regexp_matches(b, '{text.DOMAIN}') OR regexp_matches(b, '{text.EMAIL}')) AS url,
+        + f""", {p}_m AS (SELECT key, arg_min(b, pos) FILTER (regexp_matches(b, '{DOMAIN}') OR regexp_matches(b, '{EMAIL}')) AS url,
     min(pos) FILTER (raw <> 'junk') AS lo, max(pos) FILTER (raw <> 'junk') AS hi FROM {p}q_k GROUP BY key
 ), {p}_mid AS (SELECT m.key, coalesce(string_agg(k.tok, ' ' ORDER BY k.pos) FILTER (k.pos BETWEEN m.lo AND m.hi), '') AS text FROM {p}_m m JOIN {p}q_k k ON k.key = m.key GROUP BY m.key
 )"""
@@ -69,15 +83,15 @@ def label_sql(source: str, p: str, most: int = 60) -> str:
 
 BLOCKS = (
     r"""bl AS (
-  SELECT conv_id AS job_id, conv_id || '-' || turn AS frame_id, turn * 1500 AS t_ms, turn * 10 + pos AS block_no, left(s, 24) AS text, (pos * 97) % 600 AS x, pos * 173 + 40 AS y, 120 AS w, 40 AS h,
+  SELECT conv_id AS job_id, conv_id || '-' || turn AS frame_id, turn * 1500 AS t_ms, turn * 10000 + pos AS block_no, s AS text, (pos * 97) % 600 AS x, (pos % 7) * 173 + 40 AS y, 120 AS w, 40 AS h,
          round(0.40::DOUBLE + (length(s) % 60) / 100.0::DOUBLE, 2) AS confidence, conv_id || '-' || turn || ':' || pos AS key
-  FROM (SELECT conv_id, turn, pos, string_split(text, '. ')[pos + 1] AS s FROM conversations, unnest(range(0, least(6, len(string_split(text, '. '))))) AS u(pos))
+  FROM (SELECT conv_id, turn, pos, string_split(text, '. ')[pos + 1] AS s FROM conversations, unnest(range(0, len(string_split(text, '. ')))) AS u(pos))
 )"""
     + quality_sql("bl", "bq")
     + f""", br AS (
-  SELECT bl.*, bq.c, bq.quality, CASE WHEN y < 64.8 THEN CASE WHEN regexp_matches(bq.c, '{text.TIME_INSIDE}') OR bq.quality < 0.5 THEN 'status_bar'
+  SELECT bl.*, bq.c, bq.quality, CASE WHEN y < 64.8 THEN CASE WHEN regexp_matches(bq.c, '{TIME_INSIDE}') OR bq.quality < 0.5 THEN 'status_bar'
            WHEN contains(bl.text, '/') OR starts_with(bl.text, 'http') OR starts_with(bl.text, 'www.') OR contains(string_split(bl.text, ' ')[1], '.') THEN 'url_bar' ELSE 'title_bar' END
-         WHEN y < 172.8 AND len(list_filter(regexp_split_to_array(bl.text, '{text.SPACES}'), lambda t: regexp_matches(trim(t, '{ENDS}'), '{text.DOMAIN}'))) > 0 THEN 'url_bar'
+         WHEN y < 172.8 AND len(list_filter(regexp_split_to_array(bl.text, '{SPACES}'), lambda t: regexp_matches(trim(t, '{ENDS}'), '{DOMAIN}'))) > 0 THEN 'url_bar'
          WHEN y + h > 1026 THEN 'status_bar' WHEN length(bl.text) <= 24 AND w < 270 AND h < 64.8 THEN 'button_like' ELSE 'body' END AS role
   FROM bl JOIN bq ON bq.key = bl.key
 )"""
@@ -156,7 +170,7 @@ def _turn_segments(spark, sf):
 
 
 def navigation_target(spark, sf):
-    return ev.navigations(_turn_segments(spark, sf), a.blocks(spark, sf), a.frames(spark, sf))
+    return ev.navigations(_turn_segments(spark, sf), a.blocks(spark, sf), a.frames(spark, sf)).withColumn("signals", F.array_join("signals", ","))
 
 
 def error_anomalies(spark, sf):
@@ -178,7 +192,7 @@ def title_pick(spark, sf):
 def entry_step(spark, sf):
     f = a.frames(spark, sf)
     jobs = f.select("job_id").distinct().withColumn("device_class", F.when(F.col("job_id") % 2 == 0, "mobile").otherwise("desktop"))
-    return steps.entry_steps(jobs, a.blocks(spark, sf), f)
+    return steps.entry_steps(jobs, a.blocks(spark, sf), f).select("job_id", "text", "grounding", "confidence", "uncertainty_note", F.col("evidence")[0]["frame_id"].alias("frame_id"), F.col("evidence")[0]["t_end_ms"].alias("t_end_ms"))
 
 
 def preconditions(spark, sf):
@@ -206,19 +220,19 @@ ORACLE_SQL = {
     "token_classes": f"WITH {UI} {quality_sql('ui', 'q')} SELECT key, kinds FROM q",
     "label_quality": f"WITH {UI} {quality_sql('ui', 'q')} SELECT key, quality FROM q",
     "readable_filter": f"WITH {UI} {quality_sql('ui', 'q')} SELECT split_part(key, ':', 1) AS src, count(*) AS n, sum(length(c))::BIGINT AS chars FROM q WHERE quality >= 0.5 GROUP BY 1",
-    "clock_detect": f"""WITH {UI}, cc AS (SELECT key, {_clean('text')} AS c FROM ui), rr AS (SELECT key, c, regexp_replace(regexp_replace(c, '{text.TIME_INSIDE}', '\\1 \\3', 'g'), '{text.TIME_INSIDE}', '\\1 \\3', 'g') AS r FROM cc
+    "clock_detect": f"""WITH {UI}, cc AS (SELECT key, {_clean('text')} AS c FROM ui), rr AS (SELECT key, c, regexp_replace(regexp_replace(c, '{TIME_INSIDE}', '\\1 \\3', 'g'), '{TIME_INSIDE}', '\\1 \\3', 'g') AS r FROM cc
       ), tt AS (SELECT key, tok, trim(tok, '{ENDS}') AS b FROM rr, unnest(string_split(r, ' ')) AS u(tok) WHERE tok <> ''
       ), ww AS (SELECT key, sum(length(tok)) AS n FROM tt WHERE ({KIND}) = 'word' AND lower(tok) NOT IN ('am', 'pm') GROUP BY key)
-      SELECT cc.key, regexp_matches(c, '{text.TIME_INSIDE}') AND coalesce(ww.n, 0) < 10 AS clock FROM cc LEFT JOIN ww ON ww.key = cc.key""",
+      SELECT cc.key, regexp_matches(c, '{TIME_INSIDE}') AND coalesce(ww.n, 0) < 10 AS clock FROM cc LEFT JOIN ww ON ww.key = cc.key""",
     "typed_text_gate": f"""WITH {UI} {quality_sql('ui', 'q')}, caps AS (SELECT key, bool_and(regexp_matches(regexp_replace(tok, '[^\\p{{L}}]', '', 'g'), '^(\\p{{Ll}}*|\\p{{Lu}}+|\\p{{Lu}}\\p{{Ll}}*)$')) AS regular FROM q_k GROUP BY key
       ), n AS (SELECT q.*, coalesce(caps.regular, true) AS regular, length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(c, '[^0-9]', '', 'g')) AS digits FROM q LEFT JOIN caps ON caps.key = q.key)
-      SELECT key, length(c) >= 3 AND NOT regexp_matches(c, '{text.TIME_INSIDE}') AND ((digits >= 3 AND letters = 0 AND length(c) <= 20) OR (letters >= 3 AND regular AND quality >= 0.65)) AS ok FROM n""",
+      SELECT key, length(c) >= 3 AND NOT regexp_matches(c, '{TIME_INSIDE}') AND ((digits >= 3 AND letters = 0 AND length(c) <= 20) OR (letters >= 3 AND regular AND quality >= 0.65)) AS ok FROM n""",
     "sanitize_label": f"WITH {UI} {label_sql('ui', 'lb')} SELECT key, label FROM lb",
     "ocr_role": f"WITH {BLOCKS} SELECT frame_id, block_no, role FROM br",
     "typing_growth": f"""WITH {TWO} {quality_sql('two', 'q')}, caps AS (SELECT key, bool_and(regexp_matches(regexp_replace(tok, '[^\\p{{L}}]', '', 'g'), '^(\\p{{Ll}}*|\\p{{Lu}}+|\\p{{Lu}}\\p{{Ll}}*)$')) AS regular FROM q_k GROUP BY key
       ), n AS (SELECT two.job_id, two.pos, q.c, q.quality, caps.regular, length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(c, '[^0-9]', '', 'g')) AS digits FROM two JOIN q ON q.key = two.key LEFT JOIN caps ON caps.key = two.key)
       SELECT b.job_id, 0::BIGINT AS t_start_ms, 1000::BIGINT AS t_end_ms, left(b.c, 200) AS final_text, 60::BIGINT AS x, 220::BIGINT AS y FROM n p JOIN n b ON b.job_id = p.job_id AND p.pos = 0 AND b.pos = 1
-      WHERE length(b.c) - length(p.c) >= 3 AND (p.c = '' OR length(p.c) >= 2) AND starts_with(lower(b.c), lower(left(p.c, 3))) AND length(b.c) >= 3 AND NOT regexp_matches(b.c, '{text.TIME_INSIDE}')
+      WHERE length(b.c) - length(p.c) >= 3 AND (p.c = '' OR length(p.c) >= 2) AND starts_with(lower(b.c), lower(left(p.c, 3))) AND length(b.c) >= 3 AND NOT regexp_matches(b.c, '{TIME_INSIDE}')
         AND ((b.digits >= 3 AND b.letters = 0 AND length(b.c) <= 20) OR (b.letters >= 3 AND coalesce(b.regular, true) AND b.quality >= 0.65))""",
     "nearest_label": f"""WITH {LABELLED}, ce AS (SELECT conv_id AS job_id, conv_id || '-' || turn AS event_id, turn * 1500 AS t, (conv_id * 37) % 500 AS x, (turn * 211) % 900 AS y FROM conversations
       ), m AS (SELECT ce.job_id, ce.event_id, br.block_no, br.role, lb.label, lq.quality, sqrt(pow(ce.x - (br.x + br.w / 2), 2) + pow(ce.y - (br.y + br.h / 2), 2)) AS d
@@ -231,18 +245,20 @@ ORACLE_SQL = {
     "navigation_target": f"""WITH {LABEL80}, fr AS (SELECT conv_id AS job_id, turn // 2 AS idx, min(turn) AS turn FROM conversations GROUP BY 1, 2
       ), tg AS (SELECT fr.job_id, fr.idx, arg_min(lb.label, br.block_no) AS target FROM fr JOIN br ON br.frame_id = fr.job_id || '-' || fr.turn AND br.role IN ('url_bar', 'title_bar') AND br.confidence > 0.45 JOIN lb ON lb.key = br.key AND lb.label <> '' GROUP BY 1, 2)
       SELECT fr.job_id, fr.idx::BIGINT AS idx, CASE WHEN fr.idx % 2 = 1 THEN 'navigate' ELSE 'dialog_open' END AS type, fr.turn * 1500 AS t_start_ms, fr.turn * 1500 + 300 AS t_end_ms,
-        CASE WHEN fr.idx % 2 = 1 THEN coalesce(tg.target, '') ELSE '' END AS target, CASE WHEN fr.idx % 2 = 1 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM fr LEFT JOIN tg ON tg.job_id = fr.job_id AND tg.idx = fr.idx WHERE fr.idx > 0""",
+        CASE WHEN fr.idx % 2 = 1 THEN coalesce(tg.target, '') ELSE '' END AS target, CASE WHEN fr.idx % 2 = 1 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN fr.idx % 2 = 1 THEN 'segment_transition' ELSE 'localized_overlay' END AS signals FROM fr LEFT JOIN tg ON tg.job_id = fr.job_id AND tg.idx = fr.idx WHERE fr.idx > 0""",
     "error_anomalies": f"""WITH {BASE}, eb AS (SELECT job_id, t_ms, upper(event_type[1]) || event_type[2:] || ' ' || p_name AS text, round(0.40::DOUBLE + (k % 60) / 100.0::DOUBLE, 2) AS confidence, event_id AS ord, 'e' || event_id AS key FROM base JOIN part ON p_partkey = k) {quality_sql('eb', 'q')}
-      SELECT job_id, t_ms, left(q.c, 300) AS text, round(least(0.85::DOUBLE, 0.5::DOUBLE + 0.4::DOUBLE * confidence), 6) AS score, ord FROM eb JOIN q ON q.key = eb.key WHERE confidence >= 0.45 AND quality >= 0.5 AND regexp_matches(lower(q.c), '{ev.ERROR}')""",
+      SELECT job_id, t_ms, left(q.c, 300) AS text, round(least(0.85::DOUBLE, 0.5::DOUBLE + 0.4::DOUBLE * confidence), 6) AS score, ord FROM eb JOIN q ON q.key = eb.key WHERE confidence >= 0.45 AND quality >= 0.5 AND regexp_matches(lower(q.c), '(^|[^\\p{{L}}\\p{{N}}_])({ERROR_WORDS})([^\\p{{L}}\\p{{N}}_]|$)')""",
     "line_rollup": """SELECT l_orderkey AS job_id, l_partkey % 2 AS line_num, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY l_linenumber, l_returnflag) AS text, round(avg(l_quantity * 2) / 100, 3) AS confidence,
       min(l_partkey % 100) AS x, min(l_suppkey % 50) AS y, max(l_partkey % 100 + 10) - min(l_partkey % 100) AS w, max(l_suppkey % 50 + 8) - min(l_suppkey % 50) AS h FROM lineitem WHERE l_quantity * 2 >= 30 GROUP BY 1, 2""",
     "title_pick": f"WITH {LABELLED} {WEIGHT} SELECT job_id, arg_max(label, (weight, -block_no)) AS title FROM wl WHERE role IN ('title_bar', 'url_bar') AND confidence > 0.5 AND weight > 0 GROUP BY job_id",
-    "entry_step": f"""WITH {LABEL80} {WEIGHT} {EARLY}, cand AS (SELECT wl.*, regexp_matches(string_split(label, '/')[1], '{text.DOMAIN}') AS addr FROM wl JOIN early USING (job_id, frame_id) WHERE confidence > 0.45 AND weight > 0
+    "entry_step": f"""WITH {LABEL80} {WEIGHT} {EARLY}, cand AS (SELECT wl.*, regexp_matches(string_split(label, '/')[1], '{DOMAIN}') AS addr FROM wl JOIN early USING (job_id, frame_id) WHERE confidence > 0.45 AND weight > 0
       ), pick AS (SELECT job_id, arg_max(label, (weight, -block_no)) FILTER (addr) AS domain, arg_max(label, (weight, -block_no)) FILTER (NOT addr AND role = 'title_bar') AS title FROM cand GROUP BY job_id
-      ), j AS (SELECT DISTINCT conv_id AS job_id FROM conversations)
+      ), j AS (SELECT conv_id AS job_id, min(turn) AS turn FROM conversations GROUP BY 1)
       SELECT j.job_id, CASE WHEN domain IS NOT NULL THEN 'Open "' || domain || '" in the browser.' WHEN title IS NOT NULL THEN 'Open the "' || title || '" app.'
           ELSE 'Open the ' || CASE WHEN j.job_id % 2 = 0 THEN 'app' ELSE 'application' END || ' shown at the start of the recording.' END AS text,
-        CASE WHEN domain IS NOT NULL OR title IS NOT NULL THEN 'observed' ELSE 'assumed' END AS grounding, (CASE WHEN domain IS NOT NULL THEN 0.85 WHEN title IS NOT NULL THEN 0.7 ELSE 0.5 END)::DOUBLE AS confidence
+        CASE WHEN domain IS NOT NULL OR title IS NOT NULL THEN 'observed' ELSE 'assumed' END AS grounding, (CASE WHEN domain IS NOT NULL THEN 0.85 WHEN title IS NOT NULL THEN 0.7 ELSE 0.5 END)::DOUBLE AS confidence,
+        CASE WHEN domain IS NOT NULL OR title IS NOT NULL THEN '' ELSE 'the app name and URL were not readable on the first screen' END AS uncertainty_note,
+        j.job_id || '-' || j.turn AS frame_id, j.turn * 1500 AS t_end_ms
       FROM j LEFT JOIN pick ON pick.job_id = j.job_id""",
     "preconditions": f"""WITH {BLOCKS} {label_sql('bl', 'lb', 150)} {EARLY}, c AS (SELECT br.job_id, arg_min(lb.label, br.block_no) AS label, arg_min(br.confidence, br.block_no) AS confidence FROM br JOIN early USING (job_id, frame_id) JOIN lb ON lb.key = br.key AND lb.label <> ''
         WHERE br.role IN ('url_bar', 'title_bar') AND br.confidence > 0.4 GROUP BY 1), j AS (SELECT DISTINCT conv_id AS job_id FROM conversations)

@@ -68,27 +68,29 @@ def event_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ui_strings(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, id, text): strings as they stand on screens, clean and not."""
-    docs = table(spark, sf, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), F.left(F.split("text", "\n")[0], F.lit(80)).alias("text"))
-    urls = table(spark, sf, "pages").select(F.lit("url"), "page_id", F.concat(F.lit("fm) 6 "), F.regexp_replace("url", "^https?://", ""), F.lit(" 3")))
-    parts = table(spark, sf, "part").select(F.lit("part"), "p_partkey", F.concat(F.lit("«|"), "p_name", F.lit("® wll")))
-    people = table(spark, sf, "customer").select(F.lit("customer"), "c_custkey", "c_name")
-    orders = table(spark, sf, "orders").select(F.lit("order"), "o_orderkey", F.concat(F.date_format("o_orderdate", "d"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"), F.lit(" "), F.substr("o_orderpriority", F.lit(3))))
+    """(src, id, text): strings as they stand on screens, clean and not: every line of every document, whole."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    docs = lines.select(F.lit("doc").alias("src"), F.concat_ws(":", "doc_id", "pos").alias("id"), "text")
+    urls = table(spark, sf, "pages").select(F.lit("url"), F.col("page_id").cast("string"), F.concat(F.lit("fm) 6 "), F.regexp_replace("url", "^https?://", ""), F.lit(" 3")))
+    parts = table(spark, sf, "part").select(F.lit("part"), F.col("p_partkey").cast("string"), F.concat(F.lit("«|"), "p_name", F.lit("® wll")))
+    people = table(spark, sf, "customer").select(F.lit("customer"), F.col("c_custkey").cast("string"), "c_name")
+    orders = table(spark, sf, "orders").select(F.lit("order"), F.col("o_orderkey").cast("string"), F.concat(F.date_format("o_orderdate", "d"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"), F.lit(" "), F.substr("o_orderpriority", F.lit(3))))
     return docs.union(urls).union(parts).union(people).union(orders)
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Recognised text: one frame per conversation turn, one block per sentence."""
+    """Recognised text: one frame per conversation turn, one block per sentence, whole."""
     c = table(spark, sf, "conversations")
-    cut = c.select("conv_id", "turn", F.posexplode(F.slice(F.split("text", r"\. "), 1, 6)).alias("pos", "sentence"))
+    cut = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ")).alias("pos", "sentence"))
     placed = cut.select(
         F.col("conv_id").alias("job_id"),
         F.concat_ws("-", "conv_id", "turn").alias("frame_id"),
         (F.col("turn") * 1500).alias("t_ms"),
-        (F.col("turn") * 10 + F.col("pos")).cast("long").alias("block_no"),
-        F.left("sentence", F.lit(24)).alias("text"),
+        (F.col("turn") * 10000 + F.col("pos")).cast("long").alias("block_no"),
+        F.col("sentence").alias("text"),
         ((F.col("pos") * 97) % 600).cast("long").alias("x"),
-        (F.col("pos") * 173 + F.lit(40)).cast("long").alias("y"),
+        # Seven rows of a screen, the last in its bottom strip.
+        ((F.col("pos") % 7) * 173 + F.lit(40)).cast("long").alias("y"),
         F.lit(120).cast("long").alias("w"),
         F.lit(40).cast("long").alias("h"),
         F.round(0.40 + (F.length("sentence") % 60) / 100, 2).alias("confidence"),

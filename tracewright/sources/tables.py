@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,3 +38,53 @@ def packet_duration(packets: DataFrame) -> DataFrame:
     """(path, duration_s): the last readable time stamp of each file's packets."""
     t = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
     return packets.groupBy("path").agg(F.coalesce(F.max(F.greatest(t("pts_time"), t("dts_time"))), F.lit(0.0)).alias("duration_s"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where the master is local and none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/tracewright"
+    return root.rstrip("/")
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of files; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Row sink: append to a Parquet table."""
+    df.write.mode("append").parquet(path)
+
+
+def replace_jobs(df: DataFrame, path: str, buckets: int = 256) -> None:
+    """Row sink: replace all rows of the jobs in ``df``, and only these.
+
+    The table is laid out in buckets of job_id, so only buckets that are met are
+    rewritten, however many jobs the table holds.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    schema = T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])
+    try:
+        old = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # no table yet
+        old = None
+    if old is not None:
+        met = keyed.select("bucket").distinct()
+        stays = old.join(F.broadcast(met), "bucket", "left_semi").join(keyed.select("job_id").distinct(), "job_id", "left_anti")
+        # Written aside first: a table cannot be read and overwritten at once.
+        aside = f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}"
+        keyed.unionByName(stays.select(*keyed.columns)).write.parquet(aside)
+        keyed = spark.read.schema(schema).parquet(aside)
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: for relations that several branches of a query use."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,11 +17,25 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(MESSAGE).json(path)
 
 
-def state(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Latest state of each job; with a watermark, so that old jobs leave memory."""
-    newest = F.max_by(F.struct("stage", "status", "pct"), F.col("at"))
-    per_job = stream.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("day"), "job_id").agg(newest.alias("m"), F.max("at").alias("at"))
-    return per_job.select("job_id", "m.stage", "m.status", "m.pct", "at", F.col("m.status").isin(*TERMINAL).alias("ended"))
+def updates(stream: DataFrame) -> DataFrame:
+    """The newest message of each job in every batch of the stream.
+
+    No state is kept between batches: a job's latest row is what the table of
+    updates says last (``latest``), so neither midnight nor a late message makes
+    a second row, and the memory of the stream does not grow with jobs.
+    """
+    return stream.withColumn("ended", F.col("status").isin(*TERMINAL))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """One row per job: its newest message; of messages of one time the one farther on."""
+    place = F.struct("at", "ended", F.coalesce("pct", F.lit(-1.0)), "stage", "status")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "pct", "at", "ended"), place).alias("m")).select("job_id", "m.*")
+
+
+def publish(rows: DataFrame, path: str) -> None:
+    """Append messages (columns of MESSAGE) to the log that ``messages`` follows."""
+    rows.select(*MESSAGE.names).write.mode("append").json(path)
 
 
 def stage_percent(stage):
@@ -36,8 +50,19 @@ def next_stage(stage):
     return F.when(F.array_position(names, stage) > 0, F.get(names, F.array_position(names, stage).cast("int")))
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process what is there and return it as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Process what is there into a Parquet table of updates and return the latest row of each job.
+
+    Every batch writes its own newest message of each job into a folder named by
+    the batch, so a batch that runs again replaces itself, and nothing is
+    gathered on the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    query = updates(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    schema = T.StructType([*MESSAGE.fields, T.StructField("ended", T.BooleanType())])
+    return latest(spark.read.schema(schema).parquet(f"{table}/batch=*"))
