@@ -174,3 +174,22 @@ def history(revisions: DataFrame) -> DataFrame:
 def comments(rows: DataFrame) -> DataFrame:
     """Each report's comments, oldest first, as one array."""
     return rows.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "comment_id", "step_key", "t_ms", "body", "resolved"))).alias("comments"))
+
+
+def media_keys(videos: DataFrame, objects: DataFrame) -> DataFrame:
+    """(video_id, key) of the kind of media asked for (original, normalized, proxy), of the original where a derivative is missing."""
+    derived = F.concat(F.lit("derived/"), F.col("video_id").cast("string"), F.lit("/"), F.col("kind"))
+    wanted = videos.withColumn("_wanted", F.when(F.col("kind") != "original", derived))
+    there = objects.select(F.col("storage_key").alias("_there")).distinct()
+    return wanted.join(there, F.col("_wanted") == F.col("_there"), "left").select("video_id", F.coalesce("_there", "storage_key").alias("key"))
+
+
+def latencies(log: DataFrame, group: str, value: str, tops: tuple[int, ...]) -> DataFrame:
+    """Counter, cumulative histogram and sum of a value per group."""
+    bucket = lambda top: F.sum(F.when(F.col(value) <= top, 1).otherwise(0)).alias(f"le_{top}")
+    return log.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[bucket(t) for t in tops], F.round(F.sum(value), 4).alias("total"))
+
+
+def job_details(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """Jobs with their report, if there is one, and how far they are."""
+    return jobs.join(reports.select("job_id", "report_id"), "job_id", "left")

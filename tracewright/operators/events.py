@@ -83,13 +83,15 @@ def typing(blocks: DataFrame, frames: DataFrame) -> DataFrame:
     pairs = frames.select("job_id", "t_ms", F.col("frame_id").alias("from_id"), F.lead("frame_id").over(w).alias("to_id"), F.lead("t_ms").over(w).alias("to_ms"), "segment_idx", F.lead("segment_idx").over(w).alias("_next"))
     pairs = pairs.where(F.col("segment_idx") == F.col("_next"))
     box = F.struct("x", "y", "w", "h")
-    rated = text.with_quality(blocks, "text")
-    before = rated.select("job_id", F.col("frame_id").alias("from_id"), box.alias("p_box"), F.col("q_clean").alias("p"))
-    after = rated.where((F.col("confidence") >= 0.5) & (F.col("role") != "status_bar")).select("job_id", F.col("frame_id").alias("to_id"), F.col("block_no"), box.alias("c_box"), F.col("q_clean").alias("c"), "q_tokens", "q_quality")
+    shown = text.computed(blocks, "q_clean", text.clean(F.col("text")))
+    before = shown.select("job_id", F.col("frame_id").alias("from_id"), box.alias("p_box"), F.col("q_clean").alias("p"))
+    after = shown.where((F.col("confidence") >= 0.5) & (F.col("role") != "status_bar")).select("job_id", F.col("frame_id").alias("to_id"), F.col("block_no"), box.alias("c_box"), F.col("q_clean").alias("c"))
     grown = F.length("c") - F.length("p") >= 3
     begins = F.lower("c").startswith(F.lower(F.left(F.col("p"), F.lit(3))))
     met = pairs.join(before, ["job_id", "from_id"]).join(after, ["job_id", "to_id"]).where(grown & ((F.length("p") == 0) | (F.length("p") >= 2)) & begins)
-    met = met.where(geometry.iou(F.col("p_box"), F.col("c_box")) >= 0.3).where(text.typed_ok(F.col("c"), F.col("q_tokens"), F.col("q_quality")))
+    met = met.where(geometry.iou(F.col("p_box"), F.col("c_box")) >= 0.3)
+    # Only text that grew is rated.
+    met = text.with_quality(met, "c").where(text.typed_ok(F.col("c"), F.col("q_tokens"), F.col("q_quality")))
     return met.select("job_id", F.col("t_ms").alias("t_start_ms"), F.col("to_ms").alias("t_end_ms"), F.left(F.col("c"), F.lit(200)).alias("final_text"), F.floor(F.col("c_box.x") + F.col("c_box.w") / 2).alias("x"), F.floor(F.col("c_box.y") + F.col("c_box.h") / 2).alias("y"), F.lit(0.85).alias("confidence"), "block_no", F.lit("type").alias("type"), F.array(F.lit("ocr_text_growth")).alias("signals"))
 
 

@@ -92,3 +92,10 @@ def themes(samples: DataFrame) -> DataFrame:
     """dark or light by the upper median of luminance."""
     mid = samples.groupBy("job_id").agg(upper_median(F.collect_list("lum")).alias("median_lum"))
     return mid.withColumn("theme", F.when(F.coalesce("median_lum", F.lit(128.0)) < 90, "dark").otherwise("light"))
+
+
+def blur_medians(samples: DataFrame, value: str = "blur", most: int = 10) -> DataFrame:
+    """(job_id, blur): upper median of the first ``most`` samples of each recording."""
+    w = Window.partitionBy("job_id").orderBy("i")
+    first = samples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    return first.groupBy("job_id").agg(upper_median(F.collect_list(value)).alias("blur"))

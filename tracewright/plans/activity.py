@@ -110,7 +110,7 @@ def scroll_explains_anti(spark, sf):
 
 
 def click_asof_cursor(spark, sf):
-    got = ev.raw_clicks(_segs(spark, sf), a.cursor(spark, sf), a.motions(spark, sf))
+    got = ev.raw_clicks(_segs(spark, sf), a.cursor(spark, sf), a.motions(spark, sf), scale=1.25)
     return got.withColumn("signals", F.array_join("signals", ",")).withColumn("x", F.coalesce("x", F.lit(-1).cast("long"))).withColumn("y", F.coalesce("y", F.lit(-1).cast("long")))
 
 
@@ -125,8 +125,7 @@ def blank_dedupe(spark, sf):
 
 def stall_detect(spark, sf):
     s = a.samples(spark, sf)
-    last = a.event_list(spark, sf).where(F.col("type") == "form_submit").groupBy("job_id").agg(F.min("t_end_ms").alias("last_ms"))
-    return ev.stalls(s, last, STILL)
+    return ev.stalls(s, ev.last_actions(a.event_list(spark, sf).where("type <> 'scroll'")), STILL)
 
 
 def bug_rank_top6(spark, sf):
@@ -239,14 +238,14 @@ ORACLE_SQL = {
       ), g AS (SELECT *, sum(f) OVER (PARTITION BY job_id ORDER BY t_ms, seq) AS isl FROM l)
       SELECT job_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, CASE WHEN sum(dy) < 0 THEN 'down' ELSE 'up' END AS direction, round(abs(sum(dy)), 1) AS magnitude_px, 0.92::DOUBLE AS confidence, 'scroll' AS type, 'global_motion' AS signals FROM g GROUP BY job_id, isl""",
     "scroll_explains_anti": f"WITH {LEFT} SELECT job_id, idx, start_ms, transition_type FROM open",
-    "click_asof_cursor": f"WITH {LEFT} SELECT * REPLACE (coalesce(x, -1) AS x, coalesce(y, -1) AS y), CASE WHEN x IS NULL THEN 'transition_only' ELSE 'cursor_dwell,transition' END AS signals FROM clicks",
+    "click_asof_cursor": f"WITH {LEFT} SELECT * REPLACE (coalesce(trunc(x * 1.25), -1)::BIGINT AS x, coalesce(trunc(y * 1.25), -1)::BIGINT AS y), CASE WHEN x IS NULL THEN 'transition_only' ELSE 'cursor_dwell,transition' END AS signals FROM clicks",
     "click_dedupe": f"""WITH {LIST}, f AS (SELECT job_id, """ + FOLD.format(
         rec="{'t': t_start_ms, 's': seq, 'c': confidence}", order="t_start_ms, seq",
         step="CASE WHEN x[1].t - acc[len(acc)].t >= 800 THEN list_concat(acc, x) WHEN x[1].c > acc[len(acc)].c THEN list_concat(acc[:-2], x) ELSE acc END",
     ) + """ AS kept FROM el WHERE type = 'click' GROUP BY job_id)
       SELECT job_id, u.b.s AS seq, u.b.t AS t_start_ms, u.b.c AS confidence FROM f, unnest(kept) AS u(b)""",
     "blank_dedupe": f"WITH {BASE} {BLANKS} SELECT job_id, t_ms, lum, ord FROM blanks",
-    "stall_detect": f"""WITH {LIST}, la AS (SELECT job_id, min(t_end_ms) AS last_ms FROM el WHERE type = 'form_submit' GROUP BY 1), t AS (
+    "stall_detect": f"""WITH {LIST}, la AS (SELECT job_id, max(t_end_ms) AS last_ms FROM el WHERE type <> 'scroll' GROUP BY 1), t AS (
         SELECT s.job_id, bool_and(score < 0.6) AS still, min(t_ms) AS t_ms, max(t_ms) - min(t_ms) AS static_ms FROM samples s JOIN la USING (job_id) WHERE t_ms > last_ms GROUP BY 1)
       SELECT job_id, t_ms, 'stall' AS type, static_ms, 0.5::DOUBLE AS score FROM t WHERE still AND static_ms > 2000""",
     "bug_rank_top6": f"""WITH {BASE} {BLANKS}, an AS (

@@ -90,12 +90,9 @@ def upload_admission(spark, sf):
 
 
 def media_kind(spark, sf):
-    """Key of a derivative where it exists, else of the original."""
     v = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("video_id"), F.concat(F.lit("raw/"), "s_name").alias("storage_key"), F.element_at(F.array(F.lit("original"), F.lit("normalized"), F.lit("proxy")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("kind"))
-    key = F.when(F.col("kind") == "original", F.col("storage_key")).otherwise(F.concat(F.lit("derived/"), F.col("video_id").cast("string"), F.lit("/"), "kind"))
-    there = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("derived/"), F.col("s_suppkey").cast("string"), F.lit("/proxy")).alias("object"))
-    wanted = v.withColumn("wanted", key)
-    return wanted.join(there, wanted["wanted"] == there["object"], "left").select("video_id", F.coalesce("object", "storage_key").alias("key"))
+    there = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("derived/"), F.col("s_suppkey").cast("string"), F.lit("/proxy")).alias("storage_key"))
+    return catalog.media_keys(v, there)
 
 
 def steps_renumbered(spark, sf):
@@ -104,21 +101,35 @@ def steps_renumbered(spark, sf):
 
 
 def stage_latency(spark, sf):
-    """Counter and latency histogram per kind of event."""
-    e = table(spark, sf, "events")
-    bucket = lambda top: F.sum(F.when(F.col("value") <= top, 1).otherwise(0)).alias(f"le_{top}")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[bucket(t) for t in (1, 5, 25, 125)], F.round(F.sum("value"), 4).alias("total"))
+    return catalog.latencies(table(spark, sf, "events"), "event_type", "value", (1, 5, 25, 125))
 
 
-def media_frames(spark, sf):
-    """Frame kernels over synthetic gray recordings, one per supplier."""
+def job_details(spark, sf):
+    o = table(spark, sf, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video_id"), F.element_at(F.array(*map(F.lit, progress.STAGES)), (F.col("o_orderkey") % 11 + 1).cast("int")).alias("current_stage"))
+    r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.min("l_partkey").alias("report_id"))
+    return catalog.job_details(jobs.withColumn("progress", progress.stage_percent(F.col("current_stage"))), r).withColumn("report_id", F.coalesce("report_id", F.lit(-1).cast("long")))
+
+
+def _gray_recordings(spark, sf):
+    """Four frames of 24 x 24 for each supplier: a bright square that jumps once."""
     w = h = 24
     col = F.expr(f"sequence(0, {w * h - 1})")
     dot = lambda f: F.transform(col, lambda p: F.when((F.abs(p % w - (F.col("s_suppkey") % 10 + 4 + f)) <= 1) & (F.abs(F.floor(p / w) - 12) <= 1), "FF").otherwise("40"))
     head = F.lit("P5 24 24 255\n").cast("binary")
     frame = lambda f: F.concat(head, F.unhex(F.array_join(dot(f), "")))
-    blobs = table(spark, sf, "supplier").select(F.col("s_name").alias("path"), F.concat(*[frame(f) for f in (0, 0, 3, 3)]).alias("content"))
-    return media.frames_of(blobs, fps=10.0, sample_fps=5.0)
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("path"), F.concat(*[frame(f) for f in (0, 0, 3, 3)]).alias("content"))
+
+
+def media_frames(spark, sf):
+    """All frame kernels over gray recordings."""
+    return media.frames_of(_gray_recordings(spark, sf), fps=10.0, sample_fps=5.0)
+
+
+def media_change(spark, sf):
+    """What of the frame kernels is a count: time, light, and pixels that changed."""
+    f = media.frames_of(_gray_recordings(spark, sf), fps=10.0, sample_fps=5.0)
+    return f.select("path", "t_ms", "lum", F.round(F.col("change_frac") * 576).cast("long").alias("changed"))
 
 
 def progress_stream(spark, sf):
@@ -130,7 +141,7 @@ def progress_stream(spark, sf):
     folder = f"{shared_folder(spark)}/progress-{uuid4().hex}"
     li = table(spark, sf, "lineitem")
     names = F.array(*map(F.lit, progress.STAGES))
-    at = F.timestampadd("HOUR", F.col("l_linenumber") * 20, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("l_linenumber") * 20)
     msg = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
     msg = msg.select(F.col("l_orderkey").cast("string").alias("job_id"), F.element_at(names, F.col("l_linenumber")).alias("stage"), F.when(F.col("l_linenumber") == 7, "awaiting_review").otherwise("running").alias("status"), (F.col("q") / 100).alias("pct"), at.alias("at"))
     progress.publish(msg, folder + "/in")
@@ -142,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         render_markdown, render_text, repro_html, github_labels, severity, job_list, timeline, revision_head, optimistic_lock, settings_merge,
-        stage_sets, next_stages, upload_admission, media_kind, steps_renumbered, stage_latency, media_frames, progress_stream,
+        stage_sets, next_stages, upload_admission, media_kind, steps_renumbered, stage_latency, job_details, media_frames, media_change, progress_stream,
     )
 }
 
@@ -199,6 +210,11 @@ REV = """n AS (SELECT l_orderkey AS report_id, l_orderkey * 100 + row_number() O
 ), h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY created_at DESC, revision_id DESC) = 1)"""
 
 ORACLE_SQL = {
+    "job_details": f"""SELECT o_orderkey AS job_id, o_custkey AS video_id, {STAGE_LIST}[o_orderkey % 11 + 1] AS current_stage, round((o_orderkey % 11) / 11.0::DOUBLE, 4) AS progress, coalesce(r.id, -1) AS report_id
+      FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS id FROM lineitem GROUP BY 1) r ON r.l_orderkey = o_orderkey""",
+    "media_change": """SELECT s_name AS path, t.ms AS t_ms, round((567 * 64 + 9 * 255) / 576.0::DOUBLE, 1) AS lum, t.changed AS changed FROM supplier, (VALUES (0::BIGINT, 0::BIGINT), (200::BIGINT, 18::BIGINT)) AS t(ms, changed)""",
+    "progress_stream": f"""WITH m AS (SELECT l_orderkey AS job_id, l_linenumber AS n, min(l_quantity) / 100 AS pct FROM lineitem GROUP BY 1, 2), h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1)
+      SELECT {STAGE_LIST}[n] AS stage, CASE WHEN n = 7 THEN 'awaiting_review' ELSE 'running' END AS status, n = 7 AS ended, count(*) AS n, round(sum(pct), 4) AS pct FROM h GROUP BY n""",
     "render_markdown": MD,
     "render_text": TXT,
     "repro_html": HTML,

@@ -7,9 +7,8 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry
-from tracewright.operators import media, scoring
+from tracewright.operators import media, probe, scoring
 from tracewright.operators import segmentation as seg
-from tracewright.operators.sequence import upper_median
 from tracewright.operators.settings import Settings
 from tracewright.sources import adapters as a
 from tracewright.sources.tables import table
@@ -108,19 +107,17 @@ def vector_hist_delta(spark, sf):
 
 def fps_flags(spark, sf):
     p = table(spark, sf, "part")
-    fps = F.coalesce(F.try_divide(F.split_part(F.col("rate"), F.lit("/"), F.lit(1)).cast("double"), F.split_part(F.col("rate"), F.lit("/"), F.lit(2)).cast("double")), F.lit(0.0))
-    rated = p.withColumn("rate", F.concat((F.col("p_size") * 1000).cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 9 == 0, 0).otherwise(1001).cast("string"))).withColumn("fps", F.round(fps, 4))
+    rated = p.withColumn("rate", F.concat((F.col("p_size") * 1000).cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 9 == 0, 0).otherwise(1001).cast("string"))).withColumn("fps", F.round(probe.fps(F.col("rate")), 4))
     flags = scoring.quality_flags(F.col("fps"), F.col("p_retailprice") / 25, F.col("p_partkey") % 5)
     w, h = (F.col("p_size") * 40).cast("int"), ((F.col("p_partkey") % 50) * 40).cast("int")
     vw, vh = geometry.viewport(w, h)
-    device = F.when(h > 1.2 * w, "mobile").otherwise("desktop")
+    device = probe.device_class(w, h)
     return rated.select(F.col("p_partkey").alias("job_id"), "fps", F.array_join(flags, ",").alias("flags"), scoring.quality_prior(flags).alias("prior"), vw.cast("long").alias("width"), vh.cast("long").alias("height"), device.alias("device_class"))
 
 
 def blur_medians(spark, sf):
     """Upper median of the first ten samples of each job."""
-    s = a.samples(spark, sf).where("i < 10")
-    return s.groupBy("job_id").agg(upper_median(F.collect_list("lum")).alias("blur"))
+    return seg.blur_medians(a.samples(spark, sf), "lum")
 
 
 QUERIES = {f.__name__: f for f in (sample_threshold, boundaries_greedy, segments, ambient_profile, transition_mix, keyframe_times, upper_median_theme, vector_hist_delta, fps_flags, blur_medians)}

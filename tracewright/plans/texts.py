@@ -139,13 +139,12 @@ def ocr_role(spark, sf):
 
 
 def typing_growth(spark, sf):
-    """Two frames per document: its first word, then its first three, in one box."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), F.split("text", r"\s+").alias("w"))
-    part = lambda n: F.array_join(F.slice("w", 1, n), " ")
-    both = d.select("job_id", F.posexplode(F.array(part(1), part(3))).alias("pos", "text"))
+    """Two frames per document: its first line, then its whole text, in boxes of which half overlap enough."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), "text")
+    both = d.select("job_id", F.posexplode(F.array(F.split("text", "\n")[0], F.col("text"))).alias("pos", "text"))
     fid = F.concat_ws("-", "job_id", "pos")
     frames = both.select("job_id", fid.alias("frame_id"), (F.col("pos") * 1000).cast("long").alias("t_ms"), F.lit(0).alias("segment_idx"), F.col("pos").alias("seq"))
-    blocks = both.select("job_id", fid.alias("frame_id"), F.col("pos").alias("block_no"), "text", *[F.lit(v).cast("long").alias(n) for n, v in (("x", 10), ("y", 200), ("w", 101), ("h", 40))], F.lit(0.9).alias("confidence"), F.lit("body").alias("role"))
+    blocks = both.select("job_id", fid.alias("frame_id"), F.col("pos").alias("block_no"), "text", (F.lit(10) + F.col("pos") * 40 * (F.col("job_id") % 4)).cast("long").alias("x"), *[F.lit(v).cast("long").alias(n) for n, v in (("y", 200), ("w", 101), ("h", 40))], F.lit(0.9).alias("confidence"), F.lit("body").alias("role"))
     return ev.typing(blocks, frames).select("job_id", "t_start_ms", "t_end_ms", "final_text", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
@@ -208,8 +207,7 @@ QUERIES = {
     )
 }
 
-TWO = """d AS (SELECT doc_id AS job_id, regexp_split_to_array(text, '\\s+') AS w FROM documents),
-  two AS (SELECT job_id, doc.pos AS pos, 'd' || job_id || '-' || doc.pos AS key, array_to_string(w[1:CASE WHEN doc.pos = 0 THEN 1 ELSE 3 END], ' ') AS text FROM d, (VALUES (0), (1)) AS doc(pos))"""
+TWO = """two AS (SELECT doc_id AS job_id, v.pos AS pos, 'd' || doc_id || '-' || v.pos AS key, CASE WHEN v.pos = 0 THEN string_split(text, chr(10))[1] ELSE text END AS text FROM documents, (VALUES (0), (1)) AS v(pos))"""
 EARLY = ", early AS (SELECT job_id, frame_id FROM (SELECT DISTINCT conv_id AS job_id, conv_id || '-' || turn AS frame_id, turn FROM conversations) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY turn) <= 2)"
 WEIGHT = ", wl AS (SELECT br.*, lb.label, round(lq.quality * least(length(lb.label), 8) / 8, 9) AS weight FROM br JOIN lb ON lb.key = br.key JOIN lq ON lq.key = br.key WHERE lb.label <> '')"
 LABELLED = BLOCKS + label_sql("bl", "lb") + ", lt AS (SELECT key, label AS text FROM lb)" + quality_sql("lt", "lq")
@@ -231,8 +229,8 @@ ORACLE_SQL = {
     "ocr_role": f"WITH {BLOCKS} SELECT frame_id, block_no, role FROM br",
     "typing_growth": f"""WITH {TWO} {quality_sql('two', 'q')}, caps AS (SELECT key, bool_and(regexp_matches(regexp_replace(tok, '[^\\p{{L}}]', '', 'g'), '^(\\p{{Ll}}*|\\p{{Lu}}+|\\p{{Lu}}\\p{{Ll}}*)$')) AS regular FROM q_k GROUP BY key
       ), n AS (SELECT two.job_id, two.pos, q.c, q.quality, caps.regular, length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(c, '[^0-9]', '', 'g')) AS digits FROM two JOIN q ON q.key = two.key LEFT JOIN caps ON caps.key = two.key)
-      SELECT b.job_id, 0::BIGINT AS t_start_ms, 1000::BIGINT AS t_end_ms, left(b.c, 200) AS final_text, 60::BIGINT AS x, 220::BIGINT AS y FROM n p JOIN n b ON b.job_id = p.job_id AND p.pos = 0 AND b.pos = 1
-      WHERE length(b.c) - length(p.c) >= 3 AND (p.c = '' OR length(p.c) >= 2) AND starts_with(lower(b.c), lower(left(p.c, 3))) AND length(b.c) >= 3 AND NOT regexp_matches(b.c, '{TIME_INSIDE}')
+      SELECT b.job_id, 0::BIGINT AS t_start_ms, 1000::BIGINT AS t_end_ms, left(b.c, 200) AS final_text, (60 + 40 * (b.job_id % 4))::BIGINT AS x, 220::BIGINT AS y FROM n p JOIN n b ON b.job_id = p.job_id AND p.pos = 0 AND b.pos = 1
+      WHERE b.job_id % 4 < 2 AND length(b.c) - length(p.c) >= 3 AND (p.c = '' OR length(p.c) >= 2) AND starts_with(lower(b.c), lower(left(p.c, 3))) AND length(b.c) >= 3 AND NOT regexp_matches(b.c, '{TIME_INSIDE}')
         AND ((b.digits >= 3 AND b.letters = 0 AND length(b.c) <= 20) OR (b.letters >= 3 AND coalesce(b.regular, true) AND b.quality >= 0.65))""",
     "nearest_label": f"""WITH {LABELLED}, ce AS (SELECT conv_id AS job_id, conv_id || '-' || turn AS event_id, turn * 1500 AS t, (conv_id * 37) % 500 AS x, (turn * 211) % 900 AS y FROM conversations
       ), m AS (SELECT ce.job_id, ce.event_id, br.block_no, br.role, lb.label, lq.quality, sqrt(pow(ce.x - (br.x + br.w / 2), 2) + pow(ce.y - (br.y + br.h / 2), 2)) AS d
