@@ -482,9 +482,13 @@ def test_pairs_from_the_similarity_on_are_found(spark):
 
 
 def test_every_pair_of_a_bucket_is_tried_until_it_is_joined(spark):
-    """Members of one bucket, of which only two are similar, are all tried, each pair once."""
-    rows = [(1, [1, 2, 3, 4]), (2, [11, 12, 13, 14]), (3, [21, 22, 23, 24]), (4, [31, 32, 33, 34]), *[(i, [k * 100 + i for k in range(4)]) for i in range(5, 30)], (30, [31, 32, 33, 34])]
+    """Members of one bucket, of which only two are similar: all pairs are tried that the bound leaves, each once."""
+    # Each set shares most members with the next, but too few for 0.8; 41 and 42 are alike.
+    rows = [(i, list(range(4 * i, 4 * i + 10))) for i in range(1, 41)] + [(41, list(range(1000, 1010))), (42, list(range(1000, 1011))), (43, list(range(2000, 2010)))]
     sets = spark.createDataFrame([(i, bytearray(np.array(s, "<u8").tobytes())) for i, s in rows], "node long, set binary")
+    own = {r["node"]: (r["size"], r["own"]) for r in minhash.own_counts(sets).collect()}
+    flat = [x for _, s in rows for x in s]
+    assert own == {i: (len(s), sum(flat.count(x) == 1 for x in s)) for i, s in rows}
     placed = minhash.members(spark.createDataFrame([(i, [7]) for i, _ in rows], "node long, bands array<long>"))
     none = spark.createDataFrame([], "a long, b long")
     tried = []
@@ -493,12 +497,16 @@ def test_every_pair_of_a_bucket_is_tried_until_it_is_joined(spark):
         tried.extend(map(tuple, pairs.collect()))
         return simhash.verified(pairs, sets, 0.8)
 
-    assert [tuple(r) for r in minhash.links(placed, sets, none, check, 0.8).collect()] == [(4, 30)]
-    # Once 4 and 30 are joined, a third need not meet both: but every pair of other members is tried.
-    others = {(i, j) for i in range(1, 31) for j in range(i + 1, 31)}
-    assert len(tried) == len(set(tried)) and set(tried) <= others and (4, 30) in tried
-    assert {(i, j) for i, j in others if 4 not in (i, j) and 30 not in (i, j)} <= set(tried)
-    assert all((min(i, k), max(i, k)) in tried for i in range(1, 30) if i != 4 for k in (4, 30))
+    assert [tuple(r) for r in minhash.links(placed, sets, none, check, 0.8).collect()] == [(41, 42)]
+    assert len(tried) == len(set(tried))
+
+    def bound(i, j):
+        most = min(own[i][0] - own[i][1], own[j][0] - own[j][1])
+        return most >= 0.8 * (own[i][0] + own[j][0] - most)
+
+    every = {(i, j) for i, _ in rows for j, _ in rows if i < j and bound(i, j)}
+    # Once 41 and 42 are joined, a third need not meet both.
+    assert set(tried) <= every and {p for p in every if not {41, 42} & set(p)} <= set(tried)
 
 
 def test_components_that_do_not_settle_are_an_error(spark):

@@ -92,8 +92,8 @@ def _sketch(text: str, shingle: int, seed: int, banded: bool) -> tuple[int, np.n
 
 
 def fingerprints(df: DataFrame, keys: list[str], column: str = "text", shingle: int = 4, seed: int = 42, banded: bool = False) -> DataFrame:
-    """Keys and fingerprint (the 64 bits as a signed long) of every row, and its bands if asked for."""
-    more = [T.StructField("bands", T.ArrayType(T.LongType()))] if banded else []
+    """Keys and fingerprint (the 64 bits as a signed long) of every row, and its bands and planes of minima if asked for."""
+    more = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "planes")] if banded else []
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("fp", T.LongType()), *more])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def fingerprints(df: DataFrame, keys: list[str], column: str = "text", shingle:
                 made = [_sketch(t, shingle, seed, banded) for t in texts(part, column)]
                 cols = [pa.array(np.array([fp for fp, _ in made], np.uint64).view(np.int64))]
                 if banded:
-                    cols.append(pa.array([minhash.bands(least) for _, least in made], pa.list_(pa.int64())))
+                    cols += [pa.array([f(least) for _, least in made], pa.list_(pa.int64())) for f in (minhash.bands, minhash.planes)]
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(k)) for k in keys], *cols], names=schema.names)
 
     return df.select(*keys, column).mapInArrow(kernel, schema)
@@ -334,7 +334,7 @@ def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, simil
     fp, best); links as (a, b) of nodes.
     """
     sketched = scratch.store(fingerprints(rows, ["_text", "_best"], column, shingle, seed, True), "fingerprints")
-    distinct = sketched.groupBy("_text").agg(F.min("_best").alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    distinct = sketched.groupBy("_text").agg(F.min("_best").alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     # The stored numbers name the texts from here on.
     nodes = scratch.store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     banded = minhash.members(nodes)
@@ -350,7 +350,7 @@ def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, simil
     wanted = scratch.store(nodes.select("node", "_text").join(wanted, "node"), "wanted-texts")
     samples = rows.select("_text", F.col(column).alias("text")).join(wanted, "_text").groupBy("node").agg(F.first("text").alias("text"))
     sets = shingle_sets(samples, shingle, seed)
-    return nodes, minhash.links(banded, sets, first, lambda pairs: verified(pairs, sets, similar), similar)
+    return nodes, minhash.links(banded, sets, first, lambda pairs: verified(pairs, sets, similar), similar, nodes)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = 0.8, seed: int = 42) -> DataFrame:
