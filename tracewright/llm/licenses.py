@@ -4,7 +4,8 @@ Base labels come from exact phrases of words.  The method adds notices that
 were edited: a notice that may differ in up to ``k`` characters is split into
 ``k + 1`` pieces, and by the pigeonhole principle at least one piece occurs
 unchanged in every acceptable place.  One Aho-Corasick automaton finds the
-pieces of all notices; around each hit the ``regex`` library checks the whole
+pieces of all notices; around each hit, unless it holds too few of the notice's
+runs of three letters for ``k`` errors, the ``regex`` library checks the whole
 notice with at most ``k`` errors and reports where it lies and how many errors
 it took.
 
@@ -77,12 +78,13 @@ class Scanner:
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.notices = notices
-        self.errors, self.patterns = [], []
+        self.errors, self.patterns, self.grams = [], [], []
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (notice, _) in enumerate(notices):
             k = max(1, int(len(notice) * share))
             self.errors.append(k)
+            self.grams.append([notice[i : i + 3] for i in range(len(notice) - 2)])
             self.patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -120,7 +122,11 @@ class Scanner:
             near = bisect.bisect_left(same, start - k)
             if near < len(same) and same[near] <= start + k:
                 continue  # an unchanged place, known already
-            hit = self.patterns[n].search(text, max(0, start - k), min(len(text), start + len(notice) + 2 * k))
+            a, b = max(0, start - k), min(len(text), start + len(notice) + 2 * k)
+            here = {text[i : i + 3] for i in range(a, b - 2)}
+            if sum(map(here.__contains__, self.grams[n])) < len(self.grams[n]) - 3 * k:
+                continue  # every error spoils three runs of three letters at most
+            hit = self.patterns[n].search(text, a, b)
             if hit is not None:
                 found[hit.span()] = sum(hit.fuzzy_counts)
         kept: list[tuple[int, int]] = []
