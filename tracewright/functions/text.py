@@ -91,28 +91,40 @@ def kinds(parts: Column) -> Column:
     return F.transform(parts, one)
 
 
-def _chars(pairs: Column, k: str) -> Column:
-    return F.aggregate(F.filter(pairs, lambda p: p["kind"] == k), F.lit(0), lambda a, p: a + p["n"])
+#: Kinds of tokens that count in a text's quality.
+TALLIED = ("word", "junk", "number", "domain", "time")
 
 
-def _count(pairs: Column, k: str) -> Column:
-    return F.size(F.filter(pairs, lambda p: p["kind"] == k))
+def tallies(pairs: Column) -> Column:
+    """Tokens (n_kind) and their characters (kind) of every kind, and all characters (total), in one pass."""
+    names = [*TALLIED, *(f"n_{k}" for k in TALLIED), "total"]
+    zero = F.struct(*[F.lit(0).alias(n) for n in names])
+
+    def add(t: Column, p: Column) -> Column:
+        is_ = {k: p["kind"] == k for k in TALLIED}
+        chars = [F.when(is_[k], t[k] + p["n"]).otherwise(t[k]).alias(k) for k in TALLIED]
+        counts = [F.when(is_[k], t[f"n_{k}"] + 1).otherwise(t[f"n_{k}"]).alias(f"n_{k}") for k in TALLIED]
+        return F.struct(*chars, *counts, (t["total"] + p["n"]).alias("total"))
+
+    return F.aggregate(pairs, zero, add)
 
 
 def quality_of(cleaned: Column, pairs: Column) -> Column:
     """0 to 1: how usable a cleaned text is as a label."""
-    word, junk, number = _chars(pairs, "word"), _chars(pairs, "junk"), _chars(pairs, "number")
-    total = F.aggregate(pairs, F.lit(0), lambda a, p: a + p["n"])
-    alone = (_count(pairs, "number") == 1) & (F.length(cleaned) <= 10) & (_count(pairs, "junk") == 0)
-    return (
-        F.when(F.length(cleaned) < 2, 0.0)
-        .when(_count(pairs, "domain") > 0, 0.9)
-        .when((_count(pairs, "time") > 0) & (word < CLOCK_REST), 0.0)
-        .when(junk > word, 0.0)
-        .when((_count(pairs, "word") == 1) & (word <= 3) & (_count(pairs, "junk") >= 1), 0.0)
-        .when(_count(pairs, "word") == 0, F.when(alone, 0.5).otherwise(0.0))
-        .otherwise(F.round(F.least(F.lit(1.0), (word + 0.5 * number) / F.greatest(total, F.lit(1))), 3))
-    )
+
+    def rated(t: Column) -> Column:
+        alone = (t["n_number"] == 1) & (F.length(cleaned) <= 10) & (t["n_junk"] == 0)
+        return (
+            F.when(F.length(cleaned) < 2, 0.0)
+            .when(t["n_domain"] > 0, 0.9)
+            .when((t["n_time"] > 0) & (t["word"] < CLOCK_REST), 0.0)
+            .when(t["junk"] > t["word"], 0.0)
+            .when((t["n_word"] == 1) & (t["word"] <= 3) & (t["n_junk"] >= 1), 0.0)
+            .when(t["n_word"] == 0, F.when(alone, 0.5).otherwise(0.0))
+            .otherwise(F.round(F.least(F.lit(1.0), (t["word"] + 0.5 * t["number"]) / F.greatest(t["total"], F.lit(1))), 3))
+        )
+
+    return bound(tallies(pairs), rated)
 
 
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
