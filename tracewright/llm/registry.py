@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, chat, contamination, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -57,6 +57,10 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_features(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
@@ -68,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op9_ivf_pq_search": op9_ivf_pq_search,
     "op10_telephony_audio": op10_telephony_audio,
+    "op11_prefix_set_join": op11_prefix_set_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_site_spread_lines": lines.ORACLE,
     "op5_water_filling_mix": mixing.ORACLE,
     "op7_reply_tree_chat": chat.ORACLE,
+    "op11_prefix_set_join": contamination.ORACLE,
 }
