@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, contamination, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import alignment, bpe, chat, codes, contamination, ivfpq, licenses, lines, mixing, planes, simhash, telephony, toxicity
 from tracewright.llm.scratch import table
 
 
@@ -61,6 +61,14 @@ def op11_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ivf_pq_search": op9_ivf_pq_search,
     "op10_telephony_audio": op10_telephony_audio,
     "op11_prefix_set_join": op11_prefix_set_join,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_partial_distance_codes": op13_partial_distance_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_water_filling_mix": mixing.ORACLE,
     "op7_reply_tree_chat": chat.ORACLE,
     "op11_prefix_set_join": contamination.ORACLE,
+    "op13_partial_distance_codes": codes.ORACLE,
 }
