@@ -48,7 +48,7 @@ def cases():
     for i in range(40):
         t = draw.choice(items)[1] or ""
         w = t.split(" ")
-        docs.append((100 + i, text(draw.randint(0, 5)) + " " + " ".join(w[draw.randint(0, 3) : draw.randint(13, 40)]).upper() + "\n" + text(draw.randint(0, 5))))
+        docs.append((100 + i, text(draw.randint(0, 5)) + " " + " ".join(w[draw.randint(0, 3) : draw.randint(13, 40)]).translate(str.maketrans(contamination.LOWER, contamination.UPPER)) + "\n" + text(draw.randint(0, 5))))
     long = text(30_000) + " " + items[0][1] + " " + text(10)
     docs += [(1, None), (2, ""), (None, items[1][1]), (5, items[2][1]), (5, items[2][1]), (6, "Zebra! zebra; one, two. Odd-three\twords"), (7, "the lost item of ten words and no id at all"), (8, long), (9, "a" * 5000)]
     return docs, items
