@@ -22,8 +22,9 @@ TIME_INSIDE = r"(^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([^\p{L}\p{N}_]
 DOMAIN = r"^[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}(/[^\s]*)?$"
 EMAIL = r"^[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[A-Za-z]{2,}$"
 NUMBER = r"^[+-]?[0-9][0-9,.]*%?$"
-#: What most tokens are: a word of three letters or more with a vowel (one look saves all other patterns).
-PLAIN = r"^(?=[A-Za-z]*[AEIOUYaeiouy])[A-Za-z]{3,}$"
+#: What most tokens are: letters and nothing else. Where these are ASCII, size and vowels decide; else no class but junk is left.
+LETTERS = r"^\p{L}+$"
+ASCII_LETTERS = r"^[A-Za-z]+$"
 WORD = r"^[A-Za-z][A-Za-z'&.-]*$"
 WORD_DIGITS = r"^[A-Za-z]+[0-9]{1,6}$"
 SHORT_WORDS = "ok on in to of at go no up or if my we he it is as an am do be by".split()
@@ -57,74 +58,72 @@ def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
 
 def kind(token: Column) -> Column:
     """time, domain, number, word or junk."""
-    return bound(bare(token), lambda b: F.when(b.rlike(PLAIN) & ~F.lower(b).isin(GLYPH_WORDS), "word").otherwise(_kind(b)))
+
+    def rated(b: Column) -> Column:
+        return F.when(b.rlike(ASCII_LETTERS), F.when(_is_word(b), "word").otherwise("junk")).when(b.rlike(LETTERS), "junk").otherwise(_kind(b))
+
+    return bound(bare(token), rated)
+
+
+def _is_word(b: Column) -> Column:
+    """Of a token of letters (and marks inside): long with a vowel, short capitals, or a known short word."""
+    low, size, caps = F.lower(b), F.length(b), b == F.upper(b)
+    long_word = low.rlike("[aeiouy]") | (caps & (size <= 5))
+    short_word = low.isin(SHORT_WORDS) | (caps & (size == 2) & b.rlike("^[A-Z]"))
+    return F.when(size >= 3, long_word & ~low.isin(GLYPH_WORDS)).otherwise(short_word & ~low.isin(GLYPH_WORDS))
 
 
 def _kind(b: Column) -> Column:
-    low, size = F.lower(b), F.length(b)
-    vowel = low.rlike("[aeiouy]")
-    letters = F.regexp_replace(low, "[0-9]", "")
-    long_word = vowel | ((b == F.upper(b)) & (size <= 5))
-    short_word = low.isin(SHORT_WORDS) | ((b == F.upper(b)) & (size == 2) & b.rlike("^[A-Z]"))
-    word = F.when(low.isin(GLYPH_WORDS), False).when(size >= 3, long_word).otherwise(short_word)
+    letters = F.regexp_replace(F.lower(b), "[0-9]", "")
     return (
         F.when(b == "", "junk")
         .when(b.rlike(TIME_TOKEN), "time")
         .when(is_address(b), "domain")
         .when(b.rlike(NUMBER), "number")
-        .when(b.rlike(WORD_DIGITS), F.when((F.length(letters) >= 3) & vowel, "word").otherwise("junk"))
-        .when(b.rlike(WORD) & word, "word")
+        .when(b.rlike(WORD_DIGITS), F.when((F.length(letters) >= 3) & letters.rlike("[aeiouy]"), "word").otherwise("junk"))
+        .when(b.rlike(WORD) & _is_word(b), "word")
         .otherwise("junk")
     )
 
 
-def kinds(parts: Column) -> Column:
+def settled(parts: Column, raw: Column) -> Column:
     """Kind and size of every token; a short word that repeats its neighbour is junk."""
 
     def one(token: Column, i: Column) -> Column:
         low = F.lower(token)
         # get() is null outside of the list
-        stutter = (F.length(token) <= 3) & (F.coalesce(F.lower(F.get(parts, i - 1)) == low, F.lit(False)) | F.coalesce(F.lower(F.get(parts, i + 1)) == low, F.lit(False)))
-        settled = bound(kind(token), lambda k: F.when((k == "word") & stutter, "junk").otherwise(k))
-        return F.struct(settled.alias("kind"), F.length(token).alias("n"))
+        stutter = F.coalesce(F.lower(F.get(parts, i - 1)) == low, F.lit(False)) | F.coalesce(F.lower(F.get(parts, i + 1)) == low, F.lit(False))
+        size, of = F.length(token), F.get(raw, i)
+        return F.struct(F.when((size <= 3) & (of == "word") & stutter, "junk").otherwise(of).alias("kind"), size.alias("n"))
 
     return F.transform(parts, one)
 
 
-#: Kinds of tokens that count in a text's quality.
-TALLIED = ("word", "junk", "number", "domain", "time")
-
-
-def tallies(pairs: Column) -> Column:
-    """Tokens (n_kind) and their characters (kind) of every kind, and all characters (total), in one pass."""
-    names = [*TALLIED, *(f"n_{k}" for k in TALLIED), "total"]
-    zero = F.struct(*[F.lit(0).alias(n) for n in names])
-
-    def add(t: Column, p: Column) -> Column:
-        is_ = {k: p["kind"] == k for k in TALLIED}
-        chars = [F.when(is_[k], t[k] + p["n"]).otherwise(t[k]).alias(k) for k in TALLIED]
-        counts = [F.when(is_[k], t[f"n_{k}"] + 1).otherwise(t[f"n_{k}"]).alias(f"n_{k}") for k in TALLIED]
-        return F.struct(*chars, *counts, (t["total"] + p["n"]).alias("total"))
-
-    return F.aggregate(pairs, zero, add)
+def _chars(pairs: Column, of: str) -> Column:
+    return F.aggregate(pairs, F.lit(0), lambda n, p: F.when(p["kind"] == of, n + p["n"]).otherwise(n))
 
 
 def quality_of(cleaned: Column, pairs: Column) -> Column:
-    """0 to 1: how usable a cleaned text is as a label."""
+    """0 to 1: how usable a cleaned text is as a label.
+
+    Only characters of words, junk and numbers are summed for every text; what
+    the rarer rules ask is looked up where they are reached.
+    """
+    holds = lambda of: F.exists(pairs, lambda p: p["kind"] == of)
+    n = lambda of: F.size(F.filter(pairs, lambda p: p["kind"] == of))
 
     def rated(t: Column) -> Column:
-        alone = (t["n_number"] == 1) & (F.length(cleaned) <= 10) & (t["n_junk"] == 0)
+        total = F.length(cleaned) - F.size(pairs) + 1  # tokens stand one blank apart
         return (
-            F.when(F.length(cleaned) < 2, 0.0)
-            .when(t["n_domain"] > 0, 0.9)
-            .when((t["n_time"] > 0) & (t["word"] < CLOCK_REST), 0.0)
+            F.when(holds("time") & (t["word"] < CLOCK_REST), 0.0)
             .when(t["junk"] > t["word"], 0.0)
-            .when((t["n_word"] == 1) & (t["word"] <= 3) & (t["n_junk"] >= 1), 0.0)
-            .when(t["n_word"] == 0, F.when(alone, 0.5).otherwise(0.0))
-            .otherwise(F.round(F.least(F.lit(1.0), (t["word"] + 0.5 * t["number"]) / F.greatest(t["total"], F.lit(1))), 3))
+            .when(t["word"] == 0, F.when((n("number") == 1) & (F.length(cleaned) <= 10) & ~holds("junk"), 0.5).otherwise(0.0))
+            .when((t["word"] <= 3) & (n("word") == 1) & holds("junk"), 0.0)
+            .otherwise(F.round(F.least(F.lit(1.0), (t["word"] + 0.5 * _chars(pairs, "number")) / F.greatest(total, F.lit(1))), 3))
         )
 
-    return bound(tallies(pairs), rated)
+    sums = F.struct(_chars(pairs, "word").alias("word"), _chars(pairs, "junk").alias("junk"))
+    return F.when(F.length(cleaned) < 2, 0.0).when(holds("domain"), 0.9).otherwise(bound(sums, rated))
 
 
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -137,11 +136,12 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_quality(df: DataFrame, text: str, prefix: str = "q_") -> DataFrame:
-    """Add ``clean``, ``tokens``, ``kinds`` and ``quality`` of a text column, prefixed."""
-    c, t, k, q = (prefix + n for n in ("clean", "tokens", "kinds", "quality"))
+    """Add ``clean``, ``tokens``, ``raw`` (kinds of tokens by themselves), ``kinds`` and ``quality`` of a text column, prefixed."""
+    c, t, r, k, q = (prefix + n for n in ("clean", "tokens", "raw", "kinds", "quality"))
     df = computed(df, c, clean(F.col(text)))
     df = computed(df, t, tokens(F.col(c)))
-    df = computed(df, k, kinds(F.col(t)))
+    df = computed(df, r, F.transform(t, kind))
+    df = computed(df, k, settled(F.col(t), F.col(r)))
     return computed(df, q, quality_of(F.col(c), F.col(k)))
 
 
@@ -157,17 +157,22 @@ def with_label(df: DataFrame, text: str, out: str = "label", most: int = 60, pre
     """
     own = df.columns
     df = with_quality(df, text, prefix)
-    t = F.col(prefix + "tokens")
-    plain = F.transform(t, lambda x: kind(x) != "junk")
-    df = computed(df, prefix + "url", F.get(F.filter(F.transform(t, bare), is_address), F.lit(0)))
-    df = computed(df, prefix + "good", plain)
-    good = F.col(prefix + "good")
-    first = F.array_position(good, F.lit(True))
-    last = F.size(good) - F.array_position(F.reverse(good), F.lit(True)) + 1
-    middle = F.when(first > 0, F.array_join(F.slice(t, first.cast("int"), (last - first + 1).cast("int")), " ")).otherwise("")
+    t, raw, quality = F.col(prefix + "tokens"), F.col(prefix + "raw"), F.col(prefix + "quality")
+    # Addresses are the tokens of kind domain.
+    df = computed(df, prefix + "url", F.when(F.array_contains(raw, "domain"), bare(F.get(t, F.array_position(raw, "domain").cast("int") - 1))))
+    good = F.transform(raw, lambda k: k != "junk")
+    ends = F.struct(F.array_position(good, F.lit(True)).alias("first"), (F.size(raw) - F.array_position(F.reverse(good), F.lit(True)) + 1).alias("last"))
+    asked = F.col(prefix + "url").isNull() & (quality >= 0.5)
+    df = computed(df, prefix + "ends", F.when(asked, ends))
+    first, last = F.col(prefix + "ends.first").cast("int"), F.col(prefix + "ends.last").cast("int")
+    cut = (first > 0) & ((first > 1) | (last < F.size(t)))
+    # A text that loses nothing is as good as before.
+    middle = F.when(cut, F.array_join(F.slice(t, first, last - first + 1), " "))
     df = with_quality(computed(df, prefix + "middle", middle), prefix + "middle", prefix + "m_")
-    readable = (F.col(prefix + "quality") >= 0.5) & (F.col(prefix + "m_quality") >= 0.5)
-    chosen = F.when(F.col(prefix + "url").isNotNull(), F.col(prefix + "url")).when(readable, F.col(prefix + "middle")).otherwise("")
+    trimmed = F.col(prefix + "middle").isNotNull()
+    readable = F.when(trimmed, F.col(prefix + "m_quality")).otherwise(quality) >= 0.5
+    kept = F.when(trimmed, F.col(prefix + "middle")).otherwise(F.col(prefix + "clean"))
+    chosen = F.when(F.col(prefix + "url").isNotNull(), F.col(prefix + "url")).when((first > 0) & readable, kept).otherwise("")
     return computed(df, out, shorten(chosen, most)).select(*[c for c in own if c != out], out)
 
 

@@ -69,7 +69,7 @@ def raw_clicks(segs: DataFrame, cursor: DataFrame, motions: DataFrame, scale: fl
 def deduped(clicks: DataFrame, order: str, s: Settings = DEFAULT) -> DataFrame:
     """Of clicks in quick succession the most certain one stays and becomes the anchor."""
     keep = [c for c in clicks.columns if c != "job_id"]
-    return fold(clicks, ["job_id"], ["t_start_ms", order], keep, better_within("t_start_ms", s.click_dedupe_ms, "confidence"))
+    return fold(clicks, ["job_id"], ["t_start_ms", order], keep, better_within("t_start_ms", s.click_dedupe_ms, "confidence"), "t_start_ms", s.click_dedupe_ms)
 
 
 def clicks(segs: DataFrame, cursor: DataFrame, motions: DataFrame, scale: float = 1.0, device: str = "desktop", s: Settings = DEFAULT) -> DataFrame:
@@ -178,7 +178,7 @@ def error_texts(blocks: DataFrame) -> DataFrame:
 def blanks(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Near-black samples, one per ``blank_gap_ms``."""
     dark = samples.where(F.coalesce("lum", F.lit(100.0)) < s.blank_lum)
-    kept = fold(dark, ["job_id"], ["t_ms", "i"], ["lum"], spaced("t_ms", s.blank_gap_ms))
+    kept = fold(dark, ["job_id"], ["t_ms", "i"], ["lum"], spaced("t_ms", s.blank_gap_ms), "t_ms", s.blank_gap_ms)
     return kept.select("job_id", "t_ms", F.lit("blank_screen").alias("type"), "lum", F.lit(0.7).alias("score"), F.col("i").alias("ord"))
 
 

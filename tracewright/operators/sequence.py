@@ -1,9 +1,10 @@
-"""Ordered operators: islands, greedy folds, recurrences, interval and nearest joins.
+"""Ordered operators: islands, greedy folds, recurrences, range counts, interval and nearest joins.
 
 Islands compare a row with the previous member, so ``lag`` and a running sum do.
-Greedy rules compare with the last row *accepted*: they fold one job's candidate
-rows, sorted, in one pass.  One recording has at most some thousands of rows, and
-folds see only the rows that may be accepted; jobs are what grows.
+Greedy rules compare with the last row *accepted*.  A row that comes ``gap`` or
+more after the row before it is accepted whatever was accepted earlier, so it
+begins a run of its own: a fold sees one burst of rows, not a recording, and
+walks it in pieces, so that a burst of any length takes time in proportion.
 """
 
 from __future__ import annotations
@@ -22,20 +23,42 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Callable[[
     return flagged.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], keep: list[str], step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Greedy fold: ``step(accepted, row)`` gives the accepted rows after ``row``.
+#: Rows of a piece of a fold: accepted rows are copied within a piece only.
+PIECE = 256
 
-    The first row of a job is always accepted; the result has one row per
-    accepted row.
+
+def greedy(rows: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Accepted rows of a sorted array; ``step(accepted, row)`` gives them after ``row``, and looks at the last one only.
+
+    The first row is always accepted.  Each piece starts from the last accepted
+    row alone; what lies before it is final.
     """
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PIECE).cast("int")), lambda k: F.slice(rows, k * PIECE + 1, F.lit(PIECE)))
+
+    def walk(acc: Column, piece: Column) -> Column:
+        # A struct field holds the walked piece, so that it is computed once.
+        got = F.transform(F.array(F.aggregate(piece, acc["last"], step)), lambda x: F.struct(F.concat(acc["done"], F.array(F.slice(x, F.lit(1), F.size(x) - 1))).alias("done"), F.slice(x, -1, 1).alias("last")))
+        return F.get(got, F.lit(0))
+
+    start = F.struct(F.array(F.slice(rows, 1, 0)).alias("done"), F.slice(rows, 1, 1).alias("last"))
+    rest = F.concat(F.array(F.slice(F.get(pieces, F.lit(0)), F.lit(2), F.lit(PIECE))), F.slice(pieces, F.lit(2), F.size(pieces)))
+    return F.aggregate(rest, start, walk, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
+
+
+def bursts(df: DataFrame, keys: list[str], order: list[str], column: str, gap: int, candidate: Column | None = None, out: str = "_run") -> DataFrame:
+    """Number the runs of candidate rows that follow each other within less than ``gap`` (other rows stay with the run before them)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    candidate = F.lit(True) if candidate is None else candidate
+    before = F.last(F.when(candidate, F.col(column)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = df.withColumn("_new", F.when(candidate & (before.isNull() | (F.col(column) - before >= gap)), 1).otherwise(0))
+    return flagged.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], keep: list[str], step: Callable[[Column, Column], Column], column: str, gap: int) -> DataFrame:
+    """One row per accepted row; ``step`` must accept every row that is ``gap`` or more after the last accepted one."""
     fields = list(dict.fromkeys([*order, *keep]))
-    row = F.struct(*fields)
-    sorted_rows = F.array_sort(F.collect_list(row))
-    grouped = df.groupBy(*keys).agg(sorted_rows.alias("_rows"))
-    first = F.slice(F.col("_rows"), 1, 1)
-    rest = F.slice(F.col("_rows"), F.lit(2), F.size("_rows"))
-    accepted = F.aggregate(rest, first, step)
-    return grouped.select(*keys, F.explode(accepted).alias("_row")).select(*keys, *[F.col("_row")[f].alias(f) for f in fields])
+    grouped = bursts(df, keys, order, column, gap).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    return grouped.select(*keys, F.explode(greedy(F.col("_rows"), step)).alias("_row")).select(*keys, *[F.col("_row")[f].alias(f) for f in fields])
 
 
 def spaced(column: str, least: int) -> Callable[[Column, Column], Column]:
@@ -54,6 +77,30 @@ def better_within(column: str, gap: int, score: str) -> Callable[[Column, Column
     return step
 
 
+#: Children of a block of ranks: 2 ** BITS.
+BITS = 3
+
+
+def rank_blocks(first: Column, behind: Column, levels: Column) -> Column:
+    """Blocks of ranks that cover [first, behind) exactly: structs of level and block, at most 14 a level.
+
+    Block b of level l holds the ranks b * 8**l up to (b + 1) * 8**l.  On every
+    level the blocks left and right of whole parents are taken.
+    """
+
+    def span(low: Column, high: Column) -> Column:
+        return F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def of_level(level: Column) -> Column:
+        size = F.pow(F.lit(2.0**BITS), level)
+        low, high = F.ceil(first / size).cast("long"), F.floor(behind / size).cast("long")
+        up, down = F.ceil(low / 2**BITS).cast("long") * 2**BITS, F.floor(high / 2**BITS).cast("long") * 2**BITS
+        blocks = F.when((up >= down) | (level >= levels), span(low, high)).otherwise(F.concat(span(low, up), span(down, high)))
+        return F.transform(blocks, lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), levels), of_level))
+
+
 def damped(values: Column) -> Column:
     """out0 = v0, out_i = round(v_i * (0.8 + 0.2 * out_(i-1)), 3), as an array."""
     first = F.array(F.round(F.element_at(values, 1), 3))

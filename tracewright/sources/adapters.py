@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.sources.tables import table
+from tracewright.sources.tables import spread, table
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +69,7 @@ def event_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def ui_strings(spark: SparkSession, sf: str) -> DataFrame:
     """(src, id, text): strings as they stand on screens, clean and not: every line of every document, whole."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     docs = lines.select(F.lit("doc").alias("src"), F.concat_ws(":", "doc_id", "pos").alias("id"), "text")
     urls = table(spark, sf, "pages").select(F.lit("url"), F.col("page_id").cast("string"), F.concat(F.lit("fm) 6 "), F.regexp_replace("url", "^https?://", ""), F.lit(" 3")))
     parts = table(spark, sf, "part").select(F.lit("part"), F.col("p_partkey").cast("string"), F.concat(F.lit("«|"), "p_name", F.lit("® wll")))
@@ -97,7 +97,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
     rated = text.with_quality(placed, "text")
     role = text.role("text", F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1080), F.lit(1080), F.col("q_clean"), F.col("q_quality"))
-    return text.computed(rated, "role", role).drop("q_clean", "q_tokens", "q_kinds", "q_quality")
+    return text.computed(rated, "role", role).drop("q_clean", "q_tokens", "q_raw", "q_kinds", "q_quality")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:

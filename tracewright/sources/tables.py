@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a source comes in fewer pieces than that; untouched otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def artifacts(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """JSON documents under org_id=/job_id=/stage= folders; filters on these prune folders."""
     keyed = T.StructType([*schema.fields, *[T.StructField(k, T.StringType()) for k in ("org_id", "job_id", "stage")]])
