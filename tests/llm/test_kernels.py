@@ -196,6 +196,18 @@ def test_fuzzy_places_equal_a_search_without_seeds():
         assert got == want
 
 
+def test_word_bpe_equals_the_library_on_control_characters():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), bpe.loaded(tokenizer("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(6)
+    signs = [*map(chr, range(0x20)), "\x7f", "\x85", "\xa0", "\u2028", "\u200b", "\ufeff", "a", "b1", "É", "ß", "İ", "東", "'s", " ", "  ", "<|endoftext|>", "<|startoftext|>", "<|", "_", "¼"]
+    for text in ["a\x1cb", "\x1c", "\x1f\x1e", "a \x1d b", *["".join(rng.choices(signs, k=rng.randint(1, 10))) for _ in range(6000)]]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_licence_scan_of_one_text():
     tool = licenses.scanner(tuple(licenses.PHRASES.items()), licenses.NOTICES, 0.1)
     n, base, first, last, own, labels, score, spans = licenses.scan_text("Foo: Licensd under the\nApache  Licence, Version 2.0! CC  BY. gnu general public license; CC BY", tool)
@@ -205,6 +217,51 @@ def test_licence_scan_of_one_text():
     assert licenses.scan_text("", tool)[:7] == (0, 0, None, None, "", "", 0.0)
 
 
+NEIGHBOURS = {
+    "released under the bsd license": "bsd",
+    "released under the isc license": "isc",
+    "released under the zlib license": "zlib",
+    "released under the bmt license": "",
+    "released under the permit license": "",
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by,cc-by-nd",
+    "licensed under CC BY-NC 3.0": "cc-by,cc-by-nc",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+    "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd",
+    "licensed under the apple license version 2 0": "",
+    "this program is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License": "agpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the GNU General Public License": "gpl",
+    "gnu library general public license": "",
+    "this source code form is subject to the terms of the eclipse public license": "",
+    "licensed under a creative commons attribution noncommercial license": "",
+    "licensed under a creative commons attribution license": "cc-by",
+}
+
+
+@pytest.mark.parametrize(("text", "labels"), NEIGHBOURS.items())
+def test_neighbouring_licences_keep_apart(text, labels):
+    tool = licenses.scanner(tuple(licenses.PHRASES.items()), licenses.NOTICES, 0.1)
+    assert licenses.scan_text(f"It is {text}, they say.", tool)[5] == labels
+
+
+def test_edited_notices_are_still_found():
+    tool = licenses.scanner(tuple(licenses.PHRASES.items()), licenses.NOTICES, 0.1)
+    rng = random.Random(8)
+    found = tried = 0
+    for notice, label in licenses.NOTICES:
+        needs = licenses.TELLING.get(notice, ("", ""))[0].split()
+        free = [i for i, w in enumerate(notice.split(" ")) if w not in needs and len(w) > 3]
+        for _ in range(20):
+            words = notice.split(" ")
+            i = rng.choice(free)
+            at = rng.randrange(len(words[i]))
+            words[i] = words[i][:at] + rng.choice(["", "q"]) + words[i][at + 1 :]
+            tried += 1
+            found += label in licenses.scan_text("so it is " + " ".join(words) + " and on", tool)[5].split(",")
+    assert found == tried
+
+
 def test_words_of_the_licence_scan():
     text = "A_b é-Ü 1x\x7fy\x00z"
     words = text.encode().translate(licenses.FOLD).split()

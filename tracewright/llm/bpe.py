@@ -129,7 +129,7 @@ class WordBpe:
         numbers = "0-9²³¹¼-¾"
         letters = "[^\\W\\d_²³¹¼-¾]"
         self.plain_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|" + letters + "+|[" + numbers + f"]|(?:(?!{letters})[^\\s{numbers}])+").findall
-        self.odd = re.compile(f"[{PLAIN_BELOW}-\U0010ffffİ]").search
+        self.odd = re.compile(f"[{PLAIN_BELOW}-\U0010ffffİ\x1c-\x1f]").search
         self.separators = re.compile("[\x1c-\x1f]").search
         self.stops = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         #: Ids of words, and of whole runs between white space.

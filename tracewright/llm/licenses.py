@@ -9,6 +9,11 @@ runs of three letters for ``k`` errors, the ``regex`` library checks the whole
 notice with at most ``k`` errors and reports where it lies and how many errors
 it took.
 
+Notices that differ from a neighbour in one word (of the MIT, BSD or ISC
+license; by-nc, by-sa) are as near to it as to an edited copy of themselves, so
+such a telling word must be in the place: unchanged if it has three letters or
+fewer, with one edit at most if it has more.  Versions do not tell licences apart.
+
 Texts are compared as words (runs of ASCII letters and digits and of any other
 characters above ASCII; A-Z lower-cased) joined by one blank, so line breaks
 and punctuation inside a notice do not count as errors.
@@ -52,8 +57,36 @@ NOTICES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under a creative commons attribution", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
+    ("released under the bsd license", "bsd"),
+    ("released under the isc license", "isc"),
+    ("released under the zlib license", "zlib"),
 )
 
+GNU_RIVALS = "lesser affero library"
+#: What tells a notice from its neighbours: words that its place must hold, and words that stand neither in it nor right behind it.
+TELLING = {
+    "this work is licensed under the gnu general public license": ("gnu general", GNU_RIVALS),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu": ("gnu", GNU_RIVALS),
+    "gnu lesser general public license": ("gnu lesser", ""),
+    "gnu affero general public license": ("gnu affero", ""),
+    "licensed under the apache license version 2 0": ("apache", ""),
+    "released under the mit license": ("mit", ""),
+    "this source code form is subject to the terms of the mozilla public license": ("mozilla", ""),
+    "licensed under a creative commons attribution": ("attribution", "noncommercial non sharealike share noderivatives noderivs no"),
+    "licensed under cc by nc 4 0": ("cc by nc", "sa nd"),
+    "licensed under cc by sa 4 0": ("cc by sa", "nc nd"),
+    "licensed under cc by nd 4 0": ("cc by nd", "nc sa"),
+    "licensed under cc by nc sa 4 0": ("cc by nc sa", "nd"),
+    "licensed under cc by nc nd 4 0": ("cc by nc nd", "sa"),
+    "released under the bsd license": ("bsd", ""),
+    "released under the isc license": ("isc", ""),
+    "released under the zlib license": ("zlib", ""),
+}
+
 # Words: everything but ASCII other than digits and letters; A-Z become a-z.
 FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -78,13 +111,15 @@ class Scanner:
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.notices = notices
-        self.errors, self.patterns, self.grams = [], [], []
+        self.errors, self.patterns, self.grams, self.telling = [], [], [], []
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (notice, _) in enumerate(notices):
             k = max(1, int(len(notice) * share))
             self.errors.append(k)
             self.grams.append([notice[i : i + 3] for i in range(len(notice) - 2)])
+            needs, rivals = TELLING.get(notice, ("", ""))
+            self.telling.append(([regex.compile(regex.escape(w) if len(w) <= 3 else f"(?:{regex.escape(w)}){{e<=1}}") for w in needs.split()], set(rivals.split())))
             self.patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -136,6 +171,12 @@ class Scanner:
                 kept.insert(i, span)
         return [(a, b, found[a, b]) for a, b in kept]
 
+    def told(self, place: Place, words: list[str]) -> bool:
+        """Whether a place holds the words that tell its notice from others."""
+        needs, rivals = self.telling[place.notice]
+        here = words[place.first_word : place.last_word + 1]
+        return all(any(need.fullmatch(w) for w in here) for need in needs) and rivals.isdisjoint(words[place.first_word : place.last_word + 2])
+
     def fuzzy(self, joined: str) -> list[Place]:
         """Best places of the notices, in order."""
         starts: dict[int, list[int]] = {}
@@ -177,6 +218,9 @@ def scan_text(text: str, tool: Scanner) -> tuple:
     joined = b" ".join(words)
     base = tool.base(b" " + joined + b" ")
     places = tool.fuzzy(joined.decode("utf-8"))
+    if places:
+        named = joined.decode("utf-8").split(" ")
+        places = [p for p in places if tool.told(p, named)]
     at = sorted(x for found in base.values() for x in found)
     best = max([1.0 if at else 0.0, *[1 - p.errors / len(tool.notices[p.notice][0]) for p in places]])
     spans = [{"label": p.label, "first_word": p.first_word, "last_word": p.last_word, "errors": p.errors} for p in places]
