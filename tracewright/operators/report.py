@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import no_place, one_place, upper_first
+from tracewright.operators import contract
+from tracewright.operators.contract import BASES, BUG_TYPES, GROUNDINGS
 from tracewright.operators.segmentation import themes
 from tracewright.operators.sequence import nearest
 
@@ -17,12 +19,8 @@ AMBIGUITIES = {
     "blurry": "The recording is blurry; extracted text may be incomplete.",
     "no bug": "The bug manifestation point was not detected automatically and must be marked during review.",
 }
-# What the contract allows.
-BUG_TYPES = ("ui", "functional", "crash", "validation", "navigation", "state_inconsistency", "rendering", "performance", "workflow", "unknown")
-GROUNDINGS = ("observed", "inferred", "assumed")
-BASES = ("visible_convention", "ui_text", "narration", "assumed")
-
 NO_TEXTS = "array<string>"
+FACTS = "array<struct<text:string,grounding:string,confidence:double>>"
 OMITTED = "array<struct<t_start_ms:bigint,t_end_ms:bigint,reason:string>>"
 
 
@@ -67,7 +65,7 @@ def assembled(jobs: DataFrame, bugs: DataFrame, steps: DataFrame, omitted: DataF
     step = F.struct("idx", "key", "text", "action_type", "grounding", "confidence", "uncertainty_note", "evidence", F.get("evidence", F.lit(0))["t_start_ms"].alias("t_start_ms"))
     made = steps.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s.withField("index", s["idx"])).alias("steps"))
     spans = omitted.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("t_start_ms", "t_end_ms", "reason"))).alias("omitted"))
-    said = preconditions.groupBy("job_id").agg(F.collect_list("text").alias("preconditions"))
+    said = preconditions.groupBy("job_id").agg(F.collect_list("text").alias("preconditions"), F.collect_list(F.struct("text", "grounding", "confidence")).alias("_facts"))
     active = events.groupBy("job_id").agg(F.lit(True).alias("_active"))
     shown = nearest(bugs.where("found").select("job_id", "t_ms"), frames, "job_id", "t_ms", "t_ms", "seq", "frame_id", "_frame").select("job_id", "_frame")
     out = jobs.join(bugs, "job_id")
@@ -83,6 +81,7 @@ def assembled(jobs: DataFrame, bugs: DataFrame, steps: DataFrame, omitted: DataF
         "bug_type",
         F.lit(0.5).alias("overall_confidence"),
         F.coalesce("preconditions", F.array().cast(NO_TEXTS)).alias("preconditions"),
+        F.coalesce("_facts", F.array().cast(FACTS)).alias("precondition_facts"),
         "environment",
         "field_confidence",
         "steps",
@@ -105,14 +104,39 @@ def finished(drafts: DataFrame, steps: DataFrame, scores: DataFrame) -> DataFram
     return both.withColumn("ambiguity", F.concat("ambiguity", "chronology")).drop("chronology")
 
 
+#: Names of the contract for columns that renderers know by another.
+CONTRACT_NAMES = {
+    "observed_result": "observed",
+    "expected_result": "expected",
+    "bug_manifestation": "manifestation",
+    "alternate_interpretations": "alternates",
+    "ambiguity_notes": "ambiguity",
+    "omitted_activity": "omitted",
+    "confidence_breakdown": "breakdown",
+}
+
+
 def exported(reports: DataFrame) -> DataFrame:
-    """(job_id, body): each report as JSON, nulls kept."""
-    body = F.struct(F.lit("1.0").alias("schema_version"), *[c for c in reports.columns if c != "job_id"])
-    return reports.select("job_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+    """(job_id, body): each report as a JSON document of the contract, nulls kept.
+
+    Steps without a key are named by their index; preconditions that are texts
+    alone are assumptions.
+    """
+    out = reports.withColumns({theirs: F.col(ours) for theirs, ours in CONTRACT_NAMES.items() if ours in reports.columns})
+    kinds = dict(reports.dtypes)
+    if "precondition_facts" in kinds:
+        out = out.withColumn("preconditions", F.col("precondition_facts"))
+    elif "preconditions" in kinds:
+        out = out.withColumn("preconditions", F.transform("preconditions", lambda p: F.struct(p.alias("text"))))
+    if "steps" in kinds and "key" not in reports.schema["steps"].dataType.elementType.names:
+        out = out.withColumn("steps", F.transform("steps", lambda s: s.withField("key", F.concat(F.lit("s"), s["index"].cast("string")))))
+    if "environment" in kinds and "field_confidence" in kinds:
+        out = out.withColumn("environment", F.col("environment").withField("field_confidence", F.col("field_confidence")))
+    return out.select("job_id", contract.body(out).alias("body"))
 
 
 def violations(reports: DataFrame) -> DataFrame:
-    """(job_id, path, rule): what breaks the contract of a report; no rows for one that keeps it."""
+    """(job_id, path, rule): what breaks the main rules of the contract, before export; ``contract.violations`` has all rules, on documents."""
     outside = lambda c: ~F.coalesce(c.between(0.0, 1.0), F.lit(False))
     unknown = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
     broken = lambda path, cond, rule: F.when(cond, F.struct(F.lit(path).alias("path") if isinstance(path, str) else path.alias("path"), F.lit(rule).alias("rule")))

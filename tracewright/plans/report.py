@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry
-from tracewright.operators import catalog, probe, render, report, scoring, steps, targets
+from tracewright.operators import catalog, contract, probe, render, report, scoring, steps, targets
 from tracewright.operators import events as ev
 from tracewright.operators import segmentation as seg
 from tracewright.plans.activity import BLANKS, CHAIN, DAMP, EVENTS, FOLD, LEFT, REGION, STILL
@@ -153,10 +154,117 @@ def report_validated_steps(spark, sf):
 
 
 def report_export(spark, sf):
-    """Assembled, validated reports as JSON, read back."""
-    body = report.exported(Recordings(spark, sf).finished)
-    at = lambda path: F.get_json_object("body", f"$.{path}")
-    return body.select("job_id", at("title").alias("title"), at("bug_type").alias("bug_type"), F.json_array_length(at("steps")).cast("long").alias("n_steps"), at("overall_confidence").cast("double").alias("overall"), at("steps[0].text").alias("first_step"), F.json_array_length(at("ambiguity")).cast("long").alias("n_ambiguity"))
+    """Assembled, validated reports as JSON of the contract, read back."""
+    back = contract.checked(report.exported(Recordings(spark, sf).finished)).where(F.size("broken") == 0)
+    r = F.col("report")
+    return back.select("job_id", r["title"].alias("title"), r["bug_type"].alias("bug_type"), F.size(r["steps"]).cast("long").alias("n_steps"), r["overall_confidence"].alias("overall"), F.get(r["steps"], F.lit(0))["text"].alias("first_step"), F.size(r["ambiguity_notes"]).cast("long").alias("n_ambiguity"))
+
+
+def report_read_back(spark, sf):
+    """Every field of the contract, from the documents."""
+    back = contract.checked(report.exported(Recordings(spark, sf).finished)).select("job_id", "report.*", F.size("broken").cast("long").alias("n_broken"))
+    env, pre, parts = F.col("environment"), F.get("preconditions", F.lit(0)), F.col("confidence_breakdown")
+    said = lambda c, t: F.array_join(F.transform(c, t), "; ")
+    first = F.get("steps", F.lit(0))
+    return back.select(
+        "job_id",
+        "n_broken",
+        "schema_version",
+        "summary",
+        pre["text"].alias("precondition"),
+        pre["grounding"].alias("precondition_grounding"),
+        F.concat_ws("|", env["browser"], env["device_class"], env["resolution"], env["theme"]).alias("environment"),
+        F.element_at(env["field_confidence"], "browser").alias("browser_confidence"),
+        first["key"].alias("first_key"),
+        first["action_type"].alias("first_action"),
+        first["screen_state"].alias("first_state"),
+        F.coalesce("expected_result.text", F.lit("")).alias("expected"),
+        F.coalesce("expected_result.basis", F.lit("")).alias("basis"),
+        F.col("observed_result.confidence").alias("observed_confidence"),
+        F.coalesce(F.get("observed_result.evidence", F.lit(0))["frame_id"], F.lit("")).alias("frame_id"),
+        F.col("bug_manifestation").isNotNull().alias("manifest"),
+        F.array_join("alternate_interpretations", "; ").alias("alternates"),
+        said("omitted_activity", lambda o: F.concat(o["t_start_ms"].cast("string"), F.lit("-"), o["t_end_ms"].cast("string"), F.lit(" "), o["reason"])).alias("omitted"),
+        parts["actions"].alias("actions"),
+        parts["ocr"].alias("ocr"),
+        parts["bug_localization"].alias("bug_localization"),
+        parts["expected_result"].alias("expected_confidence"),
+        parts["coverage"].alias("coverage"),
+    )
+
+
+#: What is put in place of a good document's part, and what the contract says to it.
+SPOILT = (
+    ("", None, None, None),
+    ("title", None, "title", "required"),
+    ("title", 7, "title", "not a text"),
+    ("summary", None, "summary", "must not be null"),
+    ("schema_version", "2.0", "schema_version", "unknown value"),
+    ("bug_type", "cosmic", "bug_type", "unknown value"),
+    ("overall_confidence", 1.01, "overall_confidence", "outside of 0 to 1"),
+    ("overall_confidence", "high", "overall_confidence", "not a number"),
+    ("overall_confidence", "0.25", None, None),
+    ("preconditions", [{"grounding": "assumed"}], "preconditions[0].text", "required"),
+    ("preconditions", [{"text": "Signed in", "grounding": "seen"}], "preconditions[0].grounding", "unknown value"),
+    ("preconditions", [{"text": "Signed in", "confidence": 9}], None, None),
+    ("preconditions", "none", "preconditions", "not a list"),
+    ("environment", None, "environment", "must not be null"),
+    ("environment", {"os": 3}, "environment.os", "not a text"),
+    ("environment", {"field_confidence": {"os": "sure"}}, "environment.field_confidence.os", "not a number"),
+    ("environment", {"extra": 1}, None, None),
+    ("steps", {}, "steps", "not a list"),
+    ("steps.text", " \t\u00a0", "steps[1].text", "must not be empty"),
+    ("steps.text", None, "steps[1].text", "required"),
+    ("steps.key", None, "steps[1].key", "required"),
+    ("steps.index", 1.5, "steps[1].index", "not a whole number"),
+    ("steps.index", "4", None, None),
+    ("steps.grounding", "guessed", "steps[1].grounding", "unknown value"),
+    ("steps.confidence", -0.1, "steps[1].confidence", "outside of 0 to 1"),
+    ("steps.action_type", ["tap"], "steps[1].action_type", "not a text"),
+    ("steps.uncertainty_note", None, "steps[1].uncertainty_note", "must not be null"),
+    ("steps.evidence", [{"t_start_ms": 1, "t_end_ms": 2}, {"t_start_ms": 3}], "steps[1].evidence[1].t_end_ms", "required"),
+    ("steps.evidence", [{"t_start_ms": "soon", "t_end_ms": 2}], "steps[1].evidence[0].t_start_ms", "not a whole number"),
+    ("steps.compressed_from", [1], "steps[1].compressed_from", "not an object"),
+    ("steps.compressed_from", {"events": [1, 2]}, None, None),
+    ("observed_result", None, "observed_result", "required"),
+    ("observed_result", {"confidence": 0.5}, "observed_result.text", "required"),
+    ("observed_result", {"text": "It stops.", "confidence": 2}, "observed_result.confidence", "outside of 0 to 1"),
+    ("observed_result", {"text": "It stops.", "evidence": [{"t_start_ms": 0, "t_end_ms": 1, "frame_id": None}]}, "observed_result.evidence[0].frame_id", "must not be null"),
+    ("expected_result", None, None, None),
+    ("expected_result", {"text": "It goes on.", "basis": "hope"}, "expected_result.basis", "unknown value"),
+    ("expected_result", {"text": "It goes on.", "confidence": 1.2}, "expected_result.confidence", "outside of 0 to 1"),
+    ("expected_result", "It goes on.", "expected_result", "not an object"),
+    ("bug_manifestation", {"confidence": 0.2}, "bug_manifestation.t_ms", "required"),
+    ("bug_manifestation", {"t_ms": 5, "confidence": 3}, None, None),
+    ("alternate_interpretations", ["one", 2], "alternate_interpretations[1]", "not a text"),
+    ("ambiguity_notes", [None], "ambiguity_notes[0]", "required"),
+    ("omitted_activity", [{"t_start_ms": 1, "t_end_ms": 2}], "omitted_activity[0].reason", "required"),
+    ("confidence_breakdown", {"ocr": None}, "confidence_breakdown.ocr", "must not be null"),
+    ("confidence_breakdown", {"ocr": "x"}, "confidence_breakdown.ocr", "not a number"),
+    ("not JSON", None, "", "not JSON"),
+)
+
+
+def spoilt(part, value):
+    """A document of two steps with one part replaced."""
+    if part == "not JSON":
+        return "{"
+    step = {"key": "s", "index": 1, "text": "Open it.", "evidence": [{"t_start_ms": 1, "t_end_ms": 2}]}
+    doc = {"title": "Crash in shop", "steps": [dict(step), dict(step)], "observed_result": {"text": "It stops."}}
+    if part.startswith("steps."):
+        doc["steps"][1][part[6:]] = value
+    elif part:
+        doc[part] = value
+    return json.dumps(doc)
+
+
+def contract_rules(spark, sf):
+    """Orders stand for documents, each spoilt in one of the ways above: what the contract finds, and what stays readable."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"))
+    bodies = F.array(*[F.lit(spoilt(*s[:2])) for s in SPOILT])
+    docs = o.withColumn("body", F.element_at(bodies, (F.col("job_id") % len(SPOILT) + 1).cast("int")))
+    done = contract.checked(docs)
+    return done.select("job_id", F.explode_outer("broken").alias("v"), F.coalesce("report.title", F.lit("")).alias("title")).select("job_id", F.coalesce("v.path", F.lit("-")).alias("path"), F.coalesce("v.rule", F.lit("-")).alias("rule"), "title")
 
 
 def assembled_markdown(spark, sf):
@@ -306,7 +414,7 @@ def urls_quoted(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        events_detected, anomalies_ordered, bug_localized, report_steps, report_headers, report_scores, report_validated_steps, report_export, assembled_markdown,
+        events_detected, anomalies_ordered, bug_localized, report_steps, report_headers, report_scores, report_validated_steps, report_export, report_read_back, contract_rules, assembled_markdown,
         contract_violations, submit_promotion, targets_resolved, probe_validated, motion_filter, uploads_completed, jobs_created, stages_appended, roles_allowed,
         revisions_saved, revision_history, reports_exported, comments_listed, steps_merged, timeline_places, ticket_payload, urls_quoted,
     )
@@ -483,6 +591,13 @@ ORACLE_SQL = {
     "report_validated_steps": f"WITH {SCORES} SELECT job_id, idx, grounding, confidence, shown AS uncertainty_note, kept::BIGINT AS n_evidence FROM vs",
     "report_export": f"""WITH {SCORES} {HEADERS} SELECT hd.job_id, title, bug_type, ends.n::BIGINT AS n_steps, overall, rs.text AS first_step, (n_ambiguity + n_notes)::BIGINT AS n_ambiguity
       FROM hd JOIN scores USING (job_id) JOIN ends USING (job_id) JOIN rs ON rs.job_id = hd.job_id AND rs.idx = 1""",
+    "report_read_back": f"""WITH {SCORES} {HEADERS} SELECT hd.job_id, 0::BIGINT AS n_broken, '1.0' AS schema_version, summary, preconditions AS precondition, CASE WHEN preconditions LIKE 'Start on "%' THEN 'observed' ELSE 'assumed' END AS precondition_grounding,
+      environment, browser_confidence, 's1' AS first_key, rs.action_type AS first_action, '' AS first_state, expected, CASE WHEN expected <> '' THEN 'visible_convention' ELSE '' END AS basis, observed_confidence, hd.frame_id, bug.found AS manifest, hd.alternates, omitted,
+      actions, ocr, bug_localization, expected_result AS expected_confidence, scores.coverage
+      FROM hd JOIN scores USING (job_id) JOIN bug ON bug.job_id = hd.job_id JOIN rs ON rs.job_id = hd.job_id AND rs.idx = 1""",
+    "contract_rules": "WITH w(k, path, rule) AS (VALUES "
+    + ", ".join(f"({k}, '{path if path is not None else '-'}', '{rule or '-'}')" for k, (_, _, path, rule) in enumerate(SPOILT))
+    + f") SELECT o_orderkey AS job_id, path, rule, CASE WHEN rule = '-' THEN 'Crash in shop' ELSE '' END AS title FROM orders JOIN w ON k = o_orderkey % {len(SPOILT)}",
     "assembled_markdown": f"""WITH {SCORES} {HEADERS} SELECT hd.job_id, '# ' || title AS title, ends.n::BIGINT AS n_steps, (5 + found::INT + (n_ambiguity + n_notes > 0)::INT + late::INT)::BIGINT AS n_sections
       FROM hd JOIN scores USING (job_id) JOIN ends USING (job_id)""",
     "contract_violations": """WITH s AS (SELECT l_orderkey AS job_id, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
