@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.tables import discard, stored
+
 # Accepted media types and the size limit of uploads.
 MEDIA_TYPES = {"video/mp4": ".mp4", "video/quicktime": ".mov", "video/webm": ".webm", "video/x-matroska": ".mkv", "video/x-msvideo": ".avi"}
 MOST_BYTES = 2 * 1024**3
@@ -123,27 +125,70 @@ def allowed(requests: DataFrame, memberships: DataFrame) -> DataFrame:
     return out.withColumn("code", F.when(F.col("role").isNull(), 404).when(rank_of(F.col("role")) < rank_of(F.col("minimum")), 403).otherwise(200))
 
 
-def with_stage(jobs: DataFrame, done: DataFrame) -> DataFrame:
-    """Jobs with one more entry in ``stages``, an array of (stage, status, ms); a failed stage fails the job."""
-    entry = F.struct("stage", F.col("stage_status").alias("status"), "ms")
-    new = done.select("job_id", entry.alias("_entry"))
+ENTRIES = "array<struct<stage:string,status:string,ms:bigint>>"
+
+
+def with_stage(jobs: DataFrame, done: DataFrame, order: str = "stage") -> DataFrame:
+    """Jobs with more entries in ``stages``, an array of (stage, status, ms); a failed stage fails the job.
+
+    The entries of one job are appended in the order of the column ``order``
+    (stages are named in the order in which they run).
+    """
+    entry = F.struct(F.col(order).alias("at"), F.struct("stage", F.col("stage_status").alias("status"), F.col("ms").cast("bigint").alias("ms")).alias("entry"))
+    new = done.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias("_new"), F.bool_or(F.col("stage_status") == "failed").alias("_failed"))
+    none = F.array().cast(ENTRIES)
     out = jobs.join(new, "job_id", "left")
-    failed = F.coalesce(F.col("_entry.status") == "failed", F.lit(False))
-    none = F.array().cast("array<struct<stage:string,status:string,ms:bigint>>")
-    stages = F.coalesce("stages", none)
-    return out.withColumn("stages", F.when(F.col("_entry").isNull(), stages).otherwise(F.array_append(stages, F.col("_entry")))).withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).drop("_entry")
+    return out.withColumn("stages", F.concat(F.coalesce("stages", none), F.coalesce("_new", none))).withColumn("status", F.when(F.col("_failed"), "failed").otherwise(F.col("status"))).drop("_new", "_failed")
+
+
+def answered(edits: DataFrame, reports: DataFrame) -> DataFrame:
+    """Edits of a batch with the code that each gets if they come one after the other.
+
+    200: made on the head of its moment, which it becomes.  409: made on
+    another revision (a fork, an unknown parent, one that is not there yet).
+    422: made on the head, but ``valid`` is false.  404: no such report.
+
+    ``edits`` has report_id, revision_id (new and unique), parent_revision_id,
+    created_at; ties come in the order of revision_id.  The edit that follows a revision is the
+    first valid one behind it that names it, so every edit has one place it can
+    hang on, and those that hang on the head through others are accepted.  They
+    are found by doubling these pointers, a join for each doubling, however long
+    the chain of one report is.
+    """
+    known = reports.select("report_id", F.col("head_revision_id").alias("_head"), F.lit(True).alias("_known"))
+    at = F.struct("created_at", "revision_id")
+    valid = F.coalesce("valid", F.lit(True)) if "valid" in edits.columns else F.lit(True)
+    rows = edits.join(known, "report_id", "left").select("report_id", "revision_id", "parent_revision_id", "_head", F.coalesce("_known", F.lit(False)).alias("_known"), valid.alias("_valid"), at.alias("_at"))
+    parents = rows.select("report_id", F.col("revision_id").alias("parent_revision_id"), F.col("_at").alias("_parent_at"))
+    placed = rows.join(parents, ["report_id", "parent_revision_id"], "left")
+    on_head = F.coalesce(F.col("parent_revision_id") == F.col("_head"), F.lit(False))
+    placed = stored(placed.withColumn("_after", F.col("_known") & (on_head | F.coalesce(F.col("_at") > F.col("_parent_at"), F.lit(False)))).withColumn("_on_head", on_head), "edits")
+    follows = placed.where("_after AND _valid").groupBy("report_id", "parent_revision_id").agg(F.min("_at").alias("_next"))
+    links = placed.where("_after AND _valid").join(follows, ["report_id", "parent_revision_id"]).where(F.col("_at") == F.col("_next"))
+    # up: the revision that a link has been followed to; held: whether it is the head.
+    chain = stored(links.select("report_id", "revision_id", F.col("parent_revision_id").alias("up"), F.col("_on_head").alias("held")), "edit-links")
+    while chain.where("NOT held AND up IS NOT NULL").limit(1).count():
+        above = chain.select("report_id", F.col("revision_id").alias("up"), F.col("up").alias("_up"), F.col("held").alias("_held"))
+        step = chain.join(above, ["report_id", "up"], "left")
+        chain, before = stored(step.select("report_id", "revision_id", F.when(F.col("held"), F.col("up")).otherwise(F.col("_up")).alias("up"), (F.col("held") | F.coalesce("_held", F.lit(False))).alias("held")), "edit-links"), chain
+        discard(before)
+    taken = chain.where("held").select("report_id", "revision_id", F.lit(True).alias("_taken"))
+    # A revision that was the head: the one the batch found, and those accepted, until the next accepted edit.
+    was = taken.select("report_id", F.col("revision_id").alias("parent_revision_id"), F.lit(True).alias("_was"))
+    out = placed.join(taken, ["report_id", "revision_id"], "left").join(was, ["report_id", "parent_revision_id"], "left").join(follows, ["report_id", "parent_revision_id"], "left")
+    head_then = F.col("_after") & (F.col("_on_head") | F.coalesce("_was", F.lit(False))) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next")))
+    code = F.when(~F.col("_known"), 404).when(F.col("_taken"), 200).when(head_then, 422).otherwise(409)
+    answers = out.select("report_id", "revision_id", code.alias("code"))
+    return edits.join(answers, ["report_id", "revision_id"], "left").withColumn("code", F.coalesce("code", F.lit(404)))
 
 
 def saved(edits: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New revisions of accepted edits, and the reports with their heads moved and in review.
+    """New revisions of the accepted edits, and the reports with their heads moved and in review.
 
-    ``edits`` has report_id, revision_id (new), parent_revision_id, created_at,
-    change_note; of edits on one head the first counts.
+    ``edits`` as in ``answered``, with a change_note; reports without a head take none.
     """
-    heads_ = reports.select("report_id", F.col("head_revision_id").alias("_head"))
-    w = Window.partitionBy("report_id").orderBy("created_at", "revision_id")
-    taken = edits.join(heads_, "report_id").where(F.col("parent_revision_id") == F.col("_head")).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_head")
-    new = taken.select("report_id", F.col("revision_id").alias("_new"))
+    taken = stored(answered(edits, reports), "edits-answered").where("code = 200").drop("code")
+    new = taken.groupBy("report_id").agg(F.max_by("revision_id", F.struct("created_at", "revision_id")).alias("_new"))
     moved = reports.join(new, "report_id", "left").withColumn("status", F.when(F.col("_new").isNotNull(), "in_review").otherwise(F.col("status"))).withColumn("head_revision_id", F.coalesce("_new", "head_revision_id")).drop("_new")
     return taken.withColumn("author_type", F.lit("human")), moved
 

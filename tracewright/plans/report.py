@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import geometry
@@ -348,6 +349,36 @@ def stages_appended(spark, sf):
     return catalog.with_stage(jobs, done).select("job_id", "status", shown.alias("stages"))
 
 
+def stages_batched(spark, sf):
+    """Several stages of one job at once: its line items, in the order of the stages; one that failed fails the job."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit("running").alias("status"), F.lit(None).cast(catalog.ENTRIES).alias("stages"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("ms"))
+    done = li.select("job_id", F.format_string("s%02d", "n").alias("stage"), F.when((F.col("flag") == "R") & (F.col("n") > 2), "failed").otherwise("done").alias("stage_status"), "ms")
+    shown = F.array_join(F.transform("stages", lambda s: F.concat_ws("/", s["stage"], s["status"], s["ms"].cast("string"))), ",")
+    return catalog.with_stage(o, done).select("job_id", "status", shown.alias("stages"))
+
+
+def edits_answered(spark, sf):
+    """A batch of edits with chains, forks, unknown parents and spoilt bodies: line items that edit their order's report one after the other."""
+    o = table(spark, sf, "orders").where("o_orderkey % 13 <> 5")
+    reports = o.select(F.col("o_orderkey").alias("report_id"), (F.col("o_orderkey") * 100).alias("head_revision_id"), F.lit("draft").alias("status"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    e = li.withColumn("n", place).select(
+        F.col("l_orderkey").alias("report_id"),
+        (F.col("l_orderkey") * 100 + F.col("n")).alias("revision_id"),
+        # Mostly the revision before; every seventh order: one that is two back; every eleventh: one unknown; every ninth: one that comes later.
+        F.when((F.col("l_orderkey") % 7 == 0) & (F.col("n") == 3), F.col("l_orderkey") * 100 + 1)
+        .when((F.col("l_orderkey") % 11 == 0) & (F.col("n") == 2), F.lit(-1))
+        .when((F.col("l_orderkey") % 9 == 0) & (F.col("n") == 1), F.col("l_orderkey") * 100 + 2)
+        .otherwise(F.col("l_orderkey") * 100 + F.col("n") - 1)
+        .alias("parent_revision_id"),
+        F.col("n").alias("created_at"),
+        (~((F.col("l_orderkey") % 5 == 0) & (F.col("n") == 2))).alias("valid"),
+    )
+    return catalog.answered(e, reports).select("report_id", "revision_id", "code")
+
+
 def roles_allowed(spark, sf):
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     names = F.array(*map(F.lit, catalog.ROLES))
@@ -415,7 +446,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_detected, anomalies_ordered, bug_localized, report_steps, report_headers, report_scores, report_validated_steps, report_export, report_read_back, contract_rules, assembled_markdown,
-        contract_violations, submit_promotion, targets_resolved, probe_validated, motion_filter, uploads_completed, jobs_created, stages_appended, roles_allowed,
+        contract_violations, submit_promotion, targets_resolved, probe_validated, motion_filter, uploads_completed, jobs_created, stages_appended, stages_batched, edits_answered, roles_allowed,
         revisions_saved, revision_history, reports_exported, comments_listed, steps_merged, timeline_places, ticket_payload, urls_quoted,
     )
 }
@@ -632,6 +663,17 @@ ORACLE_SQL = {
       FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "stages_appended": """SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'running' END AS status,
       array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 's01_validate/done/5' END, CASE o_orderstatus WHEN 'F' THEN 's02_normalize/failed/' || floor(o_totalprice)::BIGINT WHEN 'O' THEN 's02_normalize/done/' || floor(o_totalprice)::BIGINT END], lambda x: x IS NOT NULL), ',') AS stages FROM orders""",
+    "stages_batched": """WITH li AS (SELECT l_orderkey AS job_id, l_linenumber AS n, CASE WHEN max(l_returnflag) = 'R' AND l_linenumber > 2 THEN 'failed' ELSE 'done' END AS s, max(l_partkey) AS ms FROM lineitem GROUP BY 1, 2)
+      SELECT o_orderkey AS job_id, CASE WHEN bool_or(s = 'failed') THEN 'failed' ELSE 'running' END AS status, coalesce(string_agg(printf('s%02d', n) || '/' || s || '/' || ms, ',' ORDER BY n), '') AS stages FROM orders LEFT JOIN li ON job_id = o_orderkey GROUP BY 1""",
+    # One edit of every report at a time, against the head that the one before has left.
+    "edits_answered": """WITH RECURSIVE e AS (SELECT k, n, k * 100 + n AS rev, CASE WHEN k % 7 = 0 AND n = 3 THEN k * 100 + 1 WHEN k % 11 = 0 AND n = 2 THEN -1 WHEN k % 9 = 0 AND n = 1 THEN k * 100 + 2 ELSE k * 100 + n - 1 END AS parent, k % 5 = 0 AND n = 2 AS bad
+        FROM (SELECT DISTINCT l_orderkey AS k, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem)
+      ), w AS (
+        SELECT o_orderkey AS k, 0::BIGINT AS n, o_orderkey * 100 AS head, NULL::BIGINT AS rev, 0 AS code FROM orders WHERE o_orderkey % 13 <> 5
+        UNION ALL SELECT w.k, e.n, CASE WHEN e.parent = w.head AND NOT e.bad THEN e.rev ELSE w.head END, e.rev, CASE WHEN e.parent <> w.head THEN 409 WHEN e.bad THEN 422 ELSE 200 END FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1
+      )
+      SELECT k AS report_id, rev AS revision_id, code FROM w WHERE rev IS NOT NULL
+      UNION ALL SELECT k, rev, 404 FROM e WHERE k % 13 = 5 OR k NOT IN (SELECT o_orderkey FROM orders)""",
     "roles_allowed": f"""WITH m AS (SELECT n_name, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 END AS r, c_nationkey % 5 AS least FROM customer JOIN nation ON n_nationkey = c_nationkey)
       SELECT n_name, CASE WHEN r IS NULL THEN 404 WHEN list_position({ROLE_LIST}, {ROLE_LIST}[r + 1]) < least + 1 THEN 403 ELSE 200 END::INT AS code, count(*) AS n FROM m GROUP BY 1, 2""",
     "revisions_saved": f"""WITH {REV} SELECT report_id, CASE WHEN report_id % 2 = 0 THEN 'in_review' ELSE 'draft' END AS status, revision_id + CASE WHEN report_id % 2 = 0 THEN 1000000000 ELSE 0 END AS head_revision_id,

@@ -70,14 +70,18 @@ def replace_jobs(df: DataFrame, path: str, buckets: int = 256) -> None:
     """Row sink: replace all rows of the jobs in ``df``, and only these.
 
     The table is laid out in buckets of job_id, so only buckets that are met are
-    rewritten, however many jobs the table holds.
+    rewritten, however many jobs the table holds.  A plain folder of files cannot
+    be switched in one step: ``snapshots`` has the sink whose readers see all of
+    a write or nothing.
     """
     spark = df.sparkSession
     keyed = df.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
     schema = T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])
     try:
         old = spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # no table yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         old = None
     if old is not None:
         met = keyed.select("bucket").distinct()
@@ -89,6 +93,14 @@ def replace_jobs(df: DataFrame, path: str, buckets: int = 256) -> None:
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once no later job reads it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: for relations that several branches of a query use."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.sources import snapshots
+from tracewright.sources.tables import discard, stored
+
 MESSAGE = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("status", T.StringType()), T.StructField("pct", T.DoubleType()), T.StructField("at", T.TimestampType())])
 # States that end a job, and the stages in their order.
 TERMINAL = ("awaiting_review", "completed", "failed")
@@ -18,12 +21,7 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def updates(stream: DataFrame) -> DataFrame:
-    """The newest message of each job in every batch of the stream.
-
-    No state is kept between batches: a job's latest row is what the table of
-    updates says last (``latest``), so neither midnight nor a late message makes
-    a second row, and the memory of the stream does not grow with jobs.
-    """
+    """Messages, and whether their status ends the job."""
     return stream.withColumn("ended", F.col("status").isin(*TERMINAL))
 
 
@@ -50,19 +48,42 @@ def next_stage(stage):
     return F.when(F.array_position(names, stage) > 0, F.get(names, F.array_position(names, stage).cast("int")))
 
 
-def run_to_end(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
-    """Process what is there into a Parquet table of updates and return the latest row of each job.
+#: The table of updates: a row of MESSAGE for each job, and whether it has ended.
+STATE = T.StructType([*MESSAGE.fields, T.StructField("ended", T.BooleanType())])
 
-    Every batch writes its own newest message of each job into a folder named by
-    the batch, so a batch that runs again replaces itself, and nothing is
-    gathered on the driver.
+
+def fold_batch(batch: DataFrame, number: int, table: str, idle_days: int = 30) -> None:
+    """Take one batch of updates into the table.
+
+    The table holds open jobs only: a job that has ended, or of which nothing was heard
+    for ``idle_days`` before the newest message, goes to the archive beside it.
+    A batch rewrites the buckets of its own jobs, and old files go, so
+    state and files follow the open jobs and not the batches.  The manifest
+    remembers the batch, so one that runs again changes nothing.
     """
+    spark = batch.sparkSession
+    if snapshots.seen(spark, table, number):
+        return
+    new = latest(batch).select(*STATE.names)
+    found, old = snapshots.met(new, table)
+    rows = stored(latest(old.unionByName(new)).select(*STATE.names), "progress-rows")
+    newest = rows.agg(F.max("at")).first()[0]
+    closed = F.col("ended") | F.coalesce(F.col("at") < F.lit(newest) - F.make_dt_interval(F.lit(idle_days)), F.lit(False))
+    # The archive first: if what follows fails, the same batch writes the same file again.
+    rows.where(closed).write.mode("overwrite").parquet(f"{table}-ended/batch={number}")
+    snapshots.replace_buckets(rows.where(~closed), found, table, number)
+    snapshots.vacuum(spark, table)
+    discard(rows)
+
+
+def states(spark: SparkSession, table: str) -> DataFrame:
+    """The newest row of every job, open or ended."""
+    ended = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{table}-ended")
+    return latest(snapshots.read(spark, table, STATE).unionByName(ended))
 
-    def write(batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    query = updates(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Process what is there and return the newest row of each job; nothing is gathered on the driver."""
+    query = updates(stream).writeStream.foreachBatch(lambda batch, number: fold_batch(batch, number, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    spark = stream.sparkSession
-    schema = T.StructType([*MESSAGE.fields, T.StructField("ended", T.BooleanType())])
-    return latest(spark.read.schema(schema).parquet(f"{table}/batch=*"))
+    return states(stream.sparkSession, table)
