@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.sequence import BITS, bursts, greedy, rank_blocks, spaced, upper_median
+from tracewright.operators.sequence import BITS, bursts, cut, greedy, rank_blocks, spaced, upper_median
 from tracewright.operators.settings import Settings
 
 DEFAULT = Settings()
@@ -45,7 +45,7 @@ def _bursts(samples: DataFrame, s: Settings) -> DataFrame:
     over = timed.withColumn("over", (F.col("i") == F.col("first_i")) | (F.col("score") >= F.col("threshold")))
     runs = bursts(over, ["job_id"], ["i"], "t_ms", s.least_segment_ms, F.col("over"))
     rows = F.array_sort(F.collect_list(F.struct("i", "t_ms", "score", "change_frac", "over")))
-    return runs.groupBy("job_id", "_run", "span", "end", "samples").agg(rows.alias("rows")).withColumn("marks", greedy(F.filter("rows", lambda r: r["over"]), spaced("t_ms", s.least_segment_ms)))
+    return runs.groupBy("job_id", "_run", "span", "end", "samples").agg(rows.alias("rows")).withColumn("marks", greedy(cut(F.filter("rows", lambda r: r["over"])), spaced("t_ms", s.least_segment_ms)))
 
 
 def boundaries(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -27,22 +27,28 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Callable[[
 PIECE = 256
 
 
-def greedy(rows: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Accepted rows of a sorted array; ``step(accepted, row)`` gives them after ``row``, and looks at the last one only.
+def cut(rows: Column) -> Column:
+    """An array in pieces."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PIECE).cast("int")), lambda k: F.slice(rows, k * PIECE + 1, F.lit(PIECE)))
 
-    The first row is always accepted.  Each piece starts from the last accepted
-    row alone; what lies before it is final.
+
+def greedy(pieces: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Accepted rows of sorted pieces; ``step(accepted, row)`` gives them after ``row``, and looks at the last one only.
+
+    The first row is always accepted.  One walk finds the row that each piece
+    begins with, that is the last one accepted before it; with it every piece
+    gives its own rows, so no walk carries what it has accepted along.
     """
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PIECE).cast("int")), lambda k: F.slice(rows, k * PIECE + 1, F.lit(PIECE)))
+    first = F.get(pieces, F.lit(0))
+    rest = F.concat(F.array(F.slice(first, F.lit(2), F.lit(PIECE))), F.slice(pieces, F.lit(2), F.size(pieces)))
+    last = lambda begun: F.element_at(begun, -1)
+    begun = F.aggregate(rest, F.array(F.slice(first, 1, 1)), lambda b, piece: F.concat(b, F.array(F.slice(F.aggregate(piece, last(b), step), -1, 1))))
 
-    def walk(acc: Column, piece: Column) -> Column:
-        # A struct field holds the walked piece, so that it is computed once.
-        got = F.transform(F.array(F.aggregate(piece, acc["last"], step)), lambda x: F.struct(F.concat(acc["done"], F.array(F.slice(x, F.lit(1), F.size(x) - 1))).alias("done"), F.slice(x, -1, 1).alias("last")))
-        return F.get(got, F.lit(0))
+    def of_piece(b: Column) -> Column:
+        final = F.transform(rest, lambda piece, k: F.aggregate(piece, F.get(b, k), step, lambda x: F.slice(x, F.lit(1), F.size(x) - 1)))
+        return F.concat(F.flatten(final), last(b))
 
-    start = F.struct(F.array(F.slice(rows, 1, 0)).alias("done"), F.slice(rows, 1, 1).alias("last"))
-    rest = F.concat(F.array(F.slice(F.get(pieces, F.lit(0)), F.lit(2), F.lit(PIECE))), F.slice(pieces, F.lit(2), F.size(pieces)))
-    return F.aggregate(rest, start, walk, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
+    return F.get(F.transform(F.array(begun), of_piece), F.lit(0))
 
 
 def bursts(df: DataFrame, keys: list[str], order: list[str], column: str, gap: int, candidate: Column | None = None, out: str = "_run") -> DataFrame:
@@ -57,8 +63,11 @@ def bursts(df: DataFrame, keys: list[str], order: list[str], column: str, gap: i
 def fold(df: DataFrame, keys: list[str], order: list[str], keep: list[str], step: Callable[[Column, Column], Column], column: str, gap: int) -> DataFrame:
     """One row per accepted row; ``step`` must accept every row that is ``gap`` or more after the last accepted one."""
     fields = list(dict.fromkeys([*order, *keep]))
-    grouped = bursts(df, keys, order, column, gap).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-    return grouped.select(*keys, F.explode(greedy(F.col("_rows"), step)).alias("_row")).select(*keys, *[F.col("_row")[f].alias(f) for f in fields])
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order)) - 1
+    runs = bursts(df, keys, order, column, gap).withColumn("_piece", F.floor(place / PIECE))
+    pieces = runs.groupBy(*keys, "_run", "_piece").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    grouped = pieces.groupBy(*keys, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_rows"))), lambda p: p["_rows"]).alias("_pieces"))
+    return grouped.select(*keys, F.explode(greedy(F.col("_pieces"), step)).alias("_row")).select(*keys, *[F.col("_row")[f].alias(f) for f in fields])
 
 
 def spaced(column: str, least: int) -> Callable[[Column, Column], Column]:
