@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.operators import catalog, media, render
+from tracewright.operators import catalog, media, recordings, render, targets
+from tracewright.plans.texts import label_sql
 from tracewright.sources import adapters as a
-from tracewright.sources.tables import table
+from tracewright.sources.tables import fresh, stored, table
 from tracewright.streaming import progress
 
 
@@ -132,13 +134,59 @@ def media_change(spark, sf):
     return f.select("path", "t_ms", "lum", F.round(F.col("change_frac") * 576).cast("long").alias("changed"))
 
 
-def progress_stream(spark, sf):
-    """Latest state of each job from a stream of messages, one a day."""
-    from uuid import uuid4
+#: Side of a square frame of text bytes: 49 pixels, of which no mean ends in an exact half.
+SIDE = 7
+
+
+def media_texts(spark, sf):
+    """The bytes of every turn as frames of a recording, written as files and measured by stretches of three frames."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b")).where(F.length("b") > 0)
+    size = SIDE * SIDE
+    cut = c.select("name", "b", F.explode(F.sequence(F.lit(0), F.floor((F.length("b") - 1) / size))).alias("frame"))
+    pixels = F.rpad(F.substring(F.col("b"), F.col("frame") * size + 1, F.lit(size)), size, F.lit(b"\0"))
+    frames = cut.select("name", "frame", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), pixels.alias("pixels"))
+    paths = stored(recordings.written(frames, fresh(spark, "recordings")), "recordings-paths")
+    m = recordings.sampled(recordings.ranges(paths, 1, 3), 5.0, 5.0)
+    return m.select(F.substring_index("path", "/", -1).alias("name"), "t_ms", "lum", "blur", "score", "change_frac")
+
+
+def targets_recognised(spark, sf):
+    """From pixels to names: recordings that show part names, clicks on them, two engines that read what is shown.
+
+    The first engine fails on every fifth part, the second on every fifteenth too.
+    """
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    place = F.row_number().over(Window.partitionBy(F.col("p_partkey") % 20).orderBy("p_partkey")) - 1
+    shown = p.select("p_partkey", (F.col("p_partkey") % 20).cast("string").alias("name"), place.cast("long").alias("frame"), F.rpad(F.encode("p_name", "UTF-8"), 64, F.lit(b" ")).alias("row"))
+    # A frame: its key in the first row, the name in the second.
+    key = F.rpad(F.encode(F.col("p_partkey").cast("string"), "UTF-8"), 64, F.lit(b" "))
+    frames = shown.select("name", "frame", F.lit(64).alias("width"), F.lit(2).alias("height"), F.concat(key, "row").alias("pixels"))
+    paths = stored(recordings.written(frames, fresh(spark, "recordings")), "recordings-paths")
+    per_task = 50
+    windows = shown.join(paths.select("path", F.substring_index("path", "/", -1).alias("name")), "name").select(
+        F.col("name").alias("job_id"), F.col("p_partkey").cast("string").alias("event_id"), "path", (F.col("frame") * 100).alias("t_ms"), F.lit(20).alias("x"), F.lit(1).alias("y"),
+        F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(64).alias("x1"), F.lit(2).alias("y1")).alias("crop"),
+    )
+
+    def reader(every):
+        def lines(picture):
+            half = picture[::2, ::2] if picture.shape[0] == 4 else picture
+            if int(bytes(half[0]).decode()) % every == 0:
+                raise ValueError("too blurred")
+            return [(bytes(half[1]).decode().strip(), 0.9, 0, 0, 2 * half.shape[1], 4)]
+
+        return lines
+
+    engines = [recordings.Engine("first", reader(5), 1200), recordings.Engine("second", reader(15))]
+    rows = stored(recordings.recognised(windows, recordings.ranges(paths, 1, per_task), 10.0, engines, per_task), "recognised")
+    named = targets.crop_labels(windows, rows.where("failure IS NULL"))
+    failed = rows.where("failure IS NOT NULL").groupBy("event_id").agg(F.count(F.lit(1)).alias("failures"))
+    return windows.join(named, ["job_id", "event_id"], "left").join(failed, "event_id", "left").select("event_id", "t_ms", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("failures", F.lit(0)).alias("failures"))
 
-    from tracewright.sources.tables import shared_folder
 
-    folder = f"{shared_folder(spark)}/progress-{uuid4().hex}"
+def progress_stream(spark, sf):
+    """Latest state of each job from a stream of messages, one a day."""
+    folder = fresh(spark, "progress")
     li = table(spark, sf, "lineitem")
     names = F.array(*map(F.lit, progress.STAGES))
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("l_linenumber") * 20)
@@ -153,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         render_markdown, render_text, repro_html, github_labels, severity, job_list, timeline, revision_head, optimistic_lock, settings_merge,
-        stage_sets, next_stages, upload_admission, media_kind, steps_renumbered, stage_latency, job_details, media_frames, media_change, progress_stream,
+        stage_sets, next_stages, upload_admission, media_kind, steps_renumbered, stage_latency, job_details, media_frames, media_change, media_texts, targets_recognised, progress_stream,
     )
 }
 
@@ -213,6 +261,20 @@ ORACLE_SQL = {
     "job_details": f"""SELECT o_orderkey AS job_id, o_custkey AS video_id, {STAGE_LIST}[o_orderkey % 11 + 1] AS current_stage, round((o_orderkey % 11) / 11.0::DOUBLE, 4) AS progress, coalesce(r.id, -1) AS report_id
       FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS id FROM lineitem GROUP BY 1) r ON r.l_orderkey = o_orderkey""",
     "media_change": """SELECT s_name AS path, t.ms AS t_ms, round((567 * 64 + 9 * 255) / 576.0::DOUBLE, 1) AS lum, t.changed AS changed FROM supplier, (VALUES (0::BIGINT, 0::BIGINT), (200::BIGINT, 18::BIGINT)) AS t(ms, changed)""",
+    "media_texts": """WITH c AS (SELECT conv_id || '-' || turn AS name, hex(encode(text)) AS h FROM conversations WHERE length(text) > 0
+      ), f AS (SELECT name, i, list_transform(range(49), lambda p: CASE WHEN (i * 49 + p) * 2 < length(h) THEN ('0x' || substr(h, (i * 49 + p) * 2 + 1, 2))::BIGINT ELSE 0 END) AS px FROM (SELECT name, h, unnest(range((length(h) // 2 + 48) // 49)) AS i FROM c)
+      ), b AS (SELECT *, lag(px) OVER (PARTITION BY name ORDER BY i) AS prev FROM f
+      ), lap AS (SELECT name, i, var_pop(px[y * 7 + x + 1] * -4 + px[abs(y - 1) * 7 + x + 1] + px[(6 - abs(5 - y)) * 7 + x + 1] + px[y * 7 + abs(x - 1) + 1] + px[y * 7 + (6 - abs(5 - x)) + 1]) AS blur
+        FROM f, range(7) AS ys(y), range(7) AS xs(x) GROUP BY name, i
+      ), bins AS (SELECT name, i, k, len(list_filter(px, lambda v: v // 4 = k)) AS q, len(list_filter(prev, lambda v: v // 4 = k)) AS p FROM b, range(64) AS ks(k) WHERE prev IS NOT NULL
+      ), unit AS (SELECT name, i, p / sqrt(sum(p * p) OVER w) AS p, q / sqrt(sum(q * q) OVER w) AS q FROM bins WINDOW w AS (PARTITION BY name, i)
+      ), hist AS (SELECT name, i, corr(p, q) AS alike FROM unit GROUP BY name, i
+      ), ch AS (SELECT name, i, list_sum(list_transform(range(1, 50), lambda k: (abs(px[k] - prev[k]) > 25)::INT)) / 49.0::DOUBLE AS share FROM b WHERE prev IS NOT NULL)
+      SELECT b.name, (b.i * 200)::BIGINT AS t_ms, round(list_sum(b.px) / 49.0::DOUBLE, 1) AS lum, round(blur, 3) AS blur, round(coalesce(0.6::DOUBLE * greatest(0.0::DOUBLE, 1 - coalesce(alike, 1.0::DOUBLE)) + 0.4::DOUBLE * share, 0.0::DOUBLE), 4) AS score, round(coalesce(share, 0.0::DOUBLE), 4) AS change_frac
+      FROM b JOIN lap USING (name, i) LEFT JOIN hist USING (name, i) LEFT JOIN ch USING (name, i)""",
+    "targets_recognised": f"""WITH src AS (SELECT p_partkey::VARCHAR AS key, p_name AS text FROM part) {label_sql('src', 'lb')}
+      SELECT p_partkey::VARCHAR AS event_id, ((row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) - 1) * 100)::BIGINT AS t_ms, CASE WHEN p_partkey % 15 = 0 THEN '' ELSE label END AS label, (CASE WHEN p_partkey % 15 = 0 THEN 2 WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS failures
+      FROM part JOIN lb ON lb.key = p_partkey::VARCHAR""",
     "progress_stream": f"""WITH m AS (SELECT l_orderkey AS job_id, l_linenumber AS n, min(l_quantity) / 100 AS pct FROM lineitem GROUP BY 1, 2), h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1)
       SELECT {STAGE_LIST}[n] AS stage, CASE WHEN n = 7 THEN 'awaiting_review' ELSE 'running' END AS status, n = 7 AS ended, count(*) AS n, round(sum(pct), 4) AS pct FROM h GROUP BY n""",
     "render_markdown": MD,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -87,22 +89,52 @@ def replace_jobs(df: DataFrame, path: str, buckets: int = 256) -> None:
         met = keyed.select("bucket").distinct()
         stays = old.join(F.broadcast(met), "bucket", "left_semi").join(keyed.select("job_id").distinct(), "job_id", "left_anti")
         # Written aside first: a table cannot be read and overwritten at once.
-        aside = f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}"
-        keyed.unionByName(stays.select(*keyed.columns)).write.parquet(aside)
+        aside = fresh(spark, "replaced")
+        keyed.unionByName(stays.select(*keyed.columns)).write.mode("append").parquet(aside)
         keyed = spark.read.schema(schema).parquet(aside)
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+#: Folders of scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one for intermediate data; it goes with its scope, or else when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate data that is made inside goes at the end: write what is wanted before that, since a lazy result would read it later."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once no later job reads it."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        remove(df.sparkSession, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: for relations that several branches of a query use."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh(df.sparkSession, label)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
