@@ -179,3 +179,28 @@ def test_confidence(spark):
 def test_chronology(spark):
     df = spark.createDataFrame([("j", i, t) for i, t in enumerate([1000, 5000, 3500, 3499, None, 9000])], "job_id string, idx long, t_ms long")
     assert [r["idx"] for r in scoring.violations(df).collect()] == [3]
+
+
+def test_effects_equal_all_pairs(spark):
+    import random
+
+    from tracewright.operators.settings import Settings
+
+    s, draw = Settings(), random.Random(12)
+    rows = []
+    for job in range(5):
+        for seq in range(60 * job):
+            t = draw.randint(0, 60_000)
+            rows.append((f"j{job}", seq, draw.choice(["click", "tap", "form_submit", "navigate", "navigate", "dialog_open", "scroll"]), t, t + draw.choice([0, 50, 400, 1500])))
+    df = spark.createDataFrame(rows, "job_id string, seq int, type string, t_start_ms long, t_end_ms long")
+
+    def effect(r):
+        for a in rows:
+            if a[0] == r[0] and a[2] in steps.ACTIVATIONS:
+                if 0 <= r[3] - a[4] <= s.effect_ms or (r[2] == "navigate" and (abs(r[3] - a[3]) <= s.boundary_ms or abs(r[3] - a[4]) <= s.boundary_ms)):
+                    return True
+        return False
+
+    want = {(r[0], r[1]) for r in rows if r[2] in ("navigate", "dialog_open") and effect(r)}
+    assert {(r["job_id"], r["seq"]) for r in steps.suppressed(df).collect()} == want
+    assert {(r["job_id"], r["seq"]) for r in steps.unsuppressed(df).collect()} == {(r[0], r[1]) for r in rows} - want and 20 < len(want) < 250

@@ -54,6 +54,31 @@ def merged_settings(old, new):
     return F.map_from_entries(pairs)
 
 
+def settings_updated(updates: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Updates (org_id, settings) with 200 and the merged settings, or 404 for an organisation that is not there."""
+    empty = F.create_map().cast("map<string,string>")
+    known = orgs.select("org_id", F.coalesce("settings", empty).alias("_old"), F.lit(True).alias("_known"))
+    out = updates.join(known, "org_id", "left")
+    merged = F.when(F.col("_known"), merged_settings(F.col("_old"), F.coalesce("settings", empty)))
+    return out.select("org_id", F.when(F.col("_known"), 200).otherwise(404).alias("code"), merged.alias("settings"))
+
+
+def projects_created(requests: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers to requests (request_id, org_id, name, created_at): 201 and the project's id, and the projects with the new ones.
+
+    A new project is named by its request, so a batch that runs again makes no second one; names may repeat.
+    """
+    new = requests.select(F.col("request_id").alias("project_id"), "org_id", "name", "created_at")
+    fresh = new.join(projects.select("project_id"), "project_id", "left_anti")
+    answers = new.select(F.col("project_id").alias("request_id"), F.lit(201).alias("code"), "project_id", "name")
+    return answers, projects.select(*new.columns).unionByName(fresh)
+
+
+def project_list(projects: DataFrame) -> DataFrame:
+    """Each organisation's projects as one array, oldest first."""
+    return projects.groupBy("org_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "project_id", "name"))).alias("projects"))
+
+
 def stage_sets(stages: DataFrame) -> DataFrame:
     """Stages done and failed of each job, sorted."""
     names = lambda status: F.array_sort(F.array_compact(F.collect_set(F.when(F.col("status") == status, F.col("stage")))))

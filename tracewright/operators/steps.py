@@ -25,23 +25,24 @@ def post_bug_cut(events: DataFrame, bugs: DataFrame, s: Settings = DEFAULT) -> t
 def _judged(events: DataFrame, s: Settings) -> DataFrame:
     """Events with ``_effect``: a navigation or dialog that an activation of the same recording brought about.
 
-    One recording's events are judged side by side, so there is one exchange.
+    Starts of events and ends of activations are sorted together; each event
+    looks at the last end before it, and at the last and the next start or end
+    of an activation, so no event meets the activations.
     """
-    names = [c for c in events.columns if c != "job_id"]
-    jobs = events.groupBy("job_id").agg(F.collect_list(F.struct(*names)).alias("_rows"))
-    acts = F.transform(F.filter("_rows", lambda r: r["type"].isin(*ACTIVATIONS)), lambda r: F.struct(r["t_start_ms"].alias("start"), r["t_end_ms"].alias("end")))
-    jobs = jobs.withColumn("_acts", acts)
-
-    def effect(r: Column) -> Column:
-        def by(a: Column) -> Column:
-            gap = r["t_start_ms"] - a["end"]
-            same = (r["type"] == "navigate") & ((F.abs(r["t_start_ms"] - a["start"]) <= s.boundary_ms) | (F.abs(gap) <= s.boundary_ms))
-            return gap.between(0, s.effect_ms) | same
-
-        return F.when(r["type"].isin("navigate", "dialog_open"), F.exists("_acts", by)).otherwise(False)
-
-    flagged = F.transform("_rows", lambda r: F.struct(r.alias("r"), effect(r).alias("_effect")))
-    return jobs.select("job_id", F.explode(flagged).alias("f")).select("job_id", "f.r.*", "f._effect").select(*events.columns, "_effect")
+    act = F.col("type").isin(*ACTIVATIONS)
+
+    def point(time: str, own: bool) -> Column:
+        return F.struct(F.col(time).alias("t"), F.lit(own).alias("own"), act.alias("act"))
+
+    points = events.withColumn("_p", F.explode(F.when(act, F.array(point("t_start_ms", True), point("t_end_ms", False))).otherwise(F.array(point("t_start_ms", True)))))
+    t = F.col("_p.t")
+    upto = lambda order: Window.partitionBy("job_id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    of_act = F.when(F.col("_p.act"), t)
+    seen = points.withColumn("_end", F.max(F.when(~F.col("_p.own"), t)).over(upto(t))).withColumn("_before", F.max(of_act).over(upto(t))).withColumn("_after", F.min(of_act).over(upto(t.desc())))
+    near = lambda gap, most: F.coalesce(gap <= most, F.lit(False))
+    same = (F.col("type") == "navigate") & (near(t - F.col("_before"), s.boundary_ms) | near(F.col("_after") - t, s.boundary_ms))
+    effect = F.col("type").isin("navigate", "dialog_open") & (near(t - F.col("_end"), s.effect_ms) | same)
+    return seen.where("_p.own").select(*events.columns, effect.alias("_effect"))
 
 
 def suppressed(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -29,6 +29,44 @@ def github_labels(spark, sf):
     return r
 
 
+def issue_payloads(spark, sf):
+    """Issues as JSON, read back."""
+    r = a.reports(spark, sf).select("job_id", render.issue_payload().alias("p"))
+    labels = F.from_json(F.get_json_object("p", "$.labels"), "array<string>")
+    return r.select("job_id", F.get_json_object("p", "$.title").alias("title"), F.md5(F.get_json_object("p", "$.body").cast("binary")).alias("body_md5"), F.array_join(labels, ",").alias("labels"))
+
+
+def ticket_patches(spark, sf):
+    """Work items as JSON patches, read back; some organisations have not set all that is asked for."""
+    k = F.col("job_id")
+    fields = render.ticket_fields(F.when(k % 2 == 0, "Web\\Shop"), F.when(k % 3 == 0, ""))
+    token = render.setting(F.when(k % 4 == 0, ""), F.when(k % 5 != 0, "t"))
+    r = a.reports(spark, sf).select("job_id", render.ticket_code(F.lit("org"), render.setting(F.lit(None).cast("string"), F.lit("p")), token).alias("code"), render.ticket_patch(fields).alias("p"))
+    ops = F.from_json("p", "array<struct<op:string,path:string,value:string>>")
+    values = F.map_from_entries(F.transform(ops, lambda o: F.struct(F.substring_index(o["path"], "/", -1), o["value"])))
+    v = lambda name: F.coalesce(F.element_at("v", name), F.lit(""))
+    back = r.select("job_id", "code", F.array_join(F.array_distinct(F.transform(ops, lambda o: o["op"])), ",").alias("ops"), values.alias("v"))
+    return back.select("job_id", "code", "ops", F.size("v").cast("long").alias("n"), v("System.Title").alias("title"), F.md5(v("Microsoft.VSTS.TCM.ReproSteps").cast("binary")).alias("steps_md5"), v("Microsoft.VSTS.Common.Severity").alias("severity"), v("System.Tags").alias("tags"), v("System.AreaPath").alias("area"))
+
+
+def settings_updated(spark, sf):
+    """Settings of organisations that exist, merged; others are told so."""
+    c = table(spark, sf, "customer")
+    orgs = c.where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("org_id"), F.when(F.col("c_custkey") % 4 != 0, F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("tier"), F.lit("base"))).alias("settings"))
+    updates = c.select(F.col("c_custkey").alias("org_id"), F.when(F.col("c_custkey") % 5 != 0, F.create_map(F.lit("tier"), F.lit("gold"))).alias("settings"))
+    got = catalog.settings_updated(updates, orgs)
+    at = lambda k: F.coalesce(F.try_element_at("settings", F.lit(k)), F.lit(""))
+    return got.select("org_id", "code", at("segment").alias("segment"), at("tier").alias("tier"))
+
+
+def projects_listed(spark, sf):
+    """Projects of each nation: some there already, some created by this batch, some of them for the second time."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_nationkey").alias("org_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).alias("created_at"))
+    there = s.where("request_id % 3 = 0").withColumnRenamed("request_id", "project_id")
+    _, after = catalog.projects_created(s.where("request_id % 2 = 0"), there)
+    return catalog.project_list(after).select("org_id", F.array_join(F.transform("projects", lambda p: p["name"]), ",").alias("projects"))
+
+
 def severity(spark, sf):
     return a.reports(spark, sf).groupBy(render.severity(F.col("bug_type")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -200,7 +238,7 @@ def progress_stream(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        render_markdown, render_text, repro_html, github_labels, severity, job_list, timeline, revision_head, optimistic_lock, settings_merge,
+        render_markdown, render_text, repro_html, github_labels, issue_payloads, ticket_patches, settings_updated, projects_listed, severity, job_list, timeline, revision_head, optimistic_lock, settings_merge,
         stage_sets, next_stages, upload_admission, media_kind, steps_renumbered, stage_latency, job_details, media_frames, media_change, media_texts, targets_recognised, progress_stream,
     )
 }
@@ -281,6 +319,12 @@ ORACLE_SQL = {
     "render_text": TXT,
     "repro_html": HTML,
     "github_labels": f"WITH {REPORT} SELECT job_id, 'bug,recording:' || bug_type || CASE WHEN conf < 0.6 THEN ',needs-verification' ELSE '' END AS labels FROM rep",
+    "issue_payloads": f"""WITH m AS ({MD}), {REPORT} SELECT rep.job_id, title, md5(m.body) AS body_md5, 'bug,recording:' || bug_type || CASE WHEN conf < 0.6 THEN ',needs-verification' ELSE '' END AS labels FROM rep JOIN m ON m.job_id = rep.job_id""",
+    "ticket_patches": f"""WITH m AS ({HTML}), {REPORT} SELECT rep.job_id, CASE WHEN rep.job_id % 5 = 0 THEN 400 ELSE 201 END::INT AS code, 'add' AS ops, (4 + (rep.job_id % 2 = 0)::INT)::BIGINT AS n, title, md5(m.body) AS steps_md5,
+      CASE bug_type WHEN 'crash' THEN '1 - Critical' WHEN 'functional' THEN '2 - High' ELSE '3 - Medium' END AS severity, 'recording; ' || bug_type AS tags, CASE WHEN rep.job_id % 2 = 0 THEN 'Web\\Shop' ELSE '' END AS area FROM rep JOIN m ON m.job_id = rep.job_id""",
+    "settings_updated": """SELECT c_custkey AS org_id, CASE WHEN c_custkey % 6 = 0 THEN 404 ELSE 200 END::INT AS code, CASE WHEN c_custkey % 6 <> 0 AND c_custkey % 4 <> 0 THEN c_mktsegment ELSE '' END AS segment,
+      CASE WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 5 <> 0 THEN 'gold' WHEN c_custkey % 4 <> 0 THEN 'base' ELSE '' END AS tier FROM customer""",
+    "projects_listed": """SELECT s_nationkey AS org_id, string_agg(s_name, ',' ORDER BY s_suppkey % 7, s_suppkey) AS projects FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0 GROUP BY 1""",
     "severity": f"WITH {REPORT} SELECT CASE bug_type WHEN 'crash' THEN '1 - Critical' WHEN 'functional' THEN '2 - High' ELSE '3 - Medium' END AS severity, count(*) AS n FROM rep GROUP BY 1",
     "job_list": """SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'awaiting_review' ELSE 'failed' END AS status, c_name AS filename, coalesce(r.report_id, -1) AS report_id
       FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS report_id FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) r ON r.l_orderkey = o_orderkey""",
