@@ -577,3 +577,24 @@ def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark):
     none = toxicity.scored(d, labels.where("toxic = 0")).select("score").distinct().collect()
     assert [r[0] for r in one] == [1.0] and [r[0] for r in none] == [0.0]
     assert rows_of(max_rows=1) <= 40 and rows_of(max_bytes=400) <= 120
+
+
+def test_mix_of_rows_that_repeat_more_than_a_lot(spark, monkeypatch):
+    rows = [(1, "one two three", "a")] * 23 + [(2, "four five", "a")] * 2 + [(3, "six", "b")]
+    want = sorted(tuple(r) for r in mixing.report(docs(spark, rows)).collect())
+    mix = sorted(tuple(r) for r in mixing.sampled(docs(spark, rows)).select("doc_id", "text").collect())
+    monkeypatch.setattr(mixing, "LOT", 4)
+    assert sorted(tuple(r) for r in mixing.report(docs(spark, rows)).collect()) == want and len(want) == 26
+    assert sorted(tuple(r) for r in mixing.sampled(docs(spark, rows)).select("doc_id", "text").collect()) == mix
+    assert sum(r[4] for r in want) == sum(len(t.split()) for _, t in mix)
+
+
+def test_links_keep_cells_of_neighbouring_buckets_apart(spark):
+    values = [0, 1, 3, 1 << 40, (1 << 40) | 1, -1, -2, 77]
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    for block in (2, 16_384):
+        rooted = components.roots(simhash.links(distinct, len(values), 4, block=block)).collect()
+        groups = {}
+        for r in rooted:
+            groups.setdefault(r["root"], set()).add(r["node"])
+        assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(values) - {-1, -2}, frozenset({-1, -2})}

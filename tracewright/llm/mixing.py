@@ -56,11 +56,29 @@ def fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(level), max_epochs * F.col("source_size")))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 5) -> DataFrame:
+#: Equal rows, or copies of one, that are made from one row at once.
+LOT = 100_000
+
+
+def _each(df: DataFrame, name: str, count: str, most: int, by: str) -> DataFrame:
+    """A row for each number ``name`` from 0 to ``count`` - 1; where one row makes more than a lot, lots are dealt out by ``by`` first."""
+    lots = df.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / LOT))))
+    if most > LOT:
+        lots = lots.repartition(by, "_lot")
+    numbers = F.sequence(F.col("_lot") * LOT, F.least(F.col(count), (F.col("_lot") + 1) * LOT) - 1)
+    return lots.withColumn(name, F.explode(numbers)).drop("_lot")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    return _mixed(docs, **options)[0]
+
+
+def _mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 5) -> tuple[DataFrame, int]:
     """Per distinct row: doc_id, source, row (its identity), n (equal rows), size, source_size, target, whole, part, j.
 
     Of the ``n`` equal rows number i takes ``whole`` copies and one more if the
     counter passes a whole number between j + i and j + i + 1 times ``part``.
+    Also the most equal rows, or copies of them, that one row stands for.
     """
     packed = columns.pack(docs, ["doc_id", "source", "text"])
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
@@ -90,7 +108,9 @@ def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights:
     # The source table is as small as the list of source names; let its size decide on a broadcast.
     joined = placed.join(targets.select("known", "source", "source_size", "target"), ["known", "source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.select("doc_id", F.when(F.col("known"), F.col("source")).alias("source"), "row", "n", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), (F.col("number") + F.col("first")).alias("j"))
+    most = rows.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    placed = joined.select("doc_id", F.when(F.col("known"), F.col("source")).alias("source"), "row", "n", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), (F.col("number") + F.col("first")).alias("j"))
+    return placed, most * math.ceil(max_epochs)
 
 
 def _passed(upto: Column, start: Column) -> Column:
@@ -100,7 +120,8 @@ def _passed(upto: Column, start: Column) -> Column:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken words."""
-    each = mixed(docs, **options).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows, most = _mixed(docs, **options)
+    each = _each(rows, "i", "n", most, "row")
     copies = F.col("whole") + _passed(F.col("j") + F.col("i") + 1, F.col("j") + F.col("i"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
@@ -109,11 +130,11 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
     used = ["doc_id", "source", "text"]
     copies = F.col("n") * F.col("whole") + _passed(F.col("j") + F.col("n"), F.col("j"))
-    taken = mixed(docs, **options).select(F.col("row").alias("_row"), copies.cast("long").alias("_copies")).where("_copies > 0")
+    mix, most = _mixed(docs, **options)
+    taken = mix.select(F.col("row").alias("_row"), copies.cast("long").alias("_copies")).where("_copies > 0")
     # Rows equal in all columns are one row here, with the copies of all of them.
     rows = columns.pack(docs, used).withColumn("_row", columns.identity("doc_id", "source", "text", columns.OTHERS)).dropDuplicates(["_row"]).join(taken, "_row")
-    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return columns.unpack(copied, docs.columns, used)
+    return columns.unpack(_each(rows, "_copy", "_copies", most, "_row"), docs.columns, used)
 
 
 ORACLE = r"""

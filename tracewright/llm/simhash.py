@@ -242,7 +242,9 @@ def links(distinct: DataFrame, count: int, radius: int = 4, segments: int | None
 
         def solve(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
-                a, b = bucket_links(*rows, radius)
+                bucket, cell, *rest = rows
+                new = (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])
+                a, b = bucket_links(np.concatenate([[0], np.cumsum(new)]), *rest, radius)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -250,12 +252,10 @@ def links(distinct: DataFrame, count: int, radius: int = 4, segments: int | None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, cell, *rest = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            # One number for bucket and cell: only whether neighbours differ counts.
-            rows = (bucket * np.int64(1_000_003) + cell, *rest)
-            last = np.flatnonzero(rows[0] != rows[0][-1])
+            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if cut == 0 and held and held[-1][0][-1] == rows[0][0]:
+            if cut == 0 and held and all(held[-1][c][-1] == rows[c][0] for c in (0, 1)):
                 held.append(rows)  # the bucket goes on
                 continue
             done = [*held, tuple(c[:cut] for c in rows)]
