@@ -596,5 +596,5 @@ def test_links_keep_cells_of_neighbouring_buckets_apart(spark):
         rooted = components.roots(simhash.links(distinct, len(values), 4, block=block)).collect()
         groups = {}
         for r in rooted:
-            groups.setdefault(r["root"], set()).add(r["node"])
+            groups.setdefault(r["root"], {r["root"]}).add(r["node"])
         assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(values) - {-1, -2}, frozenset({-1, -2})}
