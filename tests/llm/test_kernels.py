@@ -286,6 +286,13 @@ def test_classifier_learns_and_is_sparse():
     assert right >= 117 and len(numbers) < 2000
 
 
+def test_lists_are_packed_into_shelves():
+    first, span = ivfpq.pack(np.array([3, 4, 0, 25, 2, 8, 5]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and span.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    row, shelf, lists = ivfpq.addressed(np.array([[3, 1], [4, 5]], np.int32), first, span)
+    assert list(zip(row.tolist(), shelf.tolist(), [v.tolist() for v in lists])) == [(0, 0, [1]), (0, 1, [3]), (0, 2, [3]), (0, 3, [3]), (1, 4, [4, 5])]
+
+
 def test_index_recall_against_brute_force():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
@@ -297,13 +304,22 @@ def test_index_recall_against_brute_force():
     queries = np.arange(0, 3000, 100)
     visits = index.visits(x[queries], 13)
     hits = total = 0
-    for q, lists in zip(queries, visits):
-        found = []
-        for n in lists:
-            m = np.flatnonzero(place == n)
-            if len(m):
-                got = ivfpq.search_block(index, n, m, x[m], codes[m], np.array([q]), x[[q]], 20, s.rerank)
-                found += list(zip(-got[2], got[1]))
+    first, span = ivfpq.pack(np.bincount(place, minlength=14), 400)
+    shelf_of = first[place] + np.arange(3000) % span[place]
+    found_by = {q: [] for q in queries}
+    row, shelf, lists = ivfpq.addressed(visits, first, span)
+    assert len(set(zip(row.tolist(), shelf.tolist()))) == len(row)
+    for n in np.unique(shelf):
+        m = np.flatnonzero(shelf_of == n)
+        assert len(m) <= 400
+        m = m[np.argsort(place[m], kind="stable")]
+        asks = np.flatnonzero(shelf == n)
+        held = ivfpq.Shelf(index, place[m], m, x[m], codes[m])
+        for q, i, score in zip(*held.search(queries[row[asks]], x[queries[row[asks]]], [lists[a] for a in asks], 20, s.rerank)):
+            found_by[q].append((-score, i))
+            assert place[i] in visits[list(queries).index(q)]
+    for q in queries:
+        found = found_by[q]
         exact = x.astype(np.float64) @ x[q].astype(np.float64)
         exact[q] = -9
         bar = np.sort(exact)[-20]

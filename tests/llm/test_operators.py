@@ -534,12 +534,12 @@ def test_search_in_double_precision(spark):
     assert hits >= 0.9 * len({(r["query_id"], r["vec_id"]) for r in got})
 
 
-def test_blocks_and_batches_do_not_change_a_search(spark):
+def test_shelves_do_not_change_a_search(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     whole = ivfpq.search(df, lambda i: i % 5 == 0, settings=ivfpq.Settings(reach=1.0)).collect()
-    dealt = ivfpq.search(df, lambda i: i % 5 == 0, settings=ivfpq.Settings(reach=1.0, block=16)).collect()
+    dealt = ivfpq.search(df, lambda i: i % 5 == 0, settings=ivfpq.Settings(reach=1.0, shelf_bytes=16 * 8 * 4)).collect()
     assert sorted(whole) == sorted(dealt) and len(whole) == 60 * 20
 
 

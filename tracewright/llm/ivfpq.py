@@ -4,16 +4,20 @@ Coarse centroids split the vectors into lists; what a centroid leaves of a
 vector is cut into short pieces, each stored as one byte.  A query visits the
 lists whose centroids promise the largest inner products, sums one table look-up
 per byte (asymmetric distances: the query itself stays exact) and reranks the
-best candidates of every block by the original vectors in double precision.
+best candidates of every shelf by the original vectors in double precision.
 
 The quantisers are fitted on at most ``sample`` vectors, those with the smallest
 seeded hash of their id; every vector is then indexed.  The number of lists grows
 with the square root of the vectors, the sample with the lists.  How many lists a
 query visits is measured: as many as hold ``reach`` of the true neighbours among
-the sample's own vectors.  Lists are dealt out in blocks of about ``block``
-vectors, and queries stream past a block in batches, so neither a list that
-holds a third of all vectors nor very many queries are ever held at once, and no
-vector is stored in more than one place.
+the sample's own vectors.  Lists are packed into shelves: ``shelves`` of them,
+more where one would exceed ``shelf_bytes`` of vectors; a list that is larger is
+dealt over several.  A query is sent to a shelf once, with the numbers of the
+lists it visits there, however many they are, and queries stream past a shelf in
+batches.  So neither a list that holds a third of all vectors nor very many
+queries are ever held at once, no vector is stored in more than one place, and
+what the queries move is at most ``shelves`` vectors each until the shelves are
+full.
 
 Edge cases: rows without id and vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part; components beyond
@@ -46,9 +50,11 @@ class Settings:
     piece: int = 4
     #: Share of true neighbours, measured on the sample, that the visited lists hold.
     reach: float = 0.98
-    #: Candidates of a block that are reranked.
+    #: Candidates of a shelf that are reranked.
     rerank: int = 256
-    block: int = 4_096
+    #: Shelves that the lists are packed into, and the most that one may hold.
+    shelves: int = 32
+    shelf_bytes: int = 64 << 20
     rounds: int = 6
     seed: int = 3
 
@@ -127,36 +133,88 @@ def visits_for(index: Index, sample: np.ndarray, k: int, reach: float, most: int
     return int(met[min(len(met) - 1, math.ceil(reach * len(met)))]) + 1
 
 
-def search_block(index: Index, place: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best of one block; ``ids`` ascend."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    exact = vectors.astype(np.float64)
-    step = max(1, 4_000_000 // max(1, len(ids)))
-    columns = [np.ascontiguousarray(codes[:, m]) for m in range(codes.shape[1])]
-    for a in range(0, len(queries), step):
-        asked = queries[a : a + step].astype(np.float64)
-        part = clamped(asked)
-        tables = index.tables(part)
-        score = np.repeat((part @ index.centroids[place])[:, None], len(ids), 1)
-        for m, column in enumerate(columns):
-            score += tables[:, m, :].take(column, axis=1)
-        for q in range(len(part)):
-            own = ids == query_ids[a + q]
-            row = np.where(own, -np.inf, score[q])
-            few = min(rerank, len(ids) - int(own.sum()))
-            if few <= 0:
-                continue
-            bar = -np.partition(-row, few - 1)[few - 1]
-            sure = np.flatnonzero(row > bar)
-            ties = np.flatnonzero(row == bar)[: few - len(sure)]
-            best = np.concatenate([sure, ties])
-            with np.errstate(over="ignore", invalid="ignore"):
-                got = (exact[best] * asked[q]).sum(1)
-            order = np.lexsort((ids[best], -got))[:k]
-            out.append((np.full(len(order), query_ids[a + q]), ids[best[order]], got[order]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
+def pack(counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shelf and number of shelves of every list, by its count: small lists share a shelf, large ones fill several."""
+    first, span, shelf, used = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if used and used + n > room:
+            shelf, used = shelf + 1, 0
+        first[i], span[i] = shelf, max(1, -(-n // room))
+        if span[i] > 1:
+            shelf, used = shelf + int(span[i]), 0
+        else:
+            used += n
+    return first, span
+
+
+def addressed(to: np.ndarray, first: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows of ``to`` (visited lists of each query) as (query, shelf, its lists there)."""
+    row = np.repeat(np.arange(len(to)), to.shape[1])
+    lists = to.ravel()
+    times = span[lists]
+    row, lists, start = np.repeat(row, times), np.repeat(lists, times), np.repeat(first[lists], times)
+    shelf = start + np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
+    order = np.lexsort((lists, shelf, row))
+    row, shelf, lists = row[order], shelf[order], lists[order]
+    cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return row[cut], shelf[cut], np.split(lists, cut[1:])
+
+
+LEAST = np.finfo(np.float32).min
+
+
+@dataclass
+class Shelf:
+    """Entries by list and id, and where each list starts."""
+
+    index: Index
+    lists: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    codes: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.cuts = np.flatnonzero(np.r_[True, self.lists[1:] != self.lists[:-1], True])
+        self.columns = np.ascontiguousarray(self.codes.T)
+
+    def scores(self, queries: np.ndarray, visited: list[np.ndarray]) -> np.ndarray:
+        """(queries, entries) by centroid and look-up; minus infinity in lists that a query does not visit."""
+        score = np.full((len(queries), len(self.ids)), -np.inf, np.float32)
+        tables = self.index.tables(queries)
+        owner, asked = np.repeat(np.arange(len(queries)), [len(v) for v in visited]), np.concatenate(visited)
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            place = self.lists[a]
+            who = owner[asked == place]
+            if len(who):
+                part = np.repeat((queries[who] @ self.index.centroids[place])[:, None], b - a, 1)
+                for m, column in enumerate(self.columns):
+                    part += tables[who, m].take(column[a:b], axis=1)
+                score[who, a:b] = np.fmax(part, LEAST)  # sums that overflow still count as visited
+        return score
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, visited: list[np.ndarray], k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the best of the visited lists, each query's own id left out."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, 4_000_000 // max(1, len(self.ids)))
+        for a in range(0, len(queries), step):
+            asked = queries[a : a + step].astype(np.float64)
+            for q, row in enumerate(self.scores(clamped(asked), visited[a : a + step])):
+                row[self.ids == query_ids[a + q]] = -np.inf
+                few = min(rerank, int(np.count_nonzero(row > -np.inf)))
+                if not few:
+                    continue
+                bar = -np.partition(-row, few - 1)[few - 1]
+                sure = np.flatnonzero(row > bar)
+                ties = np.flatnonzero(row == bar)
+                ties = ties[np.argsort(self.ids[ties], kind="stable")][: few - len(sure)]
+                best = np.concatenate([sure, ties])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    got = (self.vectors[best].astype(np.float64) * asked[q]).sum(1)
+                order = np.lexsort((self.ids[best], -got))[:k]
+                out.append((np.full(len(order), query_ids[a + q]), self.ids[best[order]], got[order]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def clamped(x: np.ndarray) -> np.ndarray:
@@ -205,23 +263,29 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: st
                 place, codes = index.value.assign(clamped(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "list", "x", "code"])
 
+    entries = scratch.store(rows.mapInArrow(enter, "id long, list int, x binary, code binary"), "ivf-entries")
+    # One row per list, of which there are at most an eighth of the sample.
+    counts = np.zeros(lists, np.int64)
+    for row in entries.groupBy("list").count().collect():
+        counts[row["list"]] = row["count"]
+    room = max(1, min(-(-n // s.shelves), s.shelf_bytes // wide.itemsize // points.shape[1]))
+    first, span = pack(counts, room)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = vectors(batch)
-                to = index.value.visits(clamped(x), visits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), to.shape[1])), pa.array(to.ravel()), pa.array([r.tobytes() for r, t in zip(x, to) for _ in t], pa.binary())], names=["id", "list", "x"])
+                row, shelf, to = addressed(index.value.visits(clamped(x), visits), first, span)
+                held = [r.tobytes() for r in x]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(shelf.astype(np.int32)), pa.array([held[r] for r in row], pa.binary()), pa.array([v.astype(np.int32).tobytes() for v in to], pa.binary())], names=["id", "shelf", "x", "code"])
 
-    entries = scratch.store(rows.mapInArrow(enter, "id long, list int, x binary, code binary"), "ivf-entries")
-    # One row per list: how many blocks it is dealt out in.
-    blocks = entries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
-    dealt = entries.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("int"))
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "id long, list int, x binary")
-    queries = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("code", F.lit(None).cast("binary"))
+    places = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "first": first, "span": span}))
+    dealt = entries.join(F.broadcast(places), "list").withColumn("shelf", F.col("first") + F.pmod(F.xxhash64("id", "x"), F.col("span")).cast("int"))
+    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "id long, shelf int, x binary, code binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries of a block come first and are held; its queries stream past them."""
-        at, held, block = None, [], None
+        """Entries of a shelf (with their list) come first and are held; its queries (with none) stream past them."""
+        at, held, shelf = None, [], None
 
         def matrix(column: pa.Array, dtype) -> np.ndarray:
             return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
@@ -229,28 +293,30 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: st
         for batch in batches:
             if not batch.num_rows:
                 continue
-            where = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)], 1)
+            where = np.stack([batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)], 1)
             cuts = [0, *(np.flatnonzero((np.diff(where, axis=0) != 0).any(1)) + 1).tolist(), len(where)]
             for a, b in zip(cuts, cuts[1:]):
-                if (key := tuple(where[a, :2])) != at:
-                    at, held, block = key, [], None
+                if where[a, 0] != at:
+                    at, held, shelf = where[a, 0], [], None
                 part = batch.slice(a, b - a)
-                if not where[a, 2]:
+                if not where[a, 1]:
                     held.append(part)
                     continue
-                if not held:
-                    continue
-                if block is None:
-                    block = pa.Table.from_batches(held).combine_chunks().sort_by("id")
-                    ids = block["id"].to_numpy()
-                    own = matrix(block["x"], kind)
-                    codes = matrix(block["code"], np.uint8)
-                got = search_block(index.value, int(at[0]), ids, own, codes, part.column(3).to_numpy(), matrix(part.column(4), kind), k, s.rerank)
+                if shelf is None:
+                    if not held:
+                        continue
+                    table = pa.Table.from_batches(held).combine_chunks().sort_by([("list", "ascending"), ("id", "ascending")])
+                    shelf, held = Shelf(index.value, table["list"].to_numpy(), table["id"].to_numpy(), matrix(table["x"], kind), matrix(table["code"], np.uint8)), []
+                    del table
+                visited = [np.frombuffer(v, np.int32) for v in part.column(4).to_pylist()]
+                got = shelf.search(part.column(2).to_numpy(), matrix(part.column(3), kind), visited, k, s.rerank)
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "id", "score"])
 
-    both = dealt.select("list", "block", F.lit(False).alias("asks"), "id", "x", "code").unionByName(queries.select("list", "block", F.lit(True).alias("asks"), "id", "x", "code"))
-    found = both.repartition("list", "block").sortWithinPartitions("list", "block", "asks").mapInArrow(solve, out)
+    names = ["shelf", "list", "id", "x", "code"]
+    both = dealt.select(*names).unionByName(queries.withColumn("list", F.lit(None).cast("int")).select(*names))
+    total = int((first + span).max())
+    found = both.repartitionById(total, F.col("shelf")).sortWithinPartitions("shelf", F.col("list").isNull()).mapInArrow(solve, out)
     # Sums that overflow both ways are no number and come last.
     best = Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
