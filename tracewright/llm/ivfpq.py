@@ -10,9 +10,9 @@ The quantisers are fitted on at most ``sample`` vectors, those with the smallest
 seeded hash of their id; every vector is then indexed.  The number of lists grows
 with the square root of the vectors, the sample with the lists.  How many lists a
 query visits is measured: as many as hold ``reach`` of the true neighbours among
-the sample's own vectors.  Lists are packed into shelves: ``shelves`` of them,
-more where one would exceed ``shelf_bytes`` of vectors; a list that is larger is
-dealt over several.  A query is sent to a shelf once, with the numbers of the
+the sample's own vectors.  Lists are laid end to end and cut into shelves, about
+``shelves`` of them, more where one would exceed ``shelf_bytes`` of vectors; which
+of its shelves an entry is on, its hash says.  A query is sent to a shelf once, with the numbers of the
 lists it visits there, however many they are, and queries stream past a shelf in
 batches.  So neither a list that holds a third of all vectors nor very many
 queries are ever held at once, no vector is stored in more than one place, and
@@ -54,7 +54,7 @@ class Settings:
     rerank: int = 256
     #: Shelves that the lists are packed into, and the most that one may hold.
     shelves: int = 32
-    shelf_bytes: int = 64 << 20
+    shelf_bytes: int = 32 << 20
     rounds: int = 6
     seed: int = 3
 
@@ -133,18 +133,16 @@ def visits_for(index: Index, sample: np.ndarray, k: int, reach: float, most: int
     return int(met[min(len(met) - 1, math.ceil(reach * len(met)))]) + 1
 
 
-def pack(counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """First shelf and number of shelves of every list, by its count: small lists share a shelf, large ones fill several."""
-    first, span, shelf, used = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
-    for i, n in enumerate(counts.tolist()):
-        if used and used + n > room:
-            shelf, used = shelf + 1, 0
-        first[i], span[i] = shelf, max(1, -(-n // room))
-        if span[i] > 1:
-            shelf, used = shelf + int(span[i]), 0
-        else:
-            used += n
-    return first, span
+#: Parts of a list that its entries' hashes tell apart.
+PARTS = 2.0**31
+
+
+def pack(counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists laid end to end and cut every ``room`` entries: where each starts, its first shelf and its number of shelves."""
+    start = np.cumsum(counts) - counts
+    first = start // room
+    last = np.floor((start + counts * ((PARTS - 1) / PARTS)) / room).astype(np.int64)
+    return start, first.astype(np.int32), (last - first + 1).astype(np.int32)
 
 
 def addressed(to: np.ndarray, first: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -269,7 +267,7 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: st
     for row in entries.groupBy("list").count().collect():
         counts[row["list"]] = row["count"]
     room = max(1, min(-(-n // s.shelves), s.shelf_bytes // wide.itemsize // points.shape[1]))
-    first, span = pack(counts, room)
+    start, first, span = pack(counts, room)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,8 +277,9 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: st
                 held = [r.tobytes() for r in x]
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(shelf.astype(np.int32)), pa.array([held[r] for r in row], pa.binary()), pa.array([v.astype(np.int32).tobytes() for v in to], pa.binary())], names=["id", "shelf", "x", "code"])
 
-    places = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "first": first, "span": span}))
-    dealt = entries.join(F.broadcast(places), "list").withColumn("shelf", F.col("first") + F.pmod(F.xxhash64("id", "x"), F.col("span")).cast("int"))
+    places = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "start": start, "n": counts}))
+    part = F.pmod(F.xxhash64("id", "x"), F.lit(int(PARTS))) / F.lit(PARTS)
+    dealt = entries.join(F.broadcast(places), "list").withColumn("shelf", F.floor((F.col("start") + F.col("n") * part) / F.lit(float(room))).cast("int"))
     queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "id long, shelf int, x binary, code binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
