@@ -8,7 +8,8 @@ Every pair of a bucket ends up in one component, is ruled out by a bound, or
 fails the exact check.  The bound: shingles that no other text has (``own``) are
 shared with nobody, so of sizes x and y at most m = min(x - own_x, y - own_y)
 are shared and the similarity is at most m / (x + y - m).  Pairs of which too few
-minima agree in two bits (``LEAST_ALIKE``) are ruled out as well.
+minima agree in two bits (``least_alike``) are ruled out as well, unless that is
+turned off.
 
 A bucket does not give all its pairs at once.  First the member that meets most
 others (over all bands: the middle of a group of copies) is compared with all;
@@ -23,6 +24,7 @@ count, so no bucket is sorted or held as a whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -63,8 +65,13 @@ def bands(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-#: Minima of which two bits must agree, at least, for a similarity of 0.8: five deviations below the expected 163 of 192 (missed: one pair in a million).
-LEAST_ALIKE = 138
+def least_alike(similar: float, deviations: float) -> int:
+    """Minima of which two bits must agree, at least: so many standard deviations below what ``similar`` leads to expect.
+
+    Five deviations miss one pair in a million that is just as similar: 138 of 192 at 0.8.
+    """
+    share = similar + (1 - similar) / 4
+    return math.floor(BANDS * ROWS * share - deviations * math.sqrt(BANDS * ROWS * share * (1 - share)))
 
 
 def planes(least: np.ndarray) -> np.ndarray:
@@ -105,13 +112,15 @@ def own_counts(sets: DataFrame) -> DataFrame:
     return sets.select("node", (F.length("set") / 8).cast("long").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def links(placed: DataFrame, sets: DataFrame, first: DataFrame, check, similar: float, sketches: DataFrame | None = None) -> DataFrame:
+def links(placed: DataFrame, sets: DataFrame, first: DataFrame, check, similar: float, sketches: DataFrame | None = None, deviations: float | None = 5.0) -> DataFrame:
     """(a, b) of verified links that join all pairs of buckets that ``check`` accepts.
 
     ``placed`` is what ``members`` gives, ``sets`` has a shingle set (node, set)
     of every member, ``first`` are further pairs to try, ``check`` takes pairs
-    (a, b), each once, and ``sketches`` has the planes (node, planes) of members.
+    (a, b), each once, and ``sketches`` has the planes (node, planes) of members,
+    by which pairs are left out unless ``deviations`` is None.
     """
+    sketches = None if deviations is None else sketches
     meets = placed.groupBy("node").agg(F.sum("n").alias("meets"))
     sizes = own_counts(sets).join(meets, "node")
     if sketches is not None:
@@ -132,8 +141,8 @@ def links(placed: DataFrame, sets: DataFrame, first: DataFrame, check, similar:
         hub = hubs.select("bucket", F.struct("r", "node").alias("at"), F.col("node").alias("a"), F.col("size").alias("s"), F.col("own").alias("o"), *[F.col(c).alias("p") for c in sketch], *([F.col("root").alias("at_root")] if turns else []))
         most = F.least(F.col("s") - F.col("o"), F.col("size") - F.col("own"))
         near = most >= similar * (F.col("s") + F.col("size") - most)
-        if sketch and similar >= 0.8:
-            near = near & (alike("p", "planes") >= LEAST_ALIKE)
+        if sketch:
+            near = near & (alike("p", "planes") >= least_alike(similar, deviations))
         pairs = open_.join(hub, "bucket").where(ahead & near)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.store(pairs, "band-pairs")

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,13 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, left, bytes_left = [], {0: settings.max_rows, 1: settings.max_rows}, {0: settings.max_bytes, 1: settings.max_bytes}
-        before = None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 _, y, f = row
-                if row == before or not left[y]:
-                    continue  # the same key and text once more, or enough
-                before, left[y], bytes_left[y] = row, left[y] - 1, bytes_left[y] - len(f)
+                if not left[y]:
+                    continue  # enough
+                left[y], bytes_left[y] = left[y] - 1, bytes_left[y] - len(f)
                 if bytes_left[y] >= 0:
                     rows.append((np.frombuffer(f, np.uint32), y))
                 else:
@@ -179,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
             i, w, bias = fit(rows, settings)
         yield pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias]), pa.array([len(rows)])], names=schema.names)
 
-    hashed = sample.mapInArrow(featurize, "_h long, _y int, f binary").repartition(1).sortWithinPartitions("_h", "_y", "f")
+    # A key may have any number of rows: equal ones go, and no more than are learnt leave their tasks.
+    first = Window.partitionBy("_y").orderBy("_h", "f")
+    hashed = sample.mapInArrow(featurize, "_h long, _y int, f binary").distinct()
+    hashed = hashed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= settings.max_rows).drop("_n")
+    hashed = hashed.repartition(1).sortWithinPartitions("_h", "_y", "f")
     got = hashed.mapInArrow(learn_all, schema).first()
     if got is None:  # nothing to learn from
         return np.zeros(0, np.uint32), np.zeros(0, np.float32), -math.inf
