@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 #: Queries whose kernels are numpy on pixels: they leave the JVM by Arrow, and no other does.
-PIXELS = {"media_frames", "media_change", "media_texts"}
+PIXELS = {"media_frames", "media_change", "media_moves", "media_texts"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
