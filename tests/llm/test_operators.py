@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, components, ivfpq, licenses, lines, minhash, mixing, planes, simhash, telephony, toxicity
+from tracewright.llm import bpe, chat, components, ivfpq, licenses, lines, minhash, mixing, planes, scratch, simhash, telephony, toxicity
 from tracewright.llm.registry import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, removed int, size int, score string, target string, media string, ids int"
@@ -456,17 +456,19 @@ def test_a_million_fingerprints(spark):
     assert want.where("bit_count(a ^ b) <= 4").join(got, ["a", "b"], "left_anti").count() == 0
 
 
-def edited(rng, words, similar):
-    """A text of 200 words and one that shares about ``similar`` of its five-word shingles, but no less."""
-    base = list(rng.choice(words, 200))
-    cuts = [base[i : i + 5] for i in range(196)]
-    t = list(base)
-    for at in rng.permutation(200):
+def edited(rng, words, similar, size=200):
+    """A text of ``size`` words and one that shares about ``similar`` of its five-word shingles, but no less."""
+    base = list(rng.choice(words, size))
+    cuts = [base[i : i + 5] for i in range(size - 4)]
+    t, same = list(base), len(cuts)
+    for at in rng.permutation(size):
         turn = [*t[:at], "edit", *t[at + 1 :]]
-        same = sum(turn[i : i + 5] == c for i, c in enumerate(cuts))
-        if same < similar * (2 * 196 - same):
+        left = sum(turn[i : i + 5] == c for i, c in enumerate(cuts))
+        if left < similar * (2 * len(cuts) - left):
             break
-        t = turn
+        t, same = turn, left
+    while same >= similar * (len(cuts) + len(t) + 1 - 4 - same):  # a word at the end costs one shingle
+        t.append(f"more{len(t)}")
     return " ".join(base), " ".join(t)
 
 
@@ -474,11 +476,45 @@ def test_pairs_from_the_similarity_on_are_found(spark):
     rng = np.random.default_rng(5)
     words = [f"t{i}" for i in range(5000)]
     rows = []
-    for k in range(180):
-        base, t = edited(rng, words, (0.8, 0.85, 0.9)[k % 3])
+    # 180 of 200 words, 60 of 14 to 34 (10 to 30 shingles), 12 of 3,000.
+    sizes = [200] * 180 + [14 + k % 21 for k in range(60)] + [3000] * 12
+    for k, size in enumerate(sizes):
+        base, t = edited(rng, words, (0.8, 0.85, 0.9)[k % 3], size)
         rows += [(10 * k + 1, base, "z"), (10 * k + 2, t, "z")]
     kept = {r[0] for r in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()}
-    assert kept == {10 * k + 1 for k in range(180)}
+    assert kept == {10 * k + 1 for k in range(len(sizes))}
+
+
+def test_every_pair_of_a_band_is_verified_on_demand(spark):
+    """Without the filter by minima the same documents stay, though more pairs are looked at."""
+    rng = np.random.default_rng(6)
+    words = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(40):
+        base, t = edited(rng, words, (0.6, 0.7, 0.8, 0.9)[k % 4], 60)
+        rows += [(10 * k + 1, base, "z"), (10 * k + 2, t, "z")]
+    kept = [{r[0] for r in simhash.keep_one(docs(spark, rows), deviations=d).select("doc_id").collect()} for d in (5.0, None)]
+    assert kept[0] == kept[1] and {10 * k + 2 for k in range(40) if k % 4 > 1}.isdisjoint(kept[0])
+    assert minhash.least_alike(0.8, 5.0) == 138 and minhash.least_alike(0.9, 5.0) > 138
+
+
+def test_pairs_of_one_node_are_dealt_into_lots(spark):
+    """A hub of many pairs, and of a node that has no set: the same links whatever the size of a lot."""
+    rows = [(0, range(100)), *((i, range(i % 40, 100)) for i in range(1, 200))]
+    sets = spark.createDataFrame([(i, bytearray(np.arange(len(s), dtype="<u8").tobytes())) for i, s in rows], "node long, set binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(7, 999)], "a long, b long")
+    want = {(0, i) for i in range(1, 200) if 100 - i % 40 >= 80}
+    for lot in (16, 1024):
+        assert {tuple(r) for r in simhash.verified(pairs, sets, 0.8, lot).collect()} == want
+    found = simhash.dealt(pairs, 16).collect()
+    assert {(r.hub, r.leaf) for r in found if r.hub == 0} == {(0, i) for i in range(1, 200)} and len({r.lot for r in found}) == 13
+
+
+def test_stored_tables_go_with_the_session(spark):
+    path = scratch.store(spark.range(3), "gone").inputFiles()[0].rsplit("/", 1)[0]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert system.exists(place) and system.cancelDeleteOnExit(place)
 
 
 def test_every_pair_of_a_bucket_is_tried_until_it_is_joined(spark):

@@ -4,6 +4,8 @@ Intermediate tables cut the lineage: an executor that is lost later costs a
 re-read and not a re-computation.  They live below ``spark.checkpoint.dir``,
 which driver and executors share on a cluster.  Only where that setting is
 absent and the master is local (tests) is a folder of this machine used.
+Tables stay until ``discard``, or else until the session's JVM ends; folders of
+outputs stay.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ def folder(spark: SparkSession, label: str) -> str:
 
 
 def store(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` below the shared folder and read it back."""
+    """Write ``df`` below the shared folder and read it back; the table goes when the session's JVM ends, if not before."""
     spark = df.sparkSession
     path = folder(spark, label)
     df.write.option("compression", codec).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

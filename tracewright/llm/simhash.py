@@ -309,8 +309,27 @@ def shingle_sets(samples: DataFrame, shingle: int, seed: int) -> DataFrame:
     return scratch.store(samples.select("node", "text").mapInArrow(sets, "node long, set binary"), "shingle-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (node, set) share at least ``least`` of their members."""
+#: Pairs of one node that share a copy of its set.
+LOT = 1_024
+
+
+def dealt(pairs: DataFrame, lot: int = LOT) -> DataFrame:
+    """(hub, leaf, lot) of distinct pairs (a, b): the end of more pairs is the hub, its pairs are dealt into lots of about ``lot``."""
+    count = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    for end in ("a", "b"):
+        pairs = pairs.join(count.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
+    first = F.col("n_a") >= F.col("n_b")
+    hub, leaf = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    lots = F.ceil(F.greatest("n_a", "n_b") / lot)
+    return pairs.select(hub.alias("hub"), leaf.alias("leaf"), F.pmod(F.xxhash64(leaf), lots).cast("int").alias("lot"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float, lot: int = LOT) -> DataFrame:
+    """The distinct pairs (a, b) whose shingle sets (node, set) share at least ``least`` of their members.
+
+    The set of a leaf travels with each of its pairs, that of a hub once for each
+    lot: the middle of a large group is neither sent with every pair nor one task's work.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,11 +341,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    rows = scratch.store(dealt(pairs.select("a", "b"), lot), "pair-lots")
+    hubs = rows.select("hub", "lot").distinct().join(sets.select(F.col("node").alias("hub"), F.col("set").alias("x")), "hub")
+    both = rows.join(sets.select(F.col("node").alias("leaf"), F.col("set").alias("y")), "leaf").join(hubs, ["hub", "lot"])
+    return both.select(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b"), "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, similar: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, similar: float, seed: int, deviations: float | None) -> tuple[DataFrame, DataFrame]:
     """Distinct texts and the verified links between them.
 
     ``rows`` has ``_text`` (a digest that names the text), ``_best`` (what is
@@ -350,17 +371,20 @@ def similar_nodes(rows: DataFrame, column: str, shingle: int, radius: int, simil
     wanted = scratch.store(nodes.select("node", "_text").join(wanted, "node"), "wanted-texts")
     samples = rows.select("_text", F.col(column).alias("text")).join(wanted, "_text").groupBy("node").agg(F.first("text").alias("text"))
     sets = shingle_sets(samples, shingle, seed)
-    return nodes, minhash.links(banded, sets, first, lambda pairs: verified(pairs, sets, similar), similar, nodes)
+    return nodes, minhash.links(banded, sets, first, lambda pairs: verified(pairs, sets, similar), similar, nodes, deviations)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = 0.8, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = 0.8, seed: int = 42, deviations: float | None = 5.0) -> DataFrame:
     """One document of each class: that with the smallest doc_id, with its own columns.
 
     Two texts are linked if their sets of ``shingle``-word shingles are at least
     ``similar`` by Jaccard's measure; classes are the components of these links.
     Candidates are fingerprints of up to ``radius`` differing bits and texts that
     share a band of ``minhash`` (0.9999 of the pairs at 0.8, more above); each
-    link is verified on the whole sets, but for equal texts.
+    link is verified on the whole sets, but for equal texts.  Pairs of a band of
+    which fewer minima agree than ``deviations`` below what ``similar`` leads to
+    expect (by calculation one similar pair in a million) are not verified; with
+    None all are.
 
     Edge cases: null, empty and blank texts are one class; a null doc_id comes
     last; of rows that share the smallest doc_id the one with the smallest digest
@@ -372,7 +396,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float
     text = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     best = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", columns.OTHERS).alias("row"))
     marked = packed.withColumn("_text", text).withColumn("_best", best)
-    nodes, linked = similar_nodes(marked, "text", shingle, radius, similar, seed)
+    nodes, linked = similar_nodes(marked, "text", shingle, radius, similar, seed, deviations)
     rooted = components.roots(linked)
     placed = nodes.select("node", "_text", "best").join(rooted, "node", "left")
     kept = placed.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("best.nameless", "best.id", "_text", "best.row")).alias("k"))
