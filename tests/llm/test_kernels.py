@@ -332,6 +332,31 @@ def test_index_recall_against_brute_force():
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("offset, factor, kind", [(0, 1, np.float32), (1000, 1, np.float32), (0, 1e-38, np.float32), (0, 1e37, np.float32), (0, 1e-150, float), (5, 1e100, float)])
+def test_estimates_are_off_by_the_slack_at_most(offset, factor, kind):
+    rng = np.random.default_rng(5)
+    x = ((rng.normal(size=(600, 18)) + offset) * factor).astype(kind)
+    x[::50] *= 10
+    scale = 2.0 ** -float(np.round(np.log2(np.median(ivfpq.lengths(x.astype(float))))))
+    index = ivfpq.replace(ivfpq.fit(ivfpq.clamped(x[:300], scale), 6, ivfpq.Settings()), scale=scale)
+    place, codes = index.assign(ivfpq.clamped(x, scale))
+    order = np.argsort(place, kind="stable")
+    x, place, codes = x[order], place[order], codes[order]
+    shelf = ivfpq.Shelf(index, place, np.arange(600), x, codes)
+    slack, size = shelf.slack
+    asked, unit = ivfpq.units(x[::7].astype(float))
+    estimate = shelf.scores(unit, [np.arange(6)] * len(unit)).astype(float)
+    exact = x[::7].astype(float) / asked[:, None] @ (x.astype(float) * scale).T
+    assert (np.abs(exact - estimate) <= slack).all() and np.isfinite(slack).all()
+    assert np.allclose(size, np.sqrt(((x.astype(float) / factor) ** 2).sum(1)) * factor, rtol=1e-6)
+    # A list is ruled out only where none of its vectors reaches the bar.
+    far, size = ivfpq.from_centers(x, index, lambda at: index.centroids[place[at]])
+    of_list = lambda v: np.array([v[place == n].max(initial=0) for n in range(6)])
+    for bar in np.quantile(exact, [0.5, 0.99, 1.0]):
+        may = ivfpq.reachable(index, unit, np.full(len(unit), bar, np.float32), of_list(far), of_list(size * scale))
+        assert all(may[q, place[i]] for q, i in zip(*np.nonzero(exact > bar + 1e-6 * abs(bar))))
+
+
 def test_digest_of_ids():
     own = bpe.WordBpe(WORD)
     assert hashlib.sha256(own.encode("")).hexdigest() == hashlib.sha256(b"").hexdigest()

@@ -560,6 +560,38 @@ def test_shelves_do_not_change_a_search(spark):
     assert sorted(whole) == sorted(dealt) and len(whole) == 60 * 20
 
 
+def nearest_rows(kind):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 16))
+    if kind == "groups":  # most of them rare, all of them tight
+        x = x[np.minimum(rng.geometric(0.03, 1500), 199)] + 0.02 * x
+    elif kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(1500, 1)))
+    elif kind == "copies":
+        x[300:] = x[0] + 1e-4 * x[300:]
+    elif kind == "far from zero":
+        x += 1e4
+    elif kind == "outliers":
+        x[7::100] *= 1e12
+    return x * {"small": 1e-30, "vanishing": 1e-170, "large": 1e30}.get(kind, 1.0)
+
+
+@pytest.mark.parametrize("kind", ["even", "groups", "lengths", "copies", "far from zero", "outliers", "small", "vanishing", "large"])
+def test_search_misses_nothing(spark, kind):
+    x = nearest_rows(kind)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # As much smaller than the table as the sample, the shelves and the reranked entries are on large ones.
+    s = ivfpq.Settings(least_sample=128, sample=128, shelves=3, rerank=24)
+    got = ivfpq.search(df, lambda i: i % 20 == 0, settings=s).orderBy("query_id", "rank").collect()
+    want = []
+    for q in range(0, len(x), 20):
+        score = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]
+        want += [(q, r + 1, i, score[i]) for r, i in enumerate(order)]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [w[:3] for w in want]
+    assert np.allclose([r["score"] for r in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
 def test_features_of_unreadable_media(spark):
     media = [(1, None), (2, b"junk"), (3, telephony.wav(b"", telephony.MULAW)), (4, telephony.wav(telephony.payload("x"), telephony.MULAW))]
     table = spark.createDataFrame(media, "i int, media binary").withColumn("feature", F.lit("clash")).withColumn("text", F.lit("x"))
