@@ -1,5 +1,6 @@
 """Kernels that need no session: exact round trips and brute force."""
 
+import dataclasses
 import hashlib
 import io
 import math
@@ -338,7 +339,7 @@ def test_estimates_are_off_by_the_slack_at_most(offset, factor, kind):
     x = ((rng.normal(size=(600, 18)) + offset) * factor).astype(kind)
     x[::50] *= 10
     scale = 2.0 ** -float(np.round(np.log2(np.median(ivfpq.lengths(x.astype(float))))))
-    index = ivfpq.replace(ivfpq.fit(ivfpq.clamped(x[:300], scale), 6, ivfpq.Settings()), scale=scale)
+    index = dataclasses.replace(ivfpq.fit(ivfpq.clamped(x[:300], scale), 6, ivfpq.Settings()), scale=scale)
     place, codes = index.assign(ivfpq.clamped(x, scale))
     order = np.argsort(place, kind="stable")
     x, place, codes = x[order], place[order], codes[order]

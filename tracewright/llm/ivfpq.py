@@ -24,8 +24,8 @@ of its shelves an entry is on, its hash says.  A query is sent to a shelf once,
 lists it visits there, however many they are, and queries stream past a shelf in
 batches.  So neither a list that holds a third of all vectors nor very many
 queries are ever held at once, no vector is stored in more than one place, and
-what the queries move is at most ``shelves`` vectors each until the shelves are
-full.
+what the queries move is at most ``shelves`` vectors each and visit until the
+shelves are full.
 
 Edge cases: rows without id and vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part; the index sees
