@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
 from tracewright.sources.tables import spread, table
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970, to the nearest one, halves away from zero; ``unix_millis`` cuts microseconds off instead."""
+    halves = F.call_function("div", F.unix_micros(ts.cast("timestamp")), F.lit(500))
+    return F.call_function("div", halves + F.when(halves < 0, -1).otherwise(1), F.lit(2))
+
+
 def base(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a timeline per user: an hour is 100 ms."""
     e = table(spark, sf, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = epoch_ms(F.col("ts"))
     job = Window.partitionBy("user_id")
     return e.select(
         F.col("user_id").alias("job_id"),
