@@ -41,7 +41,7 @@ def test_instants_are_rounded_to_milliseconds(spark):
     assert [r["ms"] for r in got] == [m for (m,) in want]
 
 
-@pytest.mark.parametrize("name", ["chronology_violations", "click_dedupe", "compress_anti", "error_anomalies", "merge_repeated"])
+@pytest.mark.parametrize("name", ["blank_dedupe", "chronology_violations", "click_dedupe", "compress_anti", "error_anomalies", "merge_repeated"])
 def test_times_are_those_of_the_sql(spark, tables, name):
     root, con = tables
     df = plans.QUERIES[name](spark, root)
