@@ -41,7 +41,7 @@ def test_instants_are_rounded_to_milliseconds(spark):
     assert [r["ms"] for r in got] == [m for (m,) in want]
 
 
-@pytest.mark.parametrize("name", ["anomalies_ordered", "blank_dedupe", "boundaries_greedy", "bug_rank_top6", "chronology_violations", "click_asof_cursor", "click_dedupe", "compress_anti", "compress_semi", "error_anomalies", "events_detected", "keyframe_times", "merge_repeated"])
+@pytest.mark.parametrize("name", ["anomalies_ordered", "blank_dedupe", "boundaries_greedy", "bug_localized", "bug_rank_top6", "chronology_violations", "click_asof_cursor", "click_dedupe", "compress_anti", "compress_semi", "error_anomalies", "events_detected", "keyframe_times", "merge_repeated"])
 def test_times_are_those_of_the_sql(spark, tables, name):
     root, con = tables
     df = plans.QUERIES[name](spark, root)
